@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reports this library reproduces are batch reports over warehouse snapshots: there is no
+event-time window, watermark, state or late-data rule anywhere in them, so nothing is built here.
+Each report is a pure function of its input DataFrames and an explicit ``as_of`` time, so a user who
+wants a continuously refreshed report can call a plan from ``foreachBatch`` without library support.
+"""
