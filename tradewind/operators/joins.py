@@ -21,32 +21,32 @@ def _all_not_null(df: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [df[k].isNotNull() for k in keys])
 
 
-def _pad(df: DataFrame, other: DataFrame) -> DataFrame:
-    """``df`` with ``other``'s columns appended as typed NULLs."""
-    return df.select(*[df[c] for c in df.columns],
-                     *[F.lit(None).cast(t).alias(n) for n, t in other.dtypes])
+NULL_SPREAD = 1024
+
+
+def _null_salt(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Extra join key: 0 for rows with complete keys, 1..NULL_SPREAD for rows with a NULL key."""
+    spread = (F.abs(F.xxhash64(*[df[c] for c in df.columns])) % NULL_SPREAD + 1).cast("int")
+    return df.withColumn(name, F.when(_all_not_null(df, keys), F.lit(0)).otherwise(spread))
 
 
 def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
                right_keys: Sequence[str], how: str = "full") -> DataFrame:
-    """Equi outer join (``full`` or ``left``) whose NULL-key rows bypass the shuffle join.
+    """Equi outer join (``full`` or ``left``) that does not pile NULL-key rows into one task.
 
-    A row with a NULL join key never matches, but a sort-merge join still hashes all of them to one
-    partition; when NULL keys are common that single task holds them all.  Here only rows with
-    complete keys are joined and the NULL-key rows are appended unmatched, which is the same result.
-    The two sides must have disjoint column names.
+    A row with a NULL join key never matches, yet a sort-merge join hashes all such rows to the same
+    partition.  Each side gets one more join key: 0 when its keys are complete, otherwise a hash of
+    the row in 1..NULL_SPREAD.  Complete-key rows join exactly as before (0 = 0); NULL-key rows still
+    match nothing (NULL = x is never true) but are spread over many partitions.  The two sides must
+    have disjoint column names.
     """
     if how not in ("full", "left"):
         raise ValueError("how must be 'full' or 'left'")
-    lk = _all_not_null(left, left_keys)
-    rk = _all_not_null(right, right_keys)
-    cond = reduce(and_, [left[a] == right[b] for a, b in zip(left_keys, right_keys)])
-    lhs, rhs = left.where(lk), right.where(rk)
-    joined = lhs.join(rhs, cond, how)
-    parts = [joined, _pad(left.where(~lk), right)]
-    if how == "full":
-        parts.append(_pad(right.where(~rk), left).select(*joined.columns))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    lhs = _null_salt(left, left_keys, "_lnull")
+    rhs = _null_salt(right, right_keys, "_rnull") if how == "full" else right.withColumn("_rnull", F.lit(0))
+    cond = reduce(and_, [lhs[a] == rhs[b] for a, b in zip(left_keys, right_keys)]
+                  + [lhs["_lnull"] == rhs["_rnull"]])
+    return lhs.join(rhs, cond, how).drop("_lnull", "_rnull")
 
 
 def rows_at_max(df: DataFrame, column: str) -> DataFrame:
