@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import accounts, buckets, forecast, merge, product, sellthrough, sheet
+from ..session import materialize
 from ..sources import Warehouse, select_positions, sheet_to_json_rows, shred_json_rows, typed_sheet
 from .params import Params
 
@@ -156,18 +157,23 @@ def price_attach(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> Dat
     return accounts.price_attach(fact, season_prices(wh, p))
 
 
+def _shared_fact(wh: Warehouse, p: Params, fact: DataFrame | None) -> DataFrame:
+    """The account-month fact is read three times downstream; store it once."""
+    return materialize(account_month_fact(wh, p)) if fact is None else fact
+
+
 def account_final(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
-    fact = account_month_fact(wh, p) if fact is None else fact
+    fact = _shared_fact(wh, p, fact)
     classes = lifecycle_class_account(wh, p, fact=fact, distinct_rows=True)
     return accounts.account_final(price_attach(wh, p, fact=fact), classes, type_names=p.type_names)
 
 
 def projected_sales(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
-    return accounts.projected_sales(account_final(wh, p, fact=fact), p.as_of, type_names=p.type_names)
+    return accounts.projected_sales(account_final(wh, p, fact=_shared_fact(wh, p, fact)), p.as_of, type_names=p.type_names)
 
 
 def net_revenue_by_account(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
-    return accounts.net_revenue_by_account(projected_sales(wh, p, fact=fact), wh.style_master,
+    return accounts.net_revenue_by_account(projected_sales(wh, p, fact=_shared_fact(wh, p, fact)), wh.style_master,
                                            type_names=p.type_names)
 
 

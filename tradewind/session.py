@@ -50,3 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tradewind-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Compute ``df`` once into the session's checkpoint directory and continue from the stored copy.
+
+    Used where a report reads the same intermediate result several times: the stored copy is read
+    instead of recomputing its lineage, and a lost executor only costs work after this point.  A
+    cluster session without ``spark.checkpoint.dir`` keeps the lazy plan (nothing machine-local is
+    written).
+    """
+    spark = df.sparkSession
+    try:
+        ensure_checkpoint_dir(spark)
+    except RuntimeError:
+        return df
+    return df.checkpoint(eager=True)
