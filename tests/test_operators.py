@@ -110,3 +110,18 @@ def test_net_revenue_price_fallback(spark):
     style = style.withColumn("price", F.col("price").cast("decimal(18,2)"))
     out = {r.material: (float(r.msrp), float(r.whsl)) for r in accounts.net_revenue_by_account(ps, style).collect()}
     assert out == {15: (6.5, 3.25), 16: (9.5, 4.0)}
+
+
+def test_snapshot_dedup_null_and_negative(spark):
+    base = dict(module="SalesForecast", forecast_group="AUTOMOBILE", calendar_season="Fall-Winter", material="8")
+    recs = [(D(2000, 6, 1), D(2000, 6, 20), None), (D(2000, 6, 1), D(2000, 7, 3), -4),
+            (D(2000, 6, 15), D(2000, 7, 9), -2)]
+    df = spark.createDataFrame([dict(base, file_date=f, demand_date=d, quantity=q) for f, d, q in recs],
+                               "module string, forecast_group string, calendar_season string, material string, "
+                               "file_date date, demand_date date, quantity bigint")
+    out = forecast.snapshot_dedup(df, account_patterns=["%AUTO%"])
+    assert sorted((r.forecasted_date, r.forecast) for r in out.collect()) == [
+        (D(2000, 6, 1), None), (D(2000, 7, 1), -4), (D(2000, 7, 1), -2)]
+    pivot = forecast.forecast_month_pivot(out, "2000-06-15 10:00:00").first()
+    # current month: MAX over {NULL (June sum), 0 (July row)} = 0; next month: MAX{0, -6} floors at 0
+    assert (pivot.current_month_forecast, pivot.forecast_1m, pivot.forecast_2m) == (0, 0, 0)
