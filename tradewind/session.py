@@ -66,3 +66,31 @@ def materialize(df):
     except RuntimeError:
         return df
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20, shuffle_fraction: float = 0.25) -> dict[str, str]:
+    """Settings for running the reports on a cluster over ``input_bytes`` of Parquet input.
+
+    The largest shuffle is the projected fact-to-order join of the role views, estimated as
+    ``shuffle_fraction`` of the input (the reports read a few columns of wide tables; every later
+    shuffle moves partial aggregates).  The initial shuffle-partition count makes its partitions about
+    ``target_partition_bytes``; AQE then coalesces small partitions and splits skewed
+    ones at run time.  Scan splits match the same size.  The broadcast threshold stays a run-time
+    measured bound (AQE uses actual shuffle sizes), so a side is broadcast only when it is proven small.
+    """
+    slots = executors * cores_per_executor
+    parts = max(slots * 2, -(-int(input_bytes * shuffle_fraction) // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
