@@ -85,3 +85,18 @@ def test_rules_first_match_wins(spark):
     df = spark.createDataFrame([("BUILDING",), ("AUTOMOBILE",), ("HOUSEHOLD",), (None,)], "g string")
     got = [r[0] for r in df.select(apply_rules("g", rules)).collect()]
     assert got == ["HOME", "AUTO", "HOUSEHOLD", None]
+
+
+def test_rules_with_apostrophe_match_in_spark_and_sql(spark):
+    import duckdb
+
+    from tradewind.functions import rules_sql
+    rules = (("equals", ("SPORTSMAN'S_WAREHOUSE",), "SPORTSMAN'S WAREHOUSE"), ("contains", ("O'NEIL",), "ONEIL"))
+    values = ["SPORTSMAN'S_WAREHOUSE", "shop o'neil east", "OTHER"]
+    df = spark.createDataFrame([(v,) for v in values], "g string")
+    got = [r[0] for r in df.select(apply_rules("g", rules)).collect()]
+    con = duckdb.connect()
+    sql = f"SELECT {rules_sql('g', rules)} FROM (VALUES " + ", ".join(
+        "('" + v.replace("'", "''") + "')" for v in values) + ") t(g)"
+    want = [r[0] for r in con.execute(sql).fetchall()]
+    assert got == want == ["SPORTSMAN'S WAREHOUSE", "ONEIL", "OTHER"]
