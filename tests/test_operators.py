@@ -125,3 +125,43 @@ def test_snapshot_dedup_null_and_negative(spark):
     pivot = forecast.forecast_month_pivot(out, "2000-06-15 10:00:00").first()
     # current month: MAX over {NULL (June sum), 0 (July row)} = 0; next month: MAX{0, -6} floors at 0
     assert (pivot.current_month_forecast, pivot.forecast_1m, pivot.forecast_2m) == (0, 0, 0)
+
+
+def _fact_frame(spark, recs):
+    cols = ["forecast_group", "material", "material_description", "year", "calendar_season", "month",
+            "forecasted_quantity", "sold_quantity", "open_quantity", "actual_revenue", "open_revenue",
+            *accounts.pivot_columns(), "msrp", "whsl"]
+    rows = [(g, m, d, y, s, mo, fq, sq, 0, 0.0, 0.0, *([0] * len(accounts.pivot_columns())), None, None)
+            for g, m, d, y, s, mo, fq, sq in recs]
+    schema = ", ".join(f"{c} {t}" for c, t in zip(cols, ["string", "int", "string", "int", "string", "string",
+                                                        "bigint", "bigint", "bigint", "double", "double",
+                                                        *["bigint"] * len(accounts.pivot_columns()),
+                                                        "double", "double"]))
+    return spark.createDataFrame(rows, schema)
+
+
+def test_account_final_equals_join_then_distinct(spark):
+    rnd = random.Random(11)
+    recs = [(rnd.choice(["A", "B"]), rnd.choice([11, 12]), rnd.choice(["x", "y"]), 2000,
+             rnd.choice(["Fall-Winter", "Spring-Summer"]), rnd.choice(["01", "02"]), rnd.randint(0, 2),
+             rnd.randint(0, 2)) for _ in range(80)]
+    priced = _fact_frame(spark, recs)
+    cls = spark.createDataFrame(
+        [(rnd.choice([11, 12, 13]), rnd.choice(["Fall-Winter", "Spring-Summer"]), rnd.choice([2000, 2001]),
+          rnd.choice([1, 2, None]), rnd.choice(["New", "Inline"]), rnd.choice(["Yes", "No"])) for _ in range(40)],
+        "material int, calendar_season string, year int, season_number int, classification string, "
+        "exclusive string")
+    got = accounts.account_final(priced, cls)
+    keys = ["material", "calendar_season", "year"]
+    want = priced.join(cls, keys).select(*got.columns).distinct()
+    assert rows(got) == rows(want)
+
+
+def test_projected_sales_multiplies_rows_differing_only_in_description(spark):
+    recs = [("A", 11, "x", 2000, "Fall-Winter", "01", 5, 3), ("A", 11, "y", 2000, "Fall-Winter", "01", 5, 3),
+            ("A", 11, "x", 2000, "Fall-Winter", "09", 5, 3)]
+    final = (_fact_frame(spark, recs).withColumn("season_number", F.lit(1))
+             .withColumn("classification", F.lit("New")).withColumn("exclusive", F.lit("No")))
+    got = {r.month: r.projected_sales for r in accounts.projected_sales(final, "2000-06-15 10:00:00").collect()}
+    # January is past: sold 3 summed over the two rows -> 6; September is current/future: forecast 5
+    assert got == {"01": 6, "09": 5}
