@@ -25,8 +25,37 @@ def test_stored_roles_give_same_reports(spark, sf_small, stored, name):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, raw.collect()), key=repr)
 
 
-def test_trailing_window_prunes_partitions(stored):
-    df = REPORTS["sell_in_trailing"](stored, FIXTURE)
+def _scan_line(df, role):
     plan = df._jdf.queryExecution().executedPlan().toString()
-    scan = [line for line in plan.splitlines() if "sales_fact" in line][0]
-    assert re.search(r"PartitionFilters: \[[^\]]*transaction_dt", scan)
+    return [line for line in plan.splitlines() if role in line][0]
+
+
+def test_trailing_window_filter_reaches_stored_files(stored):
+    df = REPORTS["sell_in_trailing"](stored, FIXTURE)
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    block = text[text.index("sales_fact"):]
+    pushed = re.search(r"PushedFilters: (\[.*\])", block).group(1)
+    assert "GreaterThanOrEqual(transaction_dt" in pushed
+
+
+def test_date_directories_prune_partitions(spark, sf_small):
+    path = tempfile.mkdtemp(prefix="tradewind-roles-dated-")
+    save_roles(Warehouse(spark, sf_small), path, roles=["sales_fact"], partitions=2, partition_by_date=True)
+    dated = StoredWarehouse(spark, path)
+    df = REPORTS["sell_in_trailing"](dated, FIXTURE)
+    assert re.search(r"PartitionFilters: \[[^\]]*transaction_dt", _scan_line(df, "sales_fact"))
+    raw = REPORTS["sell_in_trailing"](Warehouse(spark, sf_small), FIXTURE)
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, raw.collect()), key=repr)
+
+
+def test_warehouse_uses_given_table_reader(spark, sf_small):
+    seen = []
+
+    def reader(s, name):
+        seen.append(name)
+        return s.read.parquet(f"{sf_small}/{name}.parquet")
+
+    wh = Warehouse(spark, "unused-location", reader=reader)
+    got = REPORTS["inbound_buckets"](wh, FIXTURE).count()
+    assert got == REPORTS["inbound_buckets"](Warehouse(spark, sf_small), FIXTURE).count()
+    assert sorted(seen) == ["lineitem", "part"]

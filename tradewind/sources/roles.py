@@ -7,6 +7,7 @@ column pruning and predicate pushdown reach the Parquet scans through the role d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,18 +50,44 @@ def _sales_org() -> Column:
     return F.when(F.col("n_regionkey") != 0, F.lit("US")).otherwise(F.lit("INTL"))
 
 
+TableReader = Callable[[SparkSession, str], DataFrame]
+
+
+def parquet_reader(location: str) -> TableReader:
+    """Tables stored as ``<location>/<name>.parquet``."""
+    base = location.rstrip("/")
+    return lambda spark, name: spark.read.parquet(f"{base}/{name}.parquet")
+
+
+def jdbc_reader(url: str, properties: dict[str, str],
+                partitioning: dict[str, tuple[str, int, int, int]] | None = None) -> TableReader:
+    """Tables read over JDBC.  ``partitioning[name] = (column, lower, upper, partitions)`` splits a large
+    table into parallel range reads on a numeric column (one connection per partition) instead of one
+    single-connection read."""
+    parts = partitioning or {}
+
+    def read(spark: SparkSession, name: str) -> DataFrame:
+        if name in parts:
+            column, lower, upper, n = parts[name]
+            return spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper,
+                                   numPartitions=n, properties=properties)
+        return spark.read.jdbc(url, name, properties=properties)
+    return read
+
+
 class Warehouse:
-    """Lazy role views over the Parquet tables of one directory."""
+    """Lazy role views over the input tables of one location (Parquet by default)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, reader: TableReader | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._reader = reader or parquet_reader(self.sf_dir)
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         """The input table (read once per Warehouse: file listing and footers are not re-read)."""
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._tables[name] = self._reader(self.spark, name)
         return self._tables[name]
 
     # -- shared joins ---------------------------------------------------------------------------

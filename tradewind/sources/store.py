@@ -7,13 +7,15 @@ runs unchanged on either.
 
 Layout per role:
 
-* fact roles are partitioned by the date column the reports filter on (sales by transaction date,
-  open orders by cancel date, inventory by availability date, sell-through by week, forecast by file
-  date), so trailing windows and history limits prune whole directories instead of reading them;
-* before writing, rows are range-partitioned on (date, material): each task writes few files, and a
-  date holding a large share of the rows is still split over several tasks by material;
-* within a file rows are sorted by (date, material), so Parquet min/max statistics skip row groups
-  for material filters too.
+* fact roles are range-partitioned on (date, material) before writing, where the date is the column the
+  reports filter on (sales by transaction date, open orders by cancel date, inventory by availability
+  date, sell-through by week, forecast by file date).  Each output file covers a narrow date range and
+  rows are sorted by (date, material) inside it, so the pushed date filters of trailing windows skip
+  whole files and row groups by their min/max statistics.  A date holding a large share of the rows is
+  still split over several writer tasks by material.
+* ``partition_by_date=True`` additionally writes one directory per date, so the same filters prune
+  directories before any file is opened.  That suits large loads (a day of a 100 TB fact is tens of
+  GB); on small data it only creates thousands of tiny files.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ _SCHEMA_FILE = "_role_schema.json"
 
 
 def save_roles(wh: Warehouse, path: str, roles: Iterable[str] | None = None,
-               partitions: int | None = None) -> None:
+               partitions: int | None = None, partition_by_date: bool = False) -> None:
     """Write role views of ``wh`` under ``path/<role>`` (overwriting)."""
     spark = wh.spark
     for role in roles or LAYOUT:
@@ -56,7 +58,7 @@ def save_roles(wh: Warehouse, path: str, roles: Iterable[str] | None = None,
             n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
             df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
         writer = df.write.mode("overwrite")
-        if date_col:
+        if date_col and partition_by_date:
             writer = writer.partitionBy(date_col)
         target = f"{path.rstrip('/')}/{role}"
         writer.parquet(target)
