@@ -63,8 +63,3 @@ def with_multiplicity(df: DataFrame, keys: Sequence[str], count_col: str = "_n")
     """Collapse exact duplicate rows into one row plus a count (partial aggregation map-side)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
 
-
-def expand_multiplicity(df: DataFrame, count_col: str = "_n") -> DataFrame:
-    """Inverse of :func:`with_multiplicity`: repeat each row ``count_col`` times."""
-    return (df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col(count_col).cast("int"))))
-              .drop("_rep", count_col))

@@ -46,10 +46,13 @@ def merge_columns(weeks: Sequence[int] = (1, 2, 4, 8, 16)) -> list[str]:
 def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_orders: DataFrame,
                     sell_thru: DataFrame, forecast: DataFrame, style: DataFrame,
                     weeks: Sequence[int] = (1, 2, 4, 8, 16)) -> DataFrame:
-    """One row per merged branch row with description/model/gender from the style master.
+    """Merged branch rows with description/model/gender from the style master, as a bag: distinct
+    rows with their number of ``copies``.
 
     ``bulk`` is the anchor.  Category comes from the inventory branch, else from the style master.
-    Missing measures become 0; rows without any material are dropped.
+    Missing measures become 0; rows without any material are dropped.  ``sell_thru`` is a bag
+    (rows with ``copies``, see :func:`~tradewind.operators.sellthrough.sell_through`); its copies are
+    carried as the multiplicity of every merged row it takes part in instead of repeating rows.
     """
     inb = inbound_columns(weeks)
     b = bulk.select(F.col("material").alias("b_m"), *MAX_BULK_COLUMNS)
@@ -58,7 +61,7 @@ def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_or
     i = sell_in.select(F.col("material").alias("i_m"), "t4w_sellin_units")
     o = open_orders.select(F.col("material").alias("o_m"), *OPEN_COLUMNS)
     t = sell_thru.select(F.col("material").alias("t_m"), "t4w_sellthru_units",
-                         F.col("retailer_onhand").alias("t4w_retailer_onhand"))
+                         F.col("retailer_onhand").alias("t4w_retailer_onhand"), F.col("copies").alias("t_copies"))
     v = forecast.select(F.col("material").alias("v_m"), *FORECAST_COLUMNS)
     merged = anchored_outer_merge(b, "b_m", [(a, "a_m"), (i, "i_m"), (o, "o_m"), (t, "t_m"), (v, "v_m")])
     key = F.coalesce("b_m", "a_m", "i_m", "o_m", "t_m", "v_m")
@@ -67,9 +70,12 @@ def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_or
                       F.col("category").alias("c_category"), "model", "gender").distinct())
     out = merged.join(c, merged["material"] == c["c_m"], "left")
     measures = merge_columns(weeks)
-    return out.select("material", F.col("c_description").alias("material_description"),
+    rows = out.select("material", F.col("c_description").alias("material_description"),
                       F.coalesce("a_category", "c_category").alias("category"), "model", "gender",
-                      *[F.coalesce(F.col(m), F.lit(0).cast("bigint")).alias(m) for m in measures])
+                      *[F.coalesce(F.col(m), F.lit(0).cast("bigint")).alias(m) for m in measures],
+                      F.coalesce("t_copies", F.lit(1).cast("bigint")).alias("_copies"))
+    keys = [c for c in rows.columns if c != "_copies"]
+    return rows.groupBy(*keys).agg(F.sum("_copies").cast("bigint").alias("copies"))
 
 
 DASHBOARD_RENAMES = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, after_days_ago, like_any
-from .joins import expand_multiplicity, rows_at_max, with_multiplicity
+from .joins import rows_at_max, with_multiplicity
 
 
 def sell_through_window(weeks: DataFrame, as_of, *, retailer_patterns: Sequence[str], days: int = 35) -> DataFrame:
@@ -25,16 +25,15 @@ def latest_week_onhand(window: DataFrame) -> DataFrame:
         "material", "material_description", "week_start", F.col("units_on_hand").alias("retailer_onhand"))
 
 
-def sell_through(weeks: DataFrame, as_of, *, retailer_patterns: Sequence[str], days: int = 35,
-                 expand: bool = True) -> DataFrame:
-    """Trailing sell-through units and latest-week on-hand per material.
+def sell_through(weeks: DataFrame, as_of, *, retailer_patterns: Sequence[str], days: int = 35) -> DataFrame:
+    """Trailing sell-through units and latest-week on-hand per material, as a bag: distinct rows with
+    their number of ``copies``.
 
     Reference semantics: every latest-week row is paired with every latest-week row of the same
-    material and with every (material, description) total of that material.  Instead of joining
-    rows pairwise, identical rows are first collapsed with a count on each side (map-side partial
-    aggregation), the collapsed sides are joined, and ``expand`` re-creates the multiplicity
-    ``n_left * n_right`` with ``explode``.  ``expand=False`` returns each distinct row once, which is
-    all a downstream MAX needs.
+    material and with every (material, description) total of that material, so a material with n
+    latest-week rows yields n*n rows.  Those pairs are never formed here: identical rows are
+    collapsed with a count on each side (map-side partial aggregation), the collapsed sides are
+    joined, and the product of the counts is the multiplicity of each result row.
     """
     window = sell_through_window(weeks, as_of, retailer_patterns=retailer_patterns, days=days)
     totals = (window.groupBy("material", "material_description")
@@ -47,6 +46,5 @@ def sell_through(weeks: DataFrame, as_of, *, retailer_patterns: Sequence[str], d
                                ["material", "retailer_onhand"], "_n_onhand")
     joined = rows.join(onhand, "material").join(totals, "material")
     cols = ["material", "material_description", "t4w_sellthru_units", "retailer_onhand"]
-    if not expand:
-        return joined.select(*cols).distinct()
-    return expand_multiplicity(joined.select(*cols, (F.col("_n_rows") * F.col("_n_onhand")).alias("_n")))
+    return (joined.groupBy(*cols)
+                  .agg(F.sum(F.col("_n_rows") * F.col("_n_onhand")).cast("bigint").alias("copies")))

@@ -69,9 +69,9 @@ def open_order_buckets(wh: Warehouse, p: Params) -> DataFrame:
                                       sales_org=p.sales_org)
 
 
-def sell_through(wh: Warehouse, p: Params, expand: bool = True) -> DataFrame:
+def sell_through(wh: Warehouse, p: Params) -> DataFrame:
     return sellthrough.sell_through(wh.sell_through, p.as_of, retailer_patterns=p.account_patterns,
-                                    days=p.sell_through_days, expand=expand)
+                                    days=p.sell_through_days)
 
 
 def latest_week_onhand(wh: Warehouse, p: Params) -> DataFrame:
@@ -88,15 +88,14 @@ def forecast_month_pivot(wh: Warehouse, p: Params) -> DataFrame:
     return forecast.forecast_month_pivot(snapshot_dedup(wh, p), p.as_of)
 
 
-def anchored_outer_merge(wh: Warehouse, p: Params, expand: bool = True) -> DataFrame:
+def anchored_outer_merge(wh: Warehouse, p: Params) -> DataFrame:
     return merge.marketing_merge(bulk_max_by_material(wh, p), inbound_buckets(wh, p), sell_in_trailing(wh, p),
-                                 open_order_buckets(wh, p), sell_through(wh, p, expand=expand),
+                                 open_order_buckets(wh, p), sell_through(wh, p),
                                  forecast_month_pivot(wh, p), wh.style_master, weeks=p.inbound_weeks)
 
 
 def marketing_dashboard(wh: Warehouse, p: Params) -> DataFrame:
-    # The final MAX ignores duplicate rows, so the sell-through branch is not re-expanded here.
-    return merge.marketing_dashboard(anchored_outer_merge(wh, p, expand=False), weeks=p.inbound_weeks)
+    return merge.marketing_dashboard(anchored_outer_merge(wh, p), weeks=p.inbound_weeks)
 
 
 # -- net revenue by account ------------------------------------------------------------------------
