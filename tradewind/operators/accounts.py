@@ -85,9 +85,12 @@ def account_month_fact(sot: DataFrame, pivot: DataFrame, span: DataFrame, style:
     measures are 0.  Distinct rows.
     """
     pcols = pivot_columns(type_names)
+    # Only these forecast columns reach the (distinct) output, so rows differing in the snapshot date
+    # alone are merged before the join instead of multiplying it.
     so = sot.select(F.col("forecast_group").alias("so_group"), F.col("material").alias("so_material"),
                     F.col("calendar_year").alias("so_year"), F.col("calendar_season").alias("so_season"),
-                    F.col("calendar_month_number").alias("so_month"), F.col("quantity").alias("so_quantity"))
+                    F.col("calendar_month_number").alias("so_month"),
+                    F.col("quantity").alias("so_quantity")).distinct()
     sa = pivot.select(F.col("forecast_group").alias("sa_group"), safe_int("material").alias("sa_material"),
                       F.col("material_description").alias("sa_description"),
                       F.col("category").alias("sa_category"), F.col("transaction_year").alias("sa_year"),
