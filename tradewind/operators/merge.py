@@ -45,7 +45,7 @@ def merge_columns(weeks: Sequence[int] = (1, 2, 4, 8, 16)) -> list[str]:
 
 def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_orders: DataFrame,
                     sell_thru: DataFrame, forecast: DataFrame, style: DataFrame,
-                    weeks: Sequence[int] = (1, 2, 4, 8, 16)) -> DataFrame:
+                    weeks: Sequence[int] = (1, 2, 4, 8, 16), with_copies: bool = True) -> DataFrame:
     """Merged branch rows with description/model/gender from the style master, as a bag: distinct
     rows with their number of ``copies``.
 
@@ -53,6 +53,8 @@ def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_or
     Missing measures become 0; rows without any material are dropped.  ``sell_thru`` is a bag
     (rows with ``copies``, see :func:`~tradewind.operators.sellthrough.sell_through`); its copies are
     carried as the multiplicity of every merged row it takes part in instead of repeating rows.
+    ``with_copies=False`` skips counting (one grouping shuffle less) for callers that only reduce
+    with MAX, which ignores multiplicity.
     """
     inb = inbound_columns(weeks)
     b = bulk.select(F.col("material").alias("b_m"), *MAX_BULK_COLUMNS)
@@ -75,6 +77,8 @@ def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_or
                       *[F.coalesce(F.col(m), F.lit(0).cast("bigint")).alias(m) for m in measures],
                       F.coalesce("t_copies", F.lit(1).cast("bigint")).alias("_copies"))
     keys = [c for c in rows.columns if c != "_copies"]
+    if not with_copies:
+        return rows.select(*keys)
     return rows.groupBy(*keys).agg(F.sum("_copies").cast("bigint").alias("copies"))
 
 

@@ -88,14 +88,16 @@ def forecast_month_pivot(wh: Warehouse, p: Params) -> DataFrame:
     return forecast.forecast_month_pivot(snapshot_dedup(wh, p), p.as_of)
 
 
-def anchored_outer_merge(wh: Warehouse, p: Params) -> DataFrame:
+def anchored_outer_merge(wh: Warehouse, p: Params, with_copies: bool = True) -> DataFrame:
     return merge.marketing_merge(bulk_max_by_material(wh, p), inbound_buckets(wh, p), sell_in_trailing(wh, p),
                                  open_order_buckets(wh, p), sell_through(wh, p),
-                                 forecast_month_pivot(wh, p), wh.style_master, weeks=p.inbound_weeks)
+                                 forecast_month_pivot(wh, p), wh.style_master, weeks=p.inbound_weeks,
+                                 with_copies=with_copies)
 
 
 def marketing_dashboard(wh: Warehouse, p: Params) -> DataFrame:
-    return merge.marketing_dashboard(anchored_outer_merge(wh, p), weeks=p.inbound_weeks)
+    # the final MAX ignores multiplicity, so the merge is not grouped into (row, copies)
+    return merge.marketing_dashboard(anchored_outer_merge(wh, p, with_copies=False), weeks=p.inbound_weeks)
 
 
 # -- net revenue by account ------------------------------------------------------------------------
