@@ -48,20 +48,10 @@ def is_blank(c) -> Column:
     return F.octet_length(col(c)) == 0
 
 
-def zero_if_null(c, type_: str | None = None) -> Column:
-    c = col(c)
-    zero = F.lit(0) if type_ is None else F.lit(0).cast(type_)
-    return F.coalesce(c, zero)
-
-
 def row_sum(cols: Iterable) -> Column:
     return reduce(add, [col(c) for c in cols])
 
 
-def to_money(c) -> Column:
-    return col(c).cast(MONEY)
-
-
 # --- seasons -------------------------------------------------------------------------------
 
 def season_year_text(season) -> Column:
