@@ -21,17 +21,22 @@ def anchored_outer_merge(anchor: DataFrame, anchor_key: str,
     side is NULL would carry the same NULL key into each following join (one hot partition).  The
     equivalent plan used here is
 
-        (anchor LEFT JOIN o1 LEFT JOIN o2 ...)  UNION ALL  (o_i LEFT ANTI JOIN anchor, for each i)
+        (anchor LEFT JOIN o1 LEFT JOIN o2 ...)
+        UNION ALL
+        ((o1 UNION ALL o2 UNION ALL ...) LEFT ANTI JOIN anchor keys)
 
-    The left joins share the anchor's hash partitioning on the key, and each source's shuffle is
-    reused by its anti join.  All column names across inputs must be distinct.
+    Anti join distributes over union, so one anti join serves all sources and the anchor is read
+    by two consumers only.  The left joins share the anchor's hash partitioning on the key.  All
+    column names across inputs must be distinct.
     """
     matched = anchor
     for df, key in others:
         matched = matched.join(df, matched[anchor_key] == df[key], "left")
     keys = anchor.select(F.col(anchor_key).alias("_anchor_key"))
-    unmatched = [df.join(keys, df[key] == keys["_anchor_key"], "left_anti") for df, key in others]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [matched, *unmatched])
+    pooled = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                    [df.withColumn("_source_key", df[key]) for df, key in others])
+    unmatched = pooled.join(keys, pooled["_source_key"] == keys["_anchor_key"], "left_anti").drop("_source_key")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 SELL_COLUMNS = ("t4w_sellthru_units", "t4w_sellin_units", "t4w_retailer_onhand")
