@@ -65,20 +65,20 @@ def test_snapshot_dedup_collapses_equal_values(spark):
     recs = [(D(2000, 6, 1), D(2000, 8, 3), 5), (D(2000, 6, 15), D(2000, 8, 3), 5), (D(2000, 6, 20), D(2000, 8, 3), 7)]
     df = spark.createDataFrame([dict(base, file_date=f, demand_date=d, quantity=q) for f, d, q in recs])
     out = forecast.snapshot_dedup(df, account_patterns=["%AUTO%"])
-    got = out.select("forecast", "vanguard_date").collect()
-    assert sorted((r.forecast, r.vanguard_date) for r in got) == [(5, D(2000, 6, 15)), (7, D(2000, 6, 20))]
+    got = out.select("forecast", "snapshot_date").collect()
+    assert sorted((r.forecast, r.snapshot_date) for r in got) == [(5, D(2000, 6, 15)), (7, D(2000, 6, 20))]
     pivot = forecast.forecast_month_pivot(out, "2000-06-15 10:00:00").first()
     assert (pivot.current_month_forecast, pivot.forecast_1m, pivot.forecast_2m) == (0, 0, 12)
 
 
 def test_sell_through_multiplicity_matches_self_join(spark):
-    recs = [("1", "d1", "AMAZON A", D(2000, 6, 12), 3, 10), ("1", "d1", "AMAZON B", D(2000, 6, 12), 4, 11),
-            ("1", "d1", "AMAZON A", D(2000, 6, 5), 5, 12), ("2", "d2", "AMAZON A", D(2000, 6, 5), 6, 13),
-            ("3", "d3", "AMAZON A", D(2000, 6, 12), 1, 14), ("3", "d3x", "AMAZON A", D(2000, 6, 12), 2, 14)]
+    recs = [("1", "d1", "MARKET A", D(2000, 6, 12), 3, 10), ("1", "d1", "MARKET B", D(2000, 6, 12), 4, 11),
+            ("1", "d1", "MARKET A", D(2000, 6, 5), 5, 12), ("2", "d2", "MARKET A", D(2000, 6, 5), 6, 13),
+            ("3", "d3", "MARKET A", D(2000, 6, 12), 1, 14), ("3", "d3x", "MARKET A", D(2000, 6, 12), 2, 14)]
     df = spark.createDataFrame(recs, "material string, material_description string, retailer string, "
                                      "week_start date, units_sold bigint, units_on_hand bigint")
-    got = sellthrough.sell_through(df, "2000-06-15 10:00:00", retailer_patterns=["%AMAZON%"])
-    w = sellthrough.sell_through_window(df, "2000-06-15 10:00:00", retailer_patterns=["%AMAZON%"])
+    got = sellthrough.sell_through(df, "2000-06-15 10:00:00", retailer_patterns=["%MARKET%"])
+    w = sellthrough.sell_through_window(df, "2000-06-15 10:00:00", retailer_patterns=["%MARKET%"])
     tot = w.groupBy("material", "material_description").agg(F.sum("units_sold").alias("t"))
     mx = w.agg(F.max("week_start")).first()[0]
     o = w.where(F.col("week_start") == mx).select(F.col("material").alias("om"), F.col("week_start").alias("ow"),

@@ -38,11 +38,11 @@ def lead_forecast(history: DataFrame, snapshots: DataFrame, material: DataFrame,
     joined = (hist.join(snaps, ["file_date", "module", "sales_group"])
                   .join(names, "material")
                   .where(fmonth == F.add_months(month_floor(F.col("file_date")), lead)))
-    agg = (joined.groupBy(F.col("file_date").alias("vanguard_date"), "module",
+    agg = (joined.groupBy(F.col("file_date").alias("snapshot_date"), "module",
                           fmonth.alias("forecast_month_start"), "calendar_season", "material",
                           "material_description")
                  .agg(F.sum("quantity").cast("bigint").alias("forecast")))
-    return agg.select("vanguard_date", "module",
+    return agg.select("snapshot_date", "module",
                       F.month("forecast_month_start").alias("forecast_month"),
                       F.year("forecast_month_start").alias("forecast_year"),
                       "calendar_season", "material", "material_description", "forecast")
@@ -107,8 +107,8 @@ def snapshot_dedup(forecast: DataFrame, *, account_patterns: Sequence[str],
             .groupBy(month_floor(F.col("file_date")).alias("submitted_date"),
                      month_floor(F.col("demand_date")).alias("forecasted_date"),
                      "calendar_season", "material", "forecast")
-            .agg(F.max(F.col("file_date").cast("date")).alias("vanguard_date"))
-            .select("vanguard_date", "submitted_date", "forecasted_date", "calendar_season",
+            .agg(F.max(F.col("file_date").cast("date")).alias("snapshot_date"))
+            .select("snapshot_date", "submitted_date", "forecasted_date", "calendar_season",
                     "material", "forecast"))
 
 
