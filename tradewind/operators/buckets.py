@@ -48,7 +48,8 @@ def bulk_buckets(open_orders: DataFrame, keys: DataFrame, as_of, *, plant: str,
     cancel = F.col("cancel_dt")
     m = months_from(as_of, cancel)
     n = month_diff(cancel, F.date_add(F.col("sched_req_dt"), landing_lag_days))
-    lines = (open_orders.join(keys.select("order_id"), "order_id", "left_semi")
+    # a semi join only needs each key once: de-duplicate map-side before the key set is shuffled
+    lines = (open_orders.join(keys.select("order_id").distinct(), "order_id", "left_semi")
                         .where((F.col("plant") == plant) & (F.col("open_qty") > 0)
                                & month_window(as_of, 0, 1, cancel)))
     c0, c1 = m == 0, m == 1
