@@ -7,11 +7,12 @@ column pruning and predicate pushdown reach the Parquet scans through the role d
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import MONEY
 
@@ -75,14 +76,40 @@ def jdbc_reader(url: str, properties: dict[str, str],
     return read
 
 
+def role(build: Callable[["Warehouse"], DataFrame]) -> property:
+    """A role view: built once per Warehouse, with the Warehouse's text normalisation applied."""
+    name = build.__name__
+
+    @functools.wraps(build)
+    def get(self: "Warehouse") -> DataFrame:
+        if name not in self._roles:
+            self._roles[name] = self._normalise(build(self))
+        return self._roles[name]
+    return property(get)
+
+
 class Warehouse:
-    """Lazy role views over the input tables of one location (Parquet by default)."""
+    """Lazy role views over the input tables of one location (Parquet by default).
 
-    def __init__(self, spark: SparkSession, sf_dir: str, reader: TableReader | None = None):
+    ``trim_codes`` removes trailing blanks from every text column of the roles, so padded codes
+    compare, join and group equal to unpadded ones as in the source warehouse.  It is off by default:
+    untouched text columns keep their filters pushable into the Parquet scan.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, reader: TableReader | None = None,
+                 trim_codes: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._reader = reader or parquet_reader(self.sf_dir)
         self._tables: dict[str, DataFrame] = {}
+        self._roles: dict[str, DataFrame] = {}
+        self.trim_codes = trim_codes
+
+    def _normalise(self, df: DataFrame) -> DataFrame:
+        if not self.trim_codes:
+            return df
+        return df.select(*[(F.rtrim(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType)
+                            else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields])
 
     def table(self, name: str) -> DataFrame:
         """The input table (read once per Warehouse: file listing and footers are not re-read)."""
@@ -107,7 +134,7 @@ class Warehouse:
         return df.join(p, df.l_partkey == p.p_partkey)
 
     # -- roles ----------------------------------------------------------------------------------
-    @cached_property
+    @role
     def sales_fact(self) -> DataFrame:
         df = self._with_part(self._line_customer())
         sd = _sd()
@@ -134,7 +161,7 @@ class Warehouse:
             F.when(opened, _amt()).otherwise(F.lit(0).cast(MONEY)).alias("open_amt"),
         )
 
-    @cached_property
+    @role
     def open_orders(self) -> DataFrame:
         sd = _sd()
         return self.table("lineitem").select(
@@ -149,7 +176,7 @@ class Warehouse:
             F.when(F.col("l_linestatus") == "F", F.lit(0).cast("bigint")).otherwise(_qty()).alias("open_qty"),
         )
 
-    @cached_property
+    @role
     def available_to_sell(self) -> DataFrame:
         df = self._with_part(self.table("lineitem").where(F.col("l_linestatus") == "O"))
         return df.select(
@@ -161,7 +188,7 @@ class Warehouse:
             _qty().alias("quantity"),
         )
 
-    @cached_property
+    @role
     def sell_through(self) -> DataFrame:
         li = self.table("lineitem")
         o = self.table("orders").select("o_orderkey", "o_custkey")
@@ -174,7 +201,7 @@ class Warehouse:
                   .agg(F.sum(_qty()).cast("bigint").alias("units_sold"),
                        F.sum(F.col("l_linenumber")).cast("bigint").alias("units_on_hand")))
 
-    @cached_property
+    @role
     def forecast(self) -> DataFrame:
         df = self._with_part(self._line_customer())
         sd = _sd()
@@ -195,18 +222,18 @@ class Warehouse:
             _qty().alias("quantity"),
         )
 
-    @cached_property
+    @role
     def forecast_history(self) -> DataFrame:
         return self.forecast.withColumnRenamed("forecast_group", "sales_group")
 
-    @cached_property
+    @role
     def selected_snapshots(self) -> DataFrame:
         f = self.forecast
         return (f.groupBy(F.trunc("file_date", "MM").alias("snapshot_month"), "module", "forecast_group")
                  .agg(F.max("file_date").alias("file_date"))
                  .select("file_date", "module", F.col("forecast_group").alias("sales_group")))
 
-    @cached_property
+    @role
     def line_list(self) -> DataFrame:
         df = self._with_part(self.table("lineitem"))
         sd = _sd()
@@ -228,7 +255,7 @@ class Warehouse:
                       (msrp * F.lit(0.5)).cast(MONEY).alias("whsl"))
                   .distinct())
 
-    @cached_property
+    @role
     def style_master(self) -> DataFrame:
         division = F.when(F.col("p_size") <= 25, F.lit("D1")).otherwise(F.lit("D2"))
         return self.table("part").select(
@@ -242,21 +269,21 @@ class Warehouse:
             F.col("p_retailprice").cast(MONEY).alias("price"),
         )
 
-    @cached_property
+    @role
     def material(self) -> DataFrame:
         return self.style_master.select("material", "material_description")
 
-    @cached_property
+    @role
     def calendar(self) -> DataFrame:
         sd = _sd()
         return self.table("lineitem").select(sd.alias("the_date"), _half(sd).alias("season_name")).distinct()
 
-    @cached_property
+    @role
     def upc_bridge(self) -> DataFrame:
         upc = F.col("l_partkey") * 100000 + F.col("l_suppkey")
         return self.table("lineitem").select(upc.cast("bigint").alias("upc"), _material().alias("material")).distinct()
 
-    @cached_property
+    @role
     def forecast_sheet(self) -> DataFrame:
         """Wide monthly sheet: an unused leading column, two id columns, the UPC, April..October."""
         upc = (F.col("l_partkey") * 100000 + F.col("l_suppkey")).cast("bigint")
