@@ -25,9 +25,16 @@ NULL_SPREAD = 1024
 
 
 def _null_salt(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Extra join key: 0 for rows with complete keys, 1..NULL_SPREAD for rows with a NULL key."""
-    spread = (F.abs(F.xxhash64(*[df[c] for c in df.columns])) % NULL_SPREAD + 1).cast("int")
-    return df.withColumn(name, F.when(_all_not_null(df, keys), F.lit(0)).otherwise(spread))
+    """Extra join key: for rows with complete keys a hash of the key values (equal on both sides for
+    matching rows), for rows with a NULL key a hash of the whole row, in a separate range.
+
+    The complete-key value depends on the data, so Catalyst cannot fold it into a constant and drop
+    it from the join keys (a literal 0 would become a post-join filter and the NULL-key rows would
+    share one partition again).  Keys are hashed as text so int and bigint keys hash alike.
+    """
+    key_hash = F.pmod(F.xxhash64(*[df[k].cast("string") for k in keys]), F.lit(NULL_SPREAD))
+    spread = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(NULL_SPREAD)) + NULL_SPREAD
+    return df.withColumn(name, F.when(_all_not_null(df, keys), key_hash).otherwise(spread).cast("int"))
 
 
 def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
@@ -35,15 +42,15 @@ def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     """Equi outer join (``full`` or ``left``) that does not pile NULL-key rows into one task.
 
     A row with a NULL join key never matches, yet a sort-merge join hashes all such rows to the same
-    partition.  Each side gets one more join key: 0 when its keys are complete, otherwise a hash of
-    the row in 1..NULL_SPREAD.  Complete-key rows join exactly as before (0 = 0); NULL-key rows still
-    match nothing (NULL = x is never true) but are spread over many partitions.  The two sides must
+    partition.  Each side gets one more join key (see ``_null_salt``): matching rows carry equal
+    values, so complete-key rows join exactly as before, while NULL-key rows still match nothing
+    (NULL = x is never true) but are spread over NULL_SPREAD partitions.  The two sides must
     have disjoint column names.
     """
     if how not in ("full", "left"):
         raise ValueError("how must be 'full' or 'left'")
     lhs = _null_salt(left, left_keys, "_lnull")
-    rhs = _null_salt(right, right_keys, "_rnull") if how == "full" else right.withColumn("_rnull", F.lit(0))
+    rhs = _null_salt(right, right_keys, "_rnull")
     cond = reduce(and_, [lhs[a] == rhs[b] for a, b in zip(left_keys, right_keys)]
                   + [lhs["_lnull"] == rhs["_rnull"]])
     return lhs.join(rhs, cond, how).drop("_lnull", "_rnull")
