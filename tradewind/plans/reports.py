@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import accounts, buckets, forecast, merge, product, sellthrough, sheet
-from ..session import materialize
+from ..session import materialize, materialize_all
 from ..sources import Warehouse, select_positions, sheet_to_json_rows, shred_json_rows, typed_sheet
 from .params import Params
 
@@ -69,8 +69,14 @@ def open_order_buckets(wh: Warehouse, p: Params) -> DataFrame:
                                       sales_org=p.sales_org)
 
 
-def sell_through(wh: Warehouse, p: Params) -> DataFrame:
-    return sellthrough.sell_through(wh.sell_through, p.as_of, retailer_patterns=p.account_patterns,
+def sell_through(wh: Warehouse, p: Params, stored: bool = True) -> DataFrame:
+    # The filtered window feeds the totals, the latest-week maximum and both collapsed sides, each
+    # pruning other columns; storing it once keeps the weekly role from being recomputed per consumer.
+    window = sellthrough.sell_through_window(wh.sell_through, p.as_of, retailer_patterns=p.account_patterns,
+                                             days=p.sell_through_days)
+    if stored:
+        window = materialize(window)
+    return sellthrough.sell_through(window, p.as_of, retailer_patterns=p.account_patterns,
                                     days=p.sell_through_days)
 
 
@@ -89,9 +95,13 @@ def forecast_month_pivot(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def anchored_outer_merge(wh: Warehouse, p: Params, with_copies: bool = True) -> DataFrame:
-    return merge.marketing_merge(bulk_max_by_material(wh, p), inbound_buckets(wh, p), sell_in_trailing(wh, p),
-                                 open_order_buckets(wh, p), sell_through(wh, p),
-                                 forecast_month_pivot(wh, p), wh.style_master, weeks=p.inbound_weeks,
+    # Each branch is a per-material aggregate read twice by the merge (join chain and anti join) with
+    # different columns, which defeats exchange reuse.  Stored once (as concurrent jobs), every fact
+    # scan of the dashboard runs exactly once.
+    bulk, ats, sell_in, opened, thru, fc = materialize_all([
+        bulk_max_by_material(wh, p), inbound_buckets(wh, p), sell_in_trailing(wh, p),
+        open_order_buckets(wh, p), sell_through(wh, p), forecast_month_pivot(wh, p)])
+    return merge.marketing_merge(bulk, ats, sell_in, opened, thru, fc, wh.style_master, weeks=p.inbound_weeks,
                                  with_copies=with_copies)
 
 

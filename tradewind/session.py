@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,19 +54,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Compute ``df`` once into the session's checkpoint directory and continue from the stored copy.
+    """Compute ``df`` once into a Parquet table under the session's checkpoint directory and continue
+    from the stored copy.
 
-    Used where a report reads the same intermediate result several times: the stored copy is read
-    instead of recomputing its lineage, and a lost executor only costs work after this point.  A
+    Used where a report reads the same intermediate result several times (possibly with different
+    columns, which defeats exchange reuse): the stored table is read instead of recomputing the
+    lineage, and a lost executor only costs work after this point.  A written table is computed
+    once, whereas ``Dataset.checkpoint`` computes an uncached plan twice (count, then write).  A
     cluster session without ``spark.checkpoint.dir`` keeps the lazy plan (nothing machine-local is
     written).
     """
     spark = df.sparkSession
     try:
-        ensure_checkpoint_dir(spark)
+        base = ensure_checkpoint_dir(spark)
     except RuntimeError:
         return df
-    return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def materialize_all(dfs):
+    """:func:`materialize` several independent results as concurrent Spark jobs (one driver thread
+    per write), so their stages share the executors instead of running one job after another."""
+    from concurrent.futures import ThreadPoolExecutor
+    dfs = list(dfs)
+    if len(dfs) <= 1:
+        return [materialize(df) for df in dfs]
+    try:
+        ensure_checkpoint_dir(dfs[0].sparkSession)  # resolve once, before the threads start
+    except RuntimeError:
+        return dfs
+    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
+        return list(pool.map(materialize, dfs))
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
