@@ -10,10 +10,10 @@ from tradewind.sources import Warehouse
 
 
 def test_cli_writes_report(spark, sf_small):
-    out = os.path.join(tempfile.mkdtemp(prefix="tradewind-cli-"), "dash")
-    main(["marketing_dashboard", sf_small, out], spark=spark)
+    out = os.path.join(tempfile.mkdtemp(prefix="tradewind-cli-"), "inbound")
+    main(["inbound_buckets", sf_small, out], spark=spark)
     got = spark.read.parquet(out)
-    want = present(REPORTS["marketing_dashboard"](Warehouse(spark, sf_small), FIXTURE))
+    want = present(REPORTS["inbound_buckets"](Warehouse(spark, sf_small), FIXTURE))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
