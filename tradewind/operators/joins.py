@@ -4,7 +4,7 @@ Broadcast decisions are left to adaptive query execution: with ``spark.sql.adapt
 planner measures each shuffled side at run time and only converts to a broadcast hash join when the
 measured size is under ``spark.sql.autoBroadcastJoinThreshold``, so nothing whose size grows with the
 data is broadcast blindly.  The one explicit broadcast in the library is a one-row global aggregate
-(``broadcast_scalar``), whose size is fixed.
+(``rows_at_max``), whose size is fixed.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ def _null_salt(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
     The complete-key value depends on the data, so Catalyst cannot fold it into a constant and drop
     it from the join keys (a literal 0 would become a post-join filter and the NULL-key rows would
-    share one partition again).  Keys are hashed as text so int and bigint keys hash alike.
+    share one partition again).  Equal values hash alike only with equal types, which
+    :func:`outer_join` checks.
     """
-    key_hash = F.pmod(F.xxhash64(*[df[k].cast("string") for k in keys]), F.lit(NULL_SPREAD))
+    key_hash = F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(NULL_SPREAD))
     spread = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(NULL_SPREAD)) + NULL_SPREAD
     return df.withColumn(name, F.when(_all_not_null(df, keys), key_hash).otherwise(spread).cast("int"))
 
@@ -45,10 +46,14 @@ def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     partition.  Each side gets one more join key (see ``_null_salt``): matching rows carry equal
     values, so complete-key rows join exactly as before, while NULL-key rows still match nothing
     (NULL = x is never true) but are spread over NULL_SPREAD partitions.  The two sides must
-    have disjoint column names.
+    have disjoint column names and keys of equal types.
     """
     if how not in ("full", "left"):
         raise ValueError("how must be 'full' or 'left'")
+    ltypes = [left.schema[k].dataType for k in left_keys]
+    rtypes = [right.schema[k].dataType for k in right_keys]
+    if ltypes != rtypes:
+        raise TypeError(f"join keys must have equal types, got {ltypes} and {rtypes}")
     lhs = _null_salt(left, left_keys, "_lnull")
     rhs = _null_salt(right, right_keys, "_rnull")
     cond = reduce(and_, [lhs[a] == rhs[b] for a, b in zip(left_keys, right_keys)]
