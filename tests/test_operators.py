@@ -166,3 +166,12 @@ def test_projected_sales_multiplies_rows_differing_only_in_description(spark):
     got = {r.month: r.projected_sales for r in accounts.projected_sales(final, "2000-06-15 10:00:00").collect()}
     # January is past: sold 3 summed over the two rows -> 6; September is current/future: forecast 5
     assert got == {"01": 6, "09": 5}
+
+
+def test_outer_join_requires_equal_key_types(spark):
+    left = spark.createDataFrame([(1, "a")], "k int, lv string")
+    right = spark.createDataFrame([(1, "b")], "rk bigint, rv string")
+    with pytest.raises(TypeError):
+        joins.outer_join(left, right, ["k"], ["rk"], how="left")
+    ok = joins.outer_join(left, right.select(F.col("rk").cast("int").alias("rk"), "rv"), ["k"], ["rk"], how="left")
+    assert [tuple(r) for r in ok.collect()] == [(1, "a", 1, "b")]
