@@ -48,3 +48,12 @@ def test_only_bounded_explicit_broadcast(spark, sf_small):
     df = E.queries()["latest_week_onhand"](spark, sf_small)
     hints = df._jdf.queryExecution().analyzed().toString()
     assert hints.count("broadcast") <= 1
+
+
+def test_lead_month_filter_runs_before_the_fact_joins(spark, sf_small):
+    df = E.queries()["lead_forecast"](spark, sf_small)
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    fact_join = min(i for i, line in enumerate(lines) if "Join Inner, (l_orderkey" in line)
+    lead_filter = [i for i, line in enumerate(lines) if "Filter" in line and "add_months" in line]
+    # printed below the lineitem-orders join means evaluated on lineitem rows before it
+    assert lead_filter and min(lead_filter) > fact_join
