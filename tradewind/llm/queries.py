@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, secret_scan, simhash
+from . import bpe, langid, license_scan, packing, secret_scan, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text(spans).alias("spans"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    starts, base = F.transform("base", lambda p: p["word"]), F.transform("base", lambda p: p["label"])
+    every = F.concat(base, F.transform("found", lambda d: d["label"]))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_distinct(every)), ",").alias("labels"), "score")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -48,9 +58,23 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op4_language_id, op6_byte_level_bpe, op7_best_fit_packing, op9_simhash_near_dedup)
+    f.__name__: f for f in (op2_secret_scan, op3_license_scan, op4_language_id, op6_byte_level_bpe, op7_best_fit_packing,
+                            op9_simhash_near_dedup, op10_warc)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+             t AS (SELECT html, max(page_id) AS target FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN t.target <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN t.target <> p.page_id THEN t.target END AS refers_to
+        FROM p LEFT JOIN t ON p.html = t.html AND p.n >= 1000""",
+}
