@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_batches, store, type_of
+from .storage import kept_as, map_texts, store
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 6_000
@@ -143,31 +142,25 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     return Model(langs, words, by_size, tuple(share))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-            extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *extra, lang_pred, score): one row per input row, from the text alone.
+def predictions(docs: DataFrame, model: Model, kept: list[str], text_col: str = "text") -> DataFrame:
+    """``map_texts`` of ``kept`` with result struct<lang_pred, score>, from the text alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words + max_grams entries
+
+    def make():
+        predict_one = sent.value.predict
+        return lambda text: dict(zip(("lang_pred", "score"), predict_one(text)))
+    return map_texts(docs, kept, text_col, make, "struct<lang_pred:string,score:double>",
+                     pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, lang_pred, score): one row per input row.
 
     Null and empty texts, and texts without a letter, are ``und`` with score 0.  Equal scores go to the
-    alphabetically first language.  Repeated rows keep a row each; an empty table gives none.
+    alphabetically first language.  Repeated rows keep a row each; an empty table gives none.  Other
+    columns are not read.
     """
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by max_words + max_grams entries
-    kept = [id_col, *extra]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            n = len(kept)
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                found = [m.predict(t.as_py()) for t in part.column(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                    names=[f"k{i}" for i in range(n)] + ["lang_pred", "score"])
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"k{i} {type_of(docs, c)}" for i, c in enumerate(kept))
-    out = map_batches(rows, run, f"{schema}, lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score")
+    return predictions(docs, model, [id_col], text_col).select(*kept_as([id_col]), "result.lang_pred", "result.score")
 
 
 def fold(id_col: str = "doc_id"):

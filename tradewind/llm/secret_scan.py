@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_batches, type_of
+from .storage import kept_as, map_texts
 
 MIN_LOG10_GUESSES = 10.0
+MARK = "[secret]"
 KINDS = ("assign", "access", "hex", "guess")
 
 #: The base patterns, each with the group whose length counts and its least length.
@@ -169,41 +170,42 @@ def find_spans(text: str | None, words: dict[str, int], least: float = MIN_LOG10
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words=WORDS,
-         min_log10_guesses: float = MIN_LOG10_GUESSES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *extra, spans): ``spans`` is array<struct<kind, start, end>> over the whole text.
+         min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
+    """(id_col, spans): ``spans`` is array<struct<kind, start, end>> over the whole text.
 
-    Null and empty texts have no spans; repeated rows keep a row each; an empty table gives none.
+    Null and empty texts have no spans; repeated rows keep a row each; an empty table gives none.  Other
+    columns are not read.
     """
     ranks = word_ranks(words)
-    kept = [id_col, *extra]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found = [[dict(zip(("kind", "start", "end"), s)) for s in find_spans(t.as_py(), ranks, min_log10_guesses)]
-                         for t in part.column(len(kept))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(found, kind)],
-                                                 names=[f"k{i}" for i in range(len(kept))] + ["spans"])
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"k{i} {type_of(docs, c)}" for i, c in enumerate(kept))
-    out = map_batches(rows, run, f"{schema}, spans array<struct<kind:string,start:bigint,end:bigint>>")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "spans")
-
-
-def redact(text, spans, mark: str = "[secret]"):
-    """Column: ``text`` with every found span replaced by ``mark`` (overlapping spans by one)."""
-    start = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                              F.lit(mark)).alias("out"), s["end"].alias("at")))
-        .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))))
-    return F.when(F.size(spans) <= 0, text).otherwise(
-        F.concat(start["out"], F.substring(text, (start["at"] + 1).cast("int"), F.length(text))))
+
+    def make():
+        return lambda text: [dict(zip(("kind", "start", "end"), s)) for s in find_spans(text, ranks, min_log10_guesses)]
+    found = map_texts(docs, [id_col], text_col, make, "array<struct<kind:string,start:bigint,end:bigint>>",
+                      pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+    return found.select(*kept_as([id_col]), F.col("result").alias("spans"))
+
+
+def redact_text(text: str | None, spans: list[tuple[str, int, int]], mark: str = MARK) -> str | None:
+    """The text with every span replaced by ``mark``; overlapping spans are replaced as one."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, text_col: str = "text", words=WORDS, min_log10_guesses: float = MIN_LOG10_GUESSES,
+           mark: str = MARK) -> DataFrame:
+    """``docs`` with the secrets of ``text_col`` replaced; all columns and rows stay."""
+    ranks = word_ranks(words)
+
+    def make():
+        return lambda text: redact_text(text, find_spans(text, ranks, min_log10_guesses), mark)
+    done = map_texts(docs, docs.columns, text_col, make, "string", pa.string())
+    return done.select(*[F.col("result").alias(c) if c == text_col else k for c, k in zip(docs.columns, kept_as(docs.columns))])
 
 
 def spans_text(spans, kinds=KINDS):

@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,9 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def named(column: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 _SHIPPED: set[str] = set()
@@ -82,3 +84,31 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` whose function may refer to this package's modules."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def map_texts(docs: DataFrame, kept: list[str], text_col: str, make: Callable[[], Callable], result: str, kind: pa.DataType,
+              rows_at_once: int = 512) -> DataFrame:
+    """(k0, k1, ..., result): the ``kept`` columns by position, and a value made from each row's text.
+
+    ``make()`` gives, once per task, the function from a text (or None) to the value, whose Spark type is
+    ``result`` and Arrow type ``kind``.  Columns go by position, so no name can clash with the result's.
+    """
+    at = kept.index(text_col) if text_col in kept and type_of(docs, text_col) == "string" else len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for b in batches:
+            for lo in range(0, b.num_rows, rows_at_once):
+                part = b.slice(lo, rows_at_once)
+                values = pa.array([one(t.as_py()) for t in part.column(at)], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], values], names=[f"k{i}" for i in range(len(kept))] + ["result"])
+    columns = [named(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    if at == len(kept):
+        columns.append(named(text_col).cast("string").alias("text"))
+    fields = [f"k{i} {type_of(docs, c)}" for i, c in enumerate(kept)]
+    return map_batches(docs.select(*columns), run, ", ".join([*fields, f"result {result}"]))
+
+
+def kept_as(kept: list[str]) -> list[Column]:
+    """The columns of ``map_texts`` under their own names."""
+    return [F.col(f"k{i}").alias(c) for i, c in enumerate(kept)]
