@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_batches, map_texts, named, store, type_of
+from .storage import free_name, map_batches, map_texts, named, store, type_of
 
 SEED = 42
 COMBOS = tuple(combinations(range(8), 4))
@@ -287,14 +287,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest row by all columns stays.
     """
     columns = docs.columns
-    found = store(near_dedup(docs, id_col, text_col, **options))
-    first = found.select("component_id").where("component_id IS NOT NULL").distinct()
-    kept = docs.join(first, named(id_col) == F.col("component_id"), "left_semi")
-    repeated = store(found.where(named(id_col).isNotNull()).groupBy(named(id_col).alias("id")).count().where("count > 1").select("id"))
+    key, row = free_name(columns, "kept_id"), free_name(columns, "kept_row")
+    found = store(near_dedup(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"))
+    first = found.where("component_id IS NOT NULL").select(F.col("component_id").alias(key)).distinct()
+    kept = docs.join(first, named(id_col) == F.col(key), "left_semi")
+    repeated = store(found.where("id IS NOT NULL").groupBy(F.col("id").alias(key)).count().where("count > 1").select(key))
     if not repeated.isEmpty():
-        many = kept.join(repeated, named(id_col) == F.col("id"), "left_semi")
-        kept = kept.join(repeated, named(id_col) == F.col("id"), "left_anti")
-        kept = kept.unionAll(many.groupBy(named(id_col)).agg(F.min(F.struct(*map(named, columns))).alias("__row")).select("__row.*"))
+        many = kept.join(repeated, named(id_col) == F.col(key), "left_semi")
+        kept = kept.join(repeated, named(id_col) == F.col(key), "left_anti")
+        smallest = many.groupBy(named(id_col).alias(key)).agg(F.min(F.struct(*map(named, columns))).alias(row))
+        kept = kept.unionAll(smallest.select(f"{row}.*"))
     orphans = store(found.where("component_id IS NULL").select("fp", "class_fp").distinct())
     if not orphans.isEmpty():
         words = options.get("shingle_words", 4)
@@ -303,6 +305,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return lambda text: int(np.uint64(fingerprint(text, words)).view(np.int64))
         rows = map_texts(docs.where(named(id_col).isNull()), columns, text_col, make, "bigint", pa.int64())
         rows = rows.join(orphans, rows["result"] == orphans["fp"])
-        smallest = rows.groupBy("class_fp").agg(F.min(F.struct(*[F.col(f"k{i}") for i in range(len(columns))])).alias("__row"))
-        kept = kept.unionAll(smallest.select("__row.*").toDF(*columns))
+        smallest = rows.groupBy("class_fp").agg(F.min(F.struct(*[F.col(f"k{i}") for i in range(len(columns))])).alias("kept_row"))
+        kept = kept.unionAll(smallest.select("kept_row.*").toDF(*columns))
     return kept

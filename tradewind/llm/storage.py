@@ -59,6 +59,14 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """``stem``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 _SHIPPED: set[str] = set()
 
 
