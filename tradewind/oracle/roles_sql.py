@@ -27,7 +27,9 @@ SELECT l.l_orderkey AS order_id,
             ELSE CAST(0 AS DECIMAL(18,2)) END AS ship_amt,
        CASE WHEN l.l_linestatus = 'O' THEN CAST(l.l_quantity AS BIGINT) ELSE CAST(0 AS BIGINT) END AS open_qty,
        CASE WHEN l.l_linestatus = 'O' THEN CAST(l.l_extendedprice AS DECIMAL(18,2))
-            ELSE CAST(0 AS DECIMAL(18,2)) END AS open_amt
+            ELSE CAST(0 AS DECIMAL(18,2)) END AS open_amt,
+       CASE WHEN l.l_linestatus = 'O' AND l.l_discount < CAST(0.05 AS DOUBLE) THEN CAST(l.l_quantity AS BIGINT)
+            ELSE CAST(0 AS BIGINT) END AS ship_open_qty
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
@@ -108,8 +110,7 @@ SELECT DISTINCT CAST(l.l_partkey AS VARCHAR) AS material,
        CASE WHEN p.p_size % 2 = 0 THEN 'Mens' ELSE 'Womens' END AS gender,
        CAST(p.p_retailprice AS DECIMAL(18,2)) AS msrp,
        CAST(CAST(p.p_retailprice AS DECIMAL(18,2)) * 0.5 AS DECIMAL(18,2)) AS whsl
-FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE (l.l_partkey + year(l.l_shipdate)) % 3 <> 0"""
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""
 
 ROLE_SQL["style_master"] = """
 SELECT CAST(p_partkey AS VARCHAR) AS material,
@@ -130,28 +131,12 @@ SELECT DISTINCT {_SD} AS the_date, {_HALF.format(d='l.l_shipdate')} AS season_na
 FROM lineitem l"""
 
 ROLE_SQL["upc_bridge"] = """
-SELECT DISTINCT CAST(l_partkey * 100000 + l_suppkey AS BIGINT) AS upc, CAST(l_partkey AS VARCHAR) AS material
+SELECT DISTINCT CAST(l_partkey AS VARCHAR) || lpad(CAST(l_suppkey AS VARCHAR), 19, '0') AS upc, CAST(l_partkey AS VARCHAR) AS material
 FROM lineitem"""
 
-ROLE_SQL["forecast_sheet"] = """
-SELECT CAST(upc AS VARCHAR) AS sheet_line,
-       'A' || CAST(upc AS VARCHAR) AS asin,
-       'V' || CAST(upc % 100000 AS VARCHAR) AS vendor_code,
-       upc, m04, m05, m06, m07, m08, m09, m10
-FROM (SELECT CAST(l_partkey * 100000 + l_suppkey AS BIGINT) AS upc,
-             CAST(sum(CASE WHEN month(l_shipdate) = 4 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m04,
-             CAST(sum(CASE WHEN month(l_shipdate) = 5 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m05,
-             CAST(sum(CASE WHEN month(l_shipdate) = 6 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m06,
-             CAST(sum(CASE WHEN month(l_shipdate) = 7 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m07,
-             CAST(sum(CASE WHEN month(l_shipdate) = 8 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m08,
-             CAST(sum(CASE WHEN month(l_shipdate) = 9 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m09,
-             CAST(sum(CASE WHEN month(l_shipdate) = 10 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS m10
-      FROM lineitem GROUP BY 1) w"""
-
-# Roles that other roles are built from.
-ROLE_DEPENDS = {
-    "forecast_history": ("forecast",),
-    "selected_snapshots": ("forecast",),
-    "material": ("style_master",),
-}
-ROLE_ORDER = list(ROLE_SQL)
+ROLE_SQL["forecast_sheet"] = f"""
+SELECT upc AS sheet_line, 'A' || upc AS asin, 'V' || CAST(supplier AS VARCHAR) AS vendor_code, upc,
+       {', '.join(f'm{m:02d}' for m in range(4, 11))}
+FROM (SELECT CAST(l_partkey AS VARCHAR) || lpad(CAST(l_suppkey AS VARCHAR), 19, '0') AS upc, l_suppkey AS supplier,
+             {', '.join(f'0.5::DOUBLE * sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE month(l_shipdate) = {m}) AS m{m:02d}' for m in range(4, 11))}
+      FROM lineitem GROUP BY 1, 2) w"""
