@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,9 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tradewind.session import ensure_checkpoint_dir, local_session
+    from tradewind.session import local_session
     s = local_session(cores="*", shuffle_partitions=8, app="tradewind-tests")
-    ensure_checkpoint_dir(s)
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tradewind-tests-"))
     yield s
 
 

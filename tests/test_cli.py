@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from tradewind.__main__ import main
 from tradewind.plans import FIXTURE, REPORTS, present
 from tradewind.sources import Warehouse
@@ -11,12 +13,18 @@ from tradewind.sources import Warehouse
 
 def test_cli_writes_report(spark, sf_small):
     out = os.path.join(tempfile.mkdtemp(prefix="tradewind-cli-"), "inbound")
-    main(["inbound_buckets", sf_small, out], spark=spark)
+    main(["inbound_buckets", sf_small, out, "--fixture"], spark=spark)
     got = spark.read.parquet(out)
     want = present(REPORTS["inbound_buckets"](Warehouse(spark, sf_small), FIXTURE))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_cli_wants_clock_and_parameters(spark, sf_small):
+    for more in ([], ["--as-of", "2000-06-15 10:00:00"]):
+        with pytest.raises(SystemExit):
+            main(["inbound_buckets", sf_small, "/nowhere", *more], spark=spark)
+
+
 def test_cli_params_and_clock_override(spark, sf_small):
     tmp = tempfile.mkdtemp(prefix="tradewind-cli-")
     params = os.path.join(tmp, "p.json")

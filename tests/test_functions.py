@@ -67,6 +67,13 @@ def test_text_helpers(spark):
                                        (None, "07", ""), (123, "01", "000123c")]
 
 
+def test_whole_numbers_beyond_a_bigint_are_an_error(spark):
+    df = spark.createDataFrame([("12345678901",), ("4.0",), (" 7 ",), ("x1",)], "m string")
+    assert [r[0] for r in df.select(safe_int("m")).collect()] == [12345678901, None, 7, None]
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([("99999999999999999999",)], "m string").select(safe_int("m")).collect()
+
+
 def test_season_helpers(spark):
     df = spark.createDataFrame([("Spring 2021",), ("FALL 2021",), ("Carryover",), (None,)], "season string")
     got = df.select(season_year("season"), season_half_spring_first("season"), season_half_fall_first("season"),
@@ -90,13 +97,13 @@ def test_rules_first_match_wins(spark):
 def test_rules_with_apostrophe_match_in_spark_and_sql(spark):
     import duckdb
 
-    from tradewind.functions import rules_sql
+    from tradewind.oracle.queries_sql import group_name
     rules = (("equals", ("SPORTSMAN'S_WAREHOUSE",), "SPORTSMAN'S WAREHOUSE"), ("contains", ("O'NEIL",), "ONEIL"))
     values = ["SPORTSMAN'S_WAREHOUSE", "shop o'neil east", "OTHER"]
     df = spark.createDataFrame([(v,) for v in values], "g string")
     got = [r[0] for r in df.select(apply_rules("g", rules)).collect()]
     con = duckdb.connect()
-    sql = f"SELECT {rules_sql('g', rules)} FROM (VALUES " + ", ".join(
+    sql = f"SELECT {group_name('g', rules)} FROM (VALUES " + ", ".join(
         "('" + v.replace("'", "''") + "')" for v in values) + ") t(g)"
     want = [r[0] for r in con.execute(sql).fetchall()]
     assert got == want == ["SPORTSMAN'S WAREHOUSE", "ONEIL", "OTHER"]

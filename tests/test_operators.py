@@ -60,6 +60,47 @@ def test_number_rows_equals_row_number(spark):
     assert rows(got) == rows(want)
 
 
+def test_number_rows_keeps_null_keys(spark):
+    data = [(m, h, t) for m in ("a", None) for h in ("1", None, "2") for t in (1, 2)]
+    df = spark.createDataFrame(data, "m string, hs string, t int")
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("m").orderBy("hs", "t")))
+    assert rows(product.number_rows(df, "m", "hs", ["t"], out="n")) == rows(want)
+
+
+def test_sales_without_a_group_are_dropped(spark):
+    sales = spark.createDataFrame(
+        [("1A", "US", "11", g, D(2000, 6, 1)) for g in ("AUTO", None)],
+        "order_type string, sales_org string, material string, forecast_group string, transaction_dt date")
+    for c, t in (("transaction_year", "int"), ("transaction_month", "int"), ("region", "string"), ("material_description", "string"),
+                 ("category", "string"), ("ship_qty", "bigint"), ("ship_amt", "double"), ("open_qty", "bigint"), ("open_amt", "double")):
+        sales = sales.withColumn(c, F.lit(1).cast(t))
+    sales = sales.withColumn("request_ship_dt", F.col("transaction_dt"))
+    calendar = spark.createDataFrame([(D(2000, 6, 1), "S")], "the_date date, season_name string")
+    out = accounts.sales_with_season(sales, calendar, "2000-06-15 10:00:00", rules=(), excluded_order_types=("x",), excluded_groups=())
+    assert [r.forecast_group for r in out.collect()] == ["AUTO"]
+
+
+def test_suppliers_of_any_size_have_their_own_upc(spark, tmp_path):
+    from tradewind.sources import Warehouse
+    lines = spark.createDataFrame([(1, 100000, 1), (2, 0, 2), (1, 5, 3), (15, 0, 4), (12345678901, 7, 5)], "l_partkey bigint, l_suppkey bigint, l_quantity bigint")
+    lines = lines.withColumn("l_shipdate", F.lit(D(2000, 4, 1)))
+    wh = Warehouse(spark, "none", reader=lambda s, name: lines)
+    assert wh.upc_bridge.select("upc").distinct().count() == 5
+    assert sorted(r.vendor_code for r in wh.forecast_sheet.collect()) == ["V0", "V0", "V100000", "V5", "V7"]
+
+
+def test_sell_in_and_open_orders_from_one_read(spark, sf_small):
+    from tradewind.operators import buckets
+    from tradewind.plans import FIXTURE, REPORTS
+    from tradewind.sources import Warehouse
+    wh, p = Warehouse(spark, sf_small), FIXTURE
+    both = buckets.sales_branches(wh.sales_fact, p.as_of, account_patterns=p.account_patterns, excluded_order_types=p.excluded_order_types,
+                                  bulk_order_types=p.open_bulk_order_types, open_status=p.open_status, sales_org=p.sales_org, days=p.sell_in_days)
+    sell_in, opened = REPORTS["sell_in_trailing"](wh, p).drop("t4w_sellin_rev"), REPORTS["open_order_buckets"](wh, p)
+    assert rows(both.where("has_sell_in").select(*sell_in.columns)) == rows(sell_in)
+    assert rows(both.where("has_open").select(*opened.columns)) == rows(opened)
+
+
 def test_snapshot_dedup_collapses_equal_values(spark):
     base = dict(module="SalesForecast", forecast_group="AUTOMOBILE", calendar_season="Fall-Winter", material="7")
     recs = [(D(2000, 6, 1), D(2000, 8, 3), 5), (D(2000, 6, 15), D(2000, 8, 3), 5), (D(2000, 6, 20), D(2000, 8, 3), 7)]

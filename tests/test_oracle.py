@@ -10,11 +10,23 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import duck, rows_of  # noqa: E402
 
-NAMES = list(E.queries())
+from tradewind.plans import REPORTS  # noqa: E402
 
+NAMES = list(REPORTS)
 
-def test_every_query_has_oracle_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+
+def test_every_report_is_registered_with_oracle_sql():
+    assert set(NAMES) <= set(E.queries()) and set(NAMES) <= set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_oracle_shares_only_parameter_values_with_the_reports():
+    import tradewind.oracle as package
+    folder = os.path.dirname(package.__file__)
+    for name in os.listdir(folder):
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name)) as f:
+                text = f.read()
+            assert "..functions" not in text and "..operators" not in text and "..sources" not in text
 
 
 def test_entry_runs(spark):

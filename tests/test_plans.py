@@ -6,7 +6,9 @@ import pytest
 
 import __spark_entry__ as E
 
-NAMES = list(E.queries())
+from tradewind.plans import REPORTS  # noqa: E402
+
+NAMES = list(REPORTS)
 
 
 def _plan(df) -> str:
@@ -43,6 +45,59 @@ def test_scans_read_only_needed_columns(spark, sf_small):
     assert cols == {"l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_shipdate"}
 
 
+def _pushed(df):
+    text = _formatted(df)
+    return [re.search(r"PushedFilters: (\[.*\])", block).group(1) for block in text.split("lineitem.parquet")[1:] if "PushedFilters" in block.split("\n\n")[0]]
+
+
+@pytest.mark.parametrize("name", ["sell_through", "latest_week_onhand", "lead_forecast"])
+def test_windows_on_derived_dates_reach_the_scan(spark, sf_small, name):
+    assert any("l_shipdate" in p and "GreaterThanOrEqual" in p for p in _pushed(E.queries()[name](spark, sf_small)))
+
+
+def _no_broadcast(spark, on):
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1") if on else spark.conf.unset(key)
+    spark.conf.set("spark.sql.adaptive.enabled", "false" if on else "true")
+
+
+@pytest.mark.parametrize("name, most", [("sell_through", 1), ("anchored_outer_merge", 7), ("marketing_dashboard", 7),
+                                        ("net_revenue_by_account", 7)])
+def test_scans_of_the_fact_table(spark, sf_small, name, most):
+    """Without a folder for intermediate tables the whole report is one plan; scans behind a reused
+    exchange do not run again."""
+    _no_broadcast(spark, True)
+    try:
+        lines = _plan(E.queries()[name](spark, sf_small)).splitlines()
+    finally:
+        _no_broadcast(spark, False)
+    assert 1 <= sum("lineitem.parquet" in line for line in lines) <= most
+
+
+def test_scans_with_stored_intermediates(spark, sf_small, tmp_path):
+    from tradewind.plans import FIXTURE
+    from tradewind.sources import Warehouse
+    wh = Warehouse(spark, sf_small, store_dir=f"file://{tmp_path}")
+    df = REPORTS["marketing_dashboard"](wh, FIXTURE)
+    assert "lineitem.parquet" not in _plan(df) and df.count() == E.queries()["marketing_dashboard"](spark, sf_small).count()
+    wh.close()
+    assert not any(tmp_path.iterdir())
+
+
+def test_no_machine_local_folder_in_the_library():
+    import pathlib
+
+    import tradewind
+    for p in pathlib.Path(tradewind.__file__).parent.rglob("*.py"):
+        if "llm" not in p.parts:
+            assert "mkdtemp" not in p.read_text(), p
+
+
+def test_calendar_join_does_not_shuffle_the_sales_on_dates(spark, sf_small):
+    plan = _plan(E.queries()["sales_with_season"](spark, sf_small))
+    assert not re.search(r"Exchange hashpartitioning\(transaction_dt", plan)
+
+
 def test_only_bounded_explicit_broadcast(spark, sf_small):
     # the single explicit broadcast is the one-row latest-week maximum
     df = E.queries()["latest_week_onhand"](spark, sf_small)

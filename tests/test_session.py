@@ -1,25 +1,38 @@
-"""Session helpers: stored intermediates live under the checkpoint directory; cluster sizing."""
+"""Session helpers: the shared folder, stored tables and cluster sizing."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tradewind.session import cluster_conf, ensure_checkpoint_dir, materialize, materialize_all
+from tradewind.session import TableStore, cluster_conf, shared_dir
 
 
-def test_materialize_writes_under_checkpoint_dir(spark):
-    base = ensure_checkpoint_dir(spark)
-    df = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id"))
-    stored = materialize(df)
-    def norm(path):  # "file:/x" and "file:///x" name the same place
-        return path.split(":", 1)[-1].lstrip("/") if path.startswith("file:") else path.lstrip("/")
-    assert stored.inputFiles() and all(norm(f).startswith(norm(base)) for f in stored.inputFiles())
-    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, df.collect()))
+def test_shared_dir_is_the_named_folder(spark):
+    assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
-def test_materialize_all_keeps_order_and_rows(spark):
-    dfs = [spark.range(n).withColumn("n", F.lit(n)) for n in (3, 5, 7)]
-    out = materialize_all(dfs)
-    assert [d.count() for d in out] == [3, 5, 7]
-    assert [d.select("n").first()[0] for d in out] == [3, 5, 7]
+def test_tables_are_kept_below_the_folder_and_deleted(spark, tmp_path):
+    with TableStore(spark, f"file://{tmp_path}") as tables:
+        dfs = [spark.range(n).withColumn("n", F.lit(n)) for n in (3, 5, 7)]
+        out = tables.keep_all(dfs)
+        assert [d.count() for d in out] == [3, 5, 7] and [d.first()["n"] for d in out] == [3, 5, 7]
+        assert all(str(tmp_path) in f for d in out for f in d.inputFiles())
+        assert tables.keep(spark.range(0)).count() == 0
+    assert not any(tmp_path.iterdir())
+
+
+def test_a_failing_table_fails_the_caller(spark, tmp_path):
+    bad = spark.range(3).select(F.raise_error(F.lit("no such row")).alias("x"))
+    with TableStore(spark, f"file://{tmp_path}") as tables, pytest.raises(Exception, match="no such row"):
+        tables.keep_all([spark.range(2), bad])
+
+
+def test_cluster_refuses_a_machine_local_folder(spark):
+    class Elsewhere:
+        class sparkContext:
+            master = "yarn"
+    with pytest.raises(ValueError):
+        TableStore(Elsewhere, "/tmp/x")
+    TableStore(Elsewhere, "hdfs://x/y")
 
 
 def test_cluster_conf_sizes_partitions_from_input():

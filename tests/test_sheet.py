@@ -6,8 +6,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tradewind.operators import sheet
-from tradewind.sources import (read_sheet, select_positions, sheet_to_json_rows, shred_json_rows, typed_sheet,
-                               write_report)
+from tradewind.sources import (read_sheet, select_positions, sheet_to_json_arrays, sheet_to_json_rows, shred_json_arrays,
+                               shred_json_rows, typed_sheet, write_report)
 
 MONTHS = ("apr", "may", "jun")
 
@@ -32,6 +32,9 @@ def test_positions_json_roundtrip_and_typing(spark):
     assert [f.dataType.simpleString() for f in shredded.schema.fields] == ["bigint", "int", "int", "int"]
     assert sorted(map(tuple, shredded.collect()), key=repr) == sorted(map(tuple, typed.collect()), key=repr)
     assert (100, 4, None, 2) in [tuple(r) for r in shredded.collect()]
+    arrays = sheet_to_json_arrays(sh, MONTHS, rows_per_array=2)
+    assert arrays.count() >= 3
+    assert sorted(map(tuple, shred_json_arrays(arrays, "upc", MONTHS).collect()), key=repr) == sorted(map(tuple, typed.collect()), key=repr)
 
 
 def test_rollup_distinct_at_upc_grain(spark):
@@ -53,5 +56,5 @@ def test_read_sheet_and_write_report_round_trip(spark):
     back = read_sheet(spark, os.path.join(out_dir, "csv"), schema=schema, fmt="csv")
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, src.collect()), key=repr)
     write_report(src.withColumn("part", F.col("upc") % 2), os.path.join(out_dir, "pq"), partition_by=["part"])
-    pq = read_sheet(spark, os.path.join(out_dir, "pq"), fmt="parquet")
+    pq = read_sheet(spark, os.path.join(out_dir, "pq"), schema, fmt="parquet")
     assert pq.count() == src.count()

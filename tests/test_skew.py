@@ -44,11 +44,11 @@ def test_outer_join_spreads_null_keys(no_coalesce):
     left = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("lv"))
     right = spark.range(500).select(F.col("id").alias("rk"), (F.col("id") * 2).alias("rv"))
-    got = joins.outer_join(left, right, ["k"], ["rk"], how="left")
+    got = joins.outer_join(left, right, ["k"], ["rk"], how="full")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        naive = left.join(right, left.k == right.rk, "left")
+        naive = left.join(right, left.k == right.rk, "full")
         assert _partitions_of(naive, F.col("k").isNull()) == 1
         assert _partitions_of(got, F.col("k").isNull()) >= 8
         assert got.count() == naive.count() == 30000

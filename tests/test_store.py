@@ -6,13 +6,13 @@ import tempfile
 import pytest
 
 from tradewind.plans import FIXTURE, REPORTS, present
-from tradewind.sources import StoredWarehouse, Warehouse, save_roles
+from tradewind.sources import StoredWarehouse, Warehouse, jdbc_reader, save_roles
 
 
 @pytest.fixture(scope="module")
 def stored(spark, sf_small):
     path = tempfile.mkdtemp(prefix="tradewind-roles-")
-    save_roles(Warehouse(spark, sf_small), path, partitions=4)
+    save_roles(Warehouse(spark, sf_small), path)
     return StoredWarehouse(spark, path)
 
 
@@ -40,7 +40,7 @@ def test_trailing_window_filter_reaches_stored_files(stored):
 
 def test_date_directories_prune_partitions(spark, sf_small):
     path = tempfile.mkdtemp(prefix="tradewind-roles-dated-")
-    save_roles(Warehouse(spark, sf_small), path, roles=["sales_fact"], partitions=2, partition_by_date=True)
+    save_roles(Warehouse(spark, sf_small), path, roles=["sales_fact"], partition_by_date=True)
     dated = StoredWarehouse(spark, path)
     df = REPORTS["sell_in_trailing"](dated, FIXTURE)
     assert re.search(r"PartitionFilters: \[[^\]]*transaction_dt", _scan_line(df, "sales_fact"))
@@ -48,6 +48,27 @@ def test_date_directories_prune_partitions(spark, sf_small):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, raw.collect()), key=repr)
 
 
+def test_a_failed_save_leaves_the_old_copy(spark, sf_small, tmp_path):
+    save_roles(Warehouse(spark, sf_small), str(tmp_path), roles=["style_master"])
+    before = StoredWarehouse(spark, str(tmp_path)).style_master.count()
+
+    class Broken:
+        def __init__(self):
+            self.spark = spark
+            self.style_master = spark.range(5).selectExpr("raise_error('lost') AS material")
+    with pytest.raises(Exception, match="lost"):
+        save_roles(Broken(), str(tmp_path), roles=["style_master"])
+    assert StoredWarehouse(spark, str(tmp_path)).style_master.count() == before
+    save_roles(Warehouse(spark, sf_small), str(tmp_path), roles=["style_master"])
+    assert StoredWarehouse(spark, str(tmp_path)).style_master.count() == before
+
+
+def test_jdbc_reader_refuses_an_unpartitioned_fact(spark):
+    read = jdbc_reader("jdbc:none:", {}, {"orders": ("o_orderkey", 0, 10, 2)})
+    with pytest.raises(ValueError, match="one task"):
+        read(spark, "lineitem")
+
+
 def test_warehouse_uses_given_table_reader(spark, sf_small):
     seen = []
 
