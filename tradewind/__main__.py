@@ -1,12 +1,13 @@
 """Run a report as a batch job.
 
-    python -m tradewind REPORT INPUT OUTPUT [--format parquet|csv] [--as-of "YYYY-MM-DD HH:MM:SS"]
-                        [--params params.json] [--stored]
+    python -m tradewind REPORT INPUT OUTPUT --as-of "YYYY-MM-DD HH:MM:SS" --params params.json
+                        [--format parquet|csv] [--stored] [--store-dir FOLDER]
+    python -m tradewind REPORT INPUT OUTPUT --fixture
     python -m tradewind save-roles INPUT OUTPUT [--date-directories]
 
 INPUT is a directory of input tables (``<name>.parquet``), or with ``--stored`` a directory written by
-``save-roles``.  ``--params`` is a JSON object of :class:`tradewind.plans.Params` fields overriding the
-defaults.  Under ``spark-submit`` the session comes from the submit configuration.
+``save-roles``.  ``--params`` is a JSON object of :class:`tradewind.plans.Params` fields.  ``--fixture``
+takes the parameters and the clock of the test tables instead.  Under ``spark-submit`` the session comes from the submit configuration.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .plans import FIXTURE, REPORTS, Params, present
 from .sources import StoredWarehouse, Warehouse, save_roles, write_report
 
 
-def _params(path: str | None, as_of: str | None) -> Params:
-    p = FIXTURE
+def _params(base: Params, path: str | None, as_of: str | None) -> Params:
+    p = base
     if path:
         with open(path) as fh:
             raw = json.load(fh)
@@ -49,16 +50,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--as-of", default=None)
     ap.add_argument("--params", default=None)
+    ap.add_argument("--fixture", action="store_true", help="the parameters and clock of the test tables")
+    ap.add_argument("--store-dir", default=None, help="shared folder for intermediate tables")
     ap.add_argument("--stored", action="store_true")
     ap.add_argument("--date-directories", action="store_true")
     args = ap.parse_args(argv)
+    if args.report != "save-roles" and not args.fixture and not (args.as_of and args.params):
+        ap.error("a report needs --as-of and --params (or --fixture for the test tables)")
     spark = spark or SparkSession.builder.appName(f"tradewind-{args.report}").getOrCreate()
     if args.report == "save-roles":
         save_roles(Warehouse(spark, args.input), args.output, partition_by_date=args.date_directories)
         return
-    wh = StoredWarehouse(spark, args.input) if args.stored else Warehouse(spark, args.input)
-    report = REPORTS[args.report](wh, _params(args.params, args.as_of))
+    if args.stored:
+        wh = StoredWarehouse(spark, args.input, store_dir=args.store_dir)
+    else:
+        wh = Warehouse(spark, args.input, store_dir=args.store_dir)
+    report = REPORTS[args.report](wh, _params(FIXTURE, args.params, args.as_of))
     write_report(present(report), args.output, fmt=args.format)
+    wh.close()
 
 
 if __name__ == "__main__":

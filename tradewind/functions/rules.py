@@ -37,20 +37,3 @@ def apply_rules(c, rules: Sequence[Rule]) -> Column:
         cond = rule_predicate(c, kind, values)
         out = F.when(cond, F.lit(target)) if out is None else out.when(cond, F.lit(target))
     return c if out is None else out.otherwise(c)
-
-
-def rules_sql(column: str, rules: Sequence[Rule]) -> str:
-    """The same mapping as SQL text (used by the DuckDB oracle)."""
-    def q(s: str) -> str:
-        return "'" + s.replace("'", "''") + "'"
-
-    if not rules:
-        return column
-    parts = []
-    for kind, values, target in rules:
-        if kind == "equals":
-            cond = f"{column} IN ({', '.join(q(v) for v in values)})"
-        else:
-            cond = "(" + " OR ".join(f"{column} ILIKE {q('%' + v + '%')}" for v in values) + ")"
-        parts.append(f"WHEN {cond} THEN {q(target)}")
-    return "CASE " + " ".join(parts) + f" ELSE {column} END"

@@ -34,13 +34,20 @@ def two_digit(c) -> Column:
 
 
 def safe_int(c) -> Column:
-    """Integer from text; NULL instead of an error for non-numeric text (``'Other'``, ``''``)."""
-    return col(c).try_cast("int")
+    """Whole number (bigint) from text; NULL for text that is no whole number (``'Other'``, ``''``).
 
+    A whole number that does not fit a bigint is an error: as NULL its row would silently leave joins
+    and filters.
+    """
+    text = col(c).cast("string")
+    number = text.try_cast("bigint")
+    too_large = number.isNull() & text.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return F.when(too_large, F.raise_error(F.concat(F.lit("whole number out of range: "), text)).cast("bigint")).otherwise(number)
 
-def starts_with_one(c) -> Column:
-    """Prefix test ``LIKE '1%'`` on the text form of a key (pushable when ``c`` is a string column)."""
-    return col(c).cast("string").startswith("1")
+
+def starts_with(c, prefix: str) -> Column:
+    """Prefix test on the text form of a key (pushable when ``c`` is a string column)."""
+    return col(c).cast("string").startswith(prefix)
 
 
 def is_blank(c) -> Column:
@@ -61,7 +68,7 @@ def season_year_text(season) -> Column:
 
 def season_year(season) -> Column:
     """Year of a season label as int; NULL when the label does not end in a number."""
-    return safe_int(season_year_text(season))
+    return season_year_text(season).try_cast("int")
 
 
 def season_order(season) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (AsOf, MONEY, after_days_ago, apply_rules, like_any, safe_int,
-                         season_half_fall_first, season_year, starts_with_one, two_digit)
+                         season_half_fall_first, season_year, starts_with, two_digit)
 from .joins import outer_join
-from .product import exclusive_account_expr, lifecycle_expr
+from .product import DOMESTIC_INTENTS, exclusive_account_expr, lifecycle_expr
 
 
 def account_groups(df: DataFrame, rules, group_col: str = "forecast_group") -> DataFrame:
@@ -21,15 +21,17 @@ def account_groups(df: DataFrame, rules, group_col: str = "forecast_group") -> D
 
 def sales_with_season(sales: DataFrame, calendar: DataFrame, as_of, *, rules,
                       excluded_order_types: Sequence[str], excluded_groups: Sequence[str],
-                      sales_org: str = "US", history_days: int = 720) -> DataFrame:
+                      sales_org: str = "US", history_days: int = 720, material_prefix: str = "1") -> DataFrame:
     """Sales lines of the last ``history_days`` request dates with the season of the transaction date
-    and the account group.  The group mapping is a column expression, not a join to a map table."""
+    and the account group.  The group mapping is a column expression, not a join to a map table; rows
+    without a group have none in the map and are dropped."""
     as_of = AsOf.of(as_of)
     s = sales.where(~F.col("order_type").isin(list(excluded_order_types)) & (F.col("sales_org") == sales_org)
-                    & ~F.col("forecast_group").isin(list(excluded_groups))
+                    & F.col("forecast_group").isNotNull() & ~F.col("forecast_group").isin(list(excluded_groups))
                     & after_days_ago(as_of, history_days, F.col("request_ship_dt"))
-                    & starts_with_one("material"))
-    cal = calendar.select("the_date", "season_name")
+                    & starts_with("material", material_prefix))
+    # a calendar has one row per date, 3.7 million from year 1 to 9999; the fact is not shuffled on dates
+    cal = F.broadcast(calendar.select("the_date", "season_name"))
     j = s.join(cal, s["transaction_dt"] == cal["the_date"])
     return j.select("transaction_year", "transaction_month", "season_name",
                     apply_rules("forecast_group", rules).alias("forecast_group"), "region", "material",
@@ -76,7 +78,8 @@ FACT_MEASURES = (("so_quantity", "forecasted_quantity", "bigint"), ("units", "so
 
 def account_month_fact(sot: DataFrame, pivot: DataFrame, span: DataFrame, style: DataFrame, *,
                        footbed_patterns: Sequence[str], socks_patterns: Sequence[str],
-                       type_names: Sequence[str] = ("closeout", "preseason", "atonce")) -> DataFrame:
+                       type_names: Sequence[str] = ("closeout", "preseason", "atonce"),
+                       material_prefix: str = "1") -> DataFrame:
     """Forecast and sales side by side per (group, material, year, month) with span and style.
 
     Full outer join of forecast and sales on (material, group, year, month); season span and style
@@ -101,7 +104,7 @@ def account_month_fact(sot: DataFrame, pivot: DataFrame, span: DataFrame, style:
     both = both.where(F.col("so_year").isNotNull() | F.col("sa_year").isNotNull())
     both = both.withColumn("_k", F.coalesce("so_material", "sa_material"))
     se = span.select(safe_int("material").alias("se_material"), "earliest_year", "latest_year", "total_seasons")
-    sm = (style.where(starts_with_one("material"))
+    sm = (style.where(starts_with("material", material_prefix))
                .select(safe_int("material").alias("sm_material"),
                        F.col("material_description").alias("sm_description"),
                        F.col("category").alias("sm_category")))
@@ -115,7 +118,7 @@ def account_month_fact(sot: DataFrame, pivot: DataFrame, span: DataFrame, style:
     measures += [F.coalesce(F.col(c), F.lit(0).cast("bigint" if "quantity" in c else MONEY)).alias(c)
                  for c in pcols]
     return j.select(F.coalesce("so_group", "sa_group").alias("forecast_group"),
-                    F.coalesce("so_material", "se_material", "sa_material").cast("int").alias("material"),
+                    F.coalesce("so_material", "se_material", "sa_material").alias("material"),
                     desc.alias("material_description"), category.alias("category"),
                     F.coalesce("so_year", "sa_year").alias("year"),
                     F.coalesce("so_season", "sa_season").alias("calendar_season"),
@@ -124,7 +127,8 @@ def account_month_fact(sot: DataFrame, pivot: DataFrame, span: DataFrame, style:
 
 
 def account_classification(fact: DataFrame, numbered: DataFrame, *, accessory_patterns: Sequence[str],
-                           distinct_rows: bool = False) -> DataFrame:
+                           distinct_rows: bool = False,
+                           domestic_intents: Sequence[str] = DOMESTIC_INTENTS) -> DataFrame:
     """Life-cycle class and exclusivity for each account-month fact row (left join to the numbered
     line list on material, year and season).  With ``distinct_rows`` the fact is first reduced to
     the columns the classification reads, so months and groups do not multiply the work."""
@@ -140,7 +144,7 @@ def account_classification(fact: DataFrame, numbered: DataFrame, *, accessory_pa
     out = j.select("material", "material_description",
                    F.coalesce("calendar_season", "fo_season").alias("calendar_season"),
                    F.coalesce("year", "fo_year").alias("year"), cls.alias("classification"),
-                   exclusive_account_expr(F.col("inl_or_smu"), F.col("smu_intent")).alias("exclusive"),
+                   exclusive_account_expr(F.col("inl_or_smu"), F.col("smu_intent"), domestic_intents).alias("exclusive"),
                    "smu_intent", "inl_or_smu", "season_number")
     return out
 
@@ -154,11 +158,12 @@ def season_prices(line_list: DataFrame) -> DataFrame:
                     season_year("season").alias("calendar_year"), "material", "gender", "whsl", "msrp")
 
 
-def price_attach(fact: DataFrame, prices: DataFrame) -> DataFrame:
-    """Account-month fact rows with every matching price row (one per gender), materials '1%'."""
-    pd_ = prices.select(safe_int("material").alias("pd_material"), F.col("calendar_year").alias("pd_year"),
+def price_attach(fact: DataFrame, prices: DataFrame, material_prefix: str = "1") -> DataFrame:
+    """Account-month fact rows with every matching price row (one per gender), materials of the prefix."""
+    # the fact holds no other material; with the same filter the prices share the line list's shuffle
+    pd_ = prices.where(starts_with("material", material_prefix)).select(safe_int("material").alias("pd_material"), F.col("calendar_year").alias("pd_year"),
                         F.col("calendar_season").alias("pd_season"), "whsl", "msrp")
-    f = fact.where(F.col("material").isNotNull() & starts_with_one("material"))
+    f = fact.where(F.col("material").isNotNull() & starts_with("material", material_prefix))
     j = outer_join(f, pd_, ["material", "year", "calendar_season"], ["pd_material", "pd_year", "pd_season"],
                    how="left")
     keep = [c for c in fact.columns if c not in ("earliest_year", "latest_year", "total_seasons")]
@@ -192,9 +197,7 @@ def projected_sales(final: DataFrame, as_of,
     """
     as_of = AsOf.of(as_of)
     pcols = pivot_columns(type_names)
-    keys = ["material", "forecast_group", "month", "calendar_season", "year", *FINAL_MEASURES[:4],
-            "exclusive", "classification", "whsl", "msrp", "open_revenue", *pcols]
-    keys = list(dict.fromkeys(keys))
+    keys = [c for c in final.columns if c not in ("material_description", "season_number")]
     month_start = F.make_date(F.col("year"), F.col("month").cast("int"), F.lit(1))
     past = month_start < F.lit(as_of.month_start).cast("date")
     proj = F.when(past, F.sum("sold_quantity")).otherwise(F.sum("forecasted_quantity"))
@@ -205,18 +208,17 @@ def projected_sales(final: DataFrame, as_of,
 
 
 def net_revenue_by_account(ps: DataFrame, style: DataFrame,
-                           type_names: Sequence[str] = ("closeout", "preseason", "atonce")) -> DataFrame:
+                           type_names: Sequence[str] = ("closeout", "preseason", "atonce"),
+                           material_prefix: str = "1") -> DataFrame:
     """Projected sales with style attributes, measures summed per account/material/month; missing
     prices fall back to the style price (retail = 2 x price, wholesale = price)."""
     pcols = pivot_columns(type_names)
-    sm = (style.where(starts_with_one("material"))
+    sm = (style.where(starts_with("material", material_prefix))
                .select(safe_int("material").alias("sm_material"), "material_description", "category",
                        "division", "playbook_division", "gender", "price"))
     j = ps.join(sm, ps["material"] == sm["sm_material"])
-    keys = ["material", "material_description", "category", "division", "playbook_division", "classification",
-            "exclusive", "forecast_group", "month", "calendar_season", "year", "forecasted_quantity",
-            "projected_sales", "whsl", "msrp", "gender", "price"]
     sums = [c for c in FINAL_MEASURES if c != "forecasted_quantity"] + pcols
+    keys = [c for c in j.columns if c not in (*sums, "discount", "sm_material")]
     aggs = [F.sum(c).cast("bigint" if ("quantity" in c) else MONEY).alias(c) for c in sums]
     g = j.groupBy(*keys).agg(*aggs)
     msrp = F.when(F.col("msrp").isNull(), F.col("price") * 2).otherwise(F.col("msrp")).cast(MONEY)

@@ -93,14 +93,24 @@ def inbound_buckets(ats: DataFrame, as_of, *, plant: str, weeks: Sequence[int] =
                .agg(*aggs))
 
 
+def _account_sales(account_patterns: Sequence[str], excluded_order_types: Sequence[str], sales_org: str):
+    return (~F.col("order_type").isin(list(excluded_order_types)) & (F.col("sales_org") == sales_org)
+            & like_any("forecast_group", account_patterns))
+
+
+def _sell_in_rows(as_of, days: int):
+    return after_days_ago(AsOf.of(as_of), days, F.col("transaction_dt")) & (F.col("ship_qty") > 0)
+
+
+def _open_rows(bulk_order_types: Sequence[str], open_status: str):
+    return ((F.col("past_original_ship") == 0) & (F.col("order_status") == open_status)
+            & ~F.col("order_type").isin(list(bulk_order_types)))
+
+
 def sell_in_trailing(sales: DataFrame, as_of, *, account_patterns: Sequence[str],
                      excluded_order_types: Sequence[str], sales_org: str = "US", days: int = 29) -> DataFrame:
     """Units and revenue shipped to the account on the last ``days`` calendar dates (no upper bound)."""
-    as_of = AsOf.of(as_of)
-    cond = (~F.col("order_type").isin(list(excluded_order_types)) & (F.col("sales_org") == sales_org)
-            & like_any("forecast_group", account_patterns)
-            & after_days_ago(as_of, days, F.col("transaction_dt")) & (F.col("ship_qty") > 0))
-    return (sales.where(cond)
+    return (sales.where(_account_sales(account_patterns, excluded_order_types, sales_org) & _sell_in_rows(as_of, days))
                  .groupBy("material", "category", "material_description")
                  .agg(F.sum("ship_qty").cast("bigint").alias("t4w_sellin_units"),
                       F.sum("ship_amt").cast(MONEY).alias("t4w_sellin_rev")))
@@ -112,15 +122,27 @@ OPEN_COLUMNS = ("current_month_open", "open_1m", "open_2m")
 def open_order_buckets(sales: DataFrame, as_of, *, account_patterns: Sequence[str],
                        excluded_order_types: Sequence[str], bulk_order_types: Sequence[str],
                        open_status: str, sales_org: str = "US") -> DataFrame:
-    """Open quantity requested this month, next month and the month after, per material.
+    """Quantity still to ship requested this month, next month and the month after, per material.
 
-    Every material passing the filters gets a row, even when all three buckets are 0.
+    It sums ``ship_open_qty``, a measure of its own beside ``open_qty``.  Every material passing the
+    filters gets a row, even when all three buckets are 0.
     """
-    as_of = AsOf.of(as_of)
-    cond = (~F.col("order_type").isin(list(excluded_order_types)) & (F.col("sales_org") == sales_org)
-            & like_any("forecast_group", account_patterns) & (F.col("past_original_ship") == 0)
-            & (F.col("order_status") == open_status) & ~F.col("order_type").isin(list(bulk_order_types)))
-    m = months_from(as_of, F.col("request_ship_dt"))
-    return (sales.where(cond)
+    m = months_from(AsOf.of(as_of), F.col("request_ship_dt"))
+    return (sales.where(_account_sales(account_patterns, excluded_order_types, sales_org) & _open_rows(bulk_order_types, open_status))
                  .groupBy("material", "material_description", "category")
-                 .agg(*[_sum_if(m == k, "open_qty", name) for k, name in enumerate(OPEN_COLUMNS)]))
+                 .agg(*[_sum_if(m == k, "ship_open_qty", name) for k, name in enumerate(OPEN_COLUMNS)]))
+
+
+def sales_branches(sales: DataFrame, as_of, *, account_patterns: Sequence[str], excluded_order_types: Sequence[str],
+                   bulk_order_types: Sequence[str], open_status: str, sales_org: str = "US", days: int = 29) -> DataFrame:
+    """:func:`sell_in_trailing` and :func:`open_order_buckets` from one read of the sales.
+
+    ``has_sell_in`` and ``has_open`` tell which of the two has the row.
+    """
+    sold, opened = _sell_in_rows(as_of, days), _open_rows(bulk_order_types, open_status)
+    m = months_from(AsOf.of(as_of), F.col("request_ship_dt"))
+    return (sales.where(_account_sales(account_patterns, excluded_order_types, sales_org) & (sold | opened))
+                 .groupBy("material", "category", "material_description")
+                 .agg(F.max(F.coalesce(sold, F.lit(False))).alias("has_sell_in"), F.max(F.coalesce(opened, F.lit(False))).alias("has_open"),
+                      F.sum(F.when(sold, F.col("ship_qty"))).cast("bigint").alias("t4w_sellin_units"),
+                      *[_sum_if(opened & (m == k), "ship_open_qty", name) for k, name in enumerate(OPEN_COLUMNS)]))

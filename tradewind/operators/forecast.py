@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (AsOf, MONEY, apply_rules, date_between, like_any, month_floor,
-                         months_from, safe_int, starts_with_one)
+                         months_from, safe_int, starts_with)
 from .joins import outer_join
 
 
@@ -135,7 +135,7 @@ def _month_names(stem: str, months: int) -> list[str]:
 
 def current_forecast(forecast: DataFrame, as_of, *, rules, sales_org: str = "US",
                      module: str = "SalesForecast", region_override: tuple[str, str] | None = None,
-                     history_days: int = 720) -> DataFrame:
+                     history_days: int = 720, material_prefix: str = "1") -> DataFrame:
     """Current forecast per (latest file date, account group, material, year, season, month).
 
     Account groups come from the ordered ``rules``; ``region_override`` = (region, group) forces the
@@ -144,7 +144,7 @@ def current_forecast(forecast: DataFrame, as_of, *, rules, sales_org: str = "US"
     """
     as_of = AsOf.of(as_of)
     f = forecast.where((F.col("module") == module) & (F.col("sales_org") == sales_org)
-                       & (F.col("current_flag") == 1) & starts_with_one("material")
+                       & (F.col("current_flag") == 1) & starts_with("material", material_prefix)
                        & (F.col("calendar_year") >= as_of.year_days_ago(history_days))
                        & F.col("forecast_group").isNotNull())
     adjusted = apply_rules("forecast_group", rules)
@@ -161,4 +161,4 @@ def current_forecast(forecast: DataFrame, as_of, *, rules, sales_org: str = "US"
     out = (dedup.groupBy("recent_date", "forecast_group", "material", "calendar_year", "calendar_season",
                          "calendar_month", "calendar_month_number")
                 .agg(F.sum("quantity").cast("bigint").alias("quantity")))
-    return out.where(F.col("material").isNotNull() & starts_with_one("material"))
+    return out.where(F.col("material").isNotNull() & starts_with("material", material_prefix))

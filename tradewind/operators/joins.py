@@ -43,10 +43,11 @@ def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     """Equi outer join (``full`` or ``left``) that does not pile NULL-key rows into one task.
 
     A row with a NULL join key never matches, yet a sort-merge join hashes all such rows to the same
-    partition.  Each side gets one more join key (see ``_null_salt``): matching rows carry equal
-    values, so complete-key rows join exactly as before, while NULL-key rows still match nothing
-    (NULL = x is never true) but are spread over NULL_SPREAD partitions.  The two sides must
-    have disjoint column names and keys of equal types.
+    partition.  In a full join each side gets one more join key (see ``_null_salt``): matching rows carry
+    equal values, so complete-key rows join exactly as before, while NULL-key rows still match nothing
+    (NULL = x is never true) but are spread over NULL_SPREAD partitions.  A left join needs no such key:
+    adaptive execution splits a large left partition by itself, and the plain keys let joins on the same
+    keys share one partitioning.  The two sides must have disjoint column names and keys of equal types.
     """
     if how not in ("full", "left"):
         raise ValueError("how must be 'full' or 'left'")
@@ -54,6 +55,8 @@ def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     rtypes = [right.schema[k].dataType for k in right_keys]
     if ltypes != rtypes:
         raise TypeError(f"join keys must have equal types, got {ltypes} and {rtypes}")
+    if how == "left":
+        return left.join(right, reduce(and_, [left[a] == right[b] for a, b in zip(left_keys, right_keys)]), how)
     lhs = _null_salt(left, left_keys, "_lnull")
     rhs = _null_salt(right, right_keys, "_rnull")
     cond = reduce(and_, [lhs[a] == rhs[b] for a, b in zip(left_keys, right_keys)]
@@ -69,9 +72,3 @@ def rows_at_max(df: DataFrame, column: str) -> DataFrame:
     """
     top = df.agg(F.max(column).alias("_top"))
     return df.join(F.broadcast(top), df[column] == top["_top"]).drop("_top")
-
-
-def with_multiplicity(df: DataFrame, keys: Sequence[str], count_col: str = "_n") -> DataFrame:
-    """Collapse exact duplicate rows into one row plus a count (partial aggregation map-side)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
-

@@ -12,31 +12,51 @@ from ..functions import row_sum, safe_int
 from .buckets import MAX_BULK_COLUMNS, OPEN_COLUMNS, inbound_columns
 
 
+NULL_KEY_GROUPS = 1024
+
+
+def _merged_by_key(tagged: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Rows of the anchored merge from ``tagged``: a ``_key`` and one nullable struct column per part, the
+    anchor's first.
+
+    One shuffle by key brings the parts of a key together.  A key that has anchor rows gives the product
+    of its parts (a part without rows gives NULLs); any other key gives each of its rows on its own.  The
+    lists of a key are never larger than the merged rows that it gives.  Rows without a key match
+    nothing, so they are dealt over many groups.
+    """
+    spread = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*parts), F.lit(NULL_KEY_GROUPS)))
+    lists = (tagged.withColumn("_spread", spread).groupBy("_key", "_spread")
+                   .agg(*[F.collect_list(p).alias(p) for p in parts]))
+    anchored = F.col("_key").isNotNull() & (F.size(parts[0]) > 0)
+    product = lists.where(anchored)
+    for p in parts:
+        product = product.withColumn(p, F.explode_outer(p))
+    types = {p: tagged.schema[p].dataType for p in parts}
+
+    def alone(part: str):
+        return F.transform(part, lambda row: F.struct(*[(row if p == part else F.lit(None).cast(types[p])).alias(p) for p in parts]))
+    single = lists.where(~anchored).select(F.explode(F.concat(*[alone(p) for p in parts])).alias("_row")).select("_row.*")
+    return product.select(*parts).unionAll(single.select(*parts))
+
+
+def _tagged(df: DataFrame, key: str, own: dict, types: dict) -> DataFrame:
+    """``df`` as tagged rows: ``own`` gives the struct columns of its parts, the others are NULL."""
+    return df.select(df[key].alias("_key"), *[own[p].alias(p) if p in own else F.lit(None).cast(t).alias(p) for p, t in types.items()])
+
+
 def anchored_outer_merge(anchor: DataFrame, anchor_key: str,
                          others: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Rows of ``anchor FULL JOIN o1 ON o1.k1 = anchor.k FULL JOIN o2 ON o2.k2 = anchor.k ...``.
 
     Every join compares with the *anchor's* key, so a key missing from the anchor yields one separate
-    row per source rather than one merged row.  Written as full outer joins, all rows whose anchor
-    side is NULL would carry the same NULL key into each following join (one hot partition).  The
-    equivalent plan used here is
-
-        (anchor LEFT JOIN o1 LEFT JOIN o2 ...)
-        UNION ALL
-        ((o1 UNION ALL o2 UNION ALL ...) LEFT ANTI JOIN anchor keys)
-
-    Anti join distributes over union, so one anti join serves all sources and the anchor is read
-    by two consumers only.  The left joins share the anchor's hash partitioning on the key.  All
-    column names across inputs must be distinct.
+    row per source rather than one merged row.  The sources are tagged, united and shuffled once by
+    key, so each is computed once.  All column names across inputs must be distinct.
     """
-    matched = anchor
-    for df, key in others:
-        matched = matched.join(df, matched[anchor_key] == df[key], "left")
-    keys = anchor.select(F.col(anchor_key).alias("_anchor_key"))
-    pooled = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                    [df.withColumn("_source_key", df[key]) for df, key in others])
-    unmatched = pooled.join(keys, pooled["_source_key"] == keys["_anchor_key"], "left_anti").drop("_source_key")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    sources = [(f"_{i}", df, key) for i, (df, key) in enumerate([(anchor, anchor_key), *others])]
+    types = {tag: df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType for tag, df, _ in sources}
+    rows = [_tagged(df, key, {tag: F.struct(*df.columns)}, types) for tag, df, key in sources]
+    merged = _merged_by_key(reduce(DataFrame.unionAll, rows), list(types))
+    return merged.select(*[F.col(f"{tag}.{c}").alias(c) for tag, df, _ in sources for c in df.columns])
 
 
 SELL_COLUMNS = ("t4w_sellthru_units", "t4w_sellin_units", "t4w_retailer_onhand")
@@ -48,39 +68,68 @@ def merge_columns(weeks: Sequence[int] = (1, 2, 4, 8, 16)) -> list[str]:
             *FORECAST_COLUMNS]
 
 
-def marketing_merge(bulk: DataFrame, ats: DataFrame, sell_in: DataFrame, open_orders: DataFrame,
-                    sell_thru: DataFrame, forecast: DataFrame, style: DataFrame,
-                    weeks: Sequence[int] = (1, 2, 4, 8, 16), with_copies: bool = True) -> DataFrame:
+def _merge_rows(df: DataFrame, part: int, measures: Sequence[str], category: str | None = None, copies: str | None = None) -> DataFrame:
+    """``df`` as rows of one form: its number, material, category, copies and measures in order."""
+    return df.select(F.lit(part).alias("part"), "material", (F.col(category) if category else F.lit(None).cast("string")).alias("category"),
+                       (F.col(copies) if copies else F.lit(1)).cast("bigint").alias("copies"),
+                       F.array(*[F.col(m).cast("bigint") for m in measures]).alias("measures"))
+
+
+def _sales_rows(sales: DataFrame) -> DataFrame:
+    """Both branches of a sales row: part 2 is the trailing sell-in, part 3 the open orders."""
+    sell_in = F.when(F.col("has_sell_in"), F.struct(F.lit(2).alias("part"), F.array("t4w_sellin_units").alias("measures")))
+    opened = F.when(F.col("has_open"), F.struct(F.lit(3).alias("part"), F.array(*OPEN_COLUMNS).alias("measures")))
+    each = sales.select("material", F.explode(F.filter(F.array(sell_in, opened), lambda r: r.isNotNull())).alias("r"))
+    return each.select("r.part", "material", F.lit(None).cast("string").alias("category"), F.lit(1).cast("bigint").alias("copies"), "r.measures")
+
+
+def marketing_merge(bulk: DataFrame, ats: DataFrame, sales: DataFrame, sell_thru: DataFrame, forecast: DataFrame,
+                    style: DataFrame, weeks: Sequence[int] = (1, 2, 4, 8, 16), with_copies: bool = True) -> DataFrame:
     """Merged branch rows with description/model/gender from the style master, as a bag: distinct
     rows with their number of ``copies``.
 
-    ``bulk`` is the anchor.  Category comes from the inventory branch, else from the style master.
-    Missing measures become 0; rows without any material are dropped.  ``sell_thru`` is a bag
-    (rows with ``copies``, see :func:`~tradewind.operators.sellthrough.sell_through`); its copies are
-    carried as the multiplicity of every merged row it takes part in instead of repeating rows.
-    ``with_copies=False`` skips counting (one grouping shuffle less) for callers that only reduce
+    ``bulk`` is the anchor.  ``sales`` carries two branches, trailing sell-in and open orders, see
+    :func:`~tradewind.operators.buckets.sales_branches`.  Category comes from the inventory branch, else
+    from the style master.  Missing measures become 0; rows without any material are dropped.
+    ``sell_thru`` is a bag (rows with ``copies``, see :func:`~tradewind.operators.sellthrough.sell_through`);
+    its copies are carried as the multiplicity of every merged row it takes part in instead of repeating
+    rows.  ``with_copies=False`` skips counting (one grouping shuffle less) for callers that only reduce
     with MAX, which ignores multiplicity.
+
+    It is the anchored merge (:func:`anchored_outer_merge`) on rows of one form: the branches are united
+    and shuffled once by material, each is computed once.
     """
-    inb = inbound_columns(weeks)
-    b = bulk.select(F.col("material").alias("b_m"), *MAX_BULK_COLUMNS)
-    a = ats.select(F.col("material").alias("a_m"), F.col("category").alias("a_category"),
-                   "current_inv", *inb)
-    i = sell_in.select(F.col("material").alias("i_m"), "t4w_sellin_units")
-    o = open_orders.select(F.col("material").alias("o_m"), *OPEN_COLUMNS)
-    t = sell_thru.select(F.col("material").alias("t_m"), "t4w_sellthru_units",
-                         F.col("retailer_onhand").alias("t4w_retailer_onhand"), F.col("copies").alias("t_copies"))
-    v = forecast.select(F.col("material").alias("v_m"), *FORECAST_COLUMNS)
-    merged = anchored_outer_merge(b, "b_m", [(a, "a_m"), (i, "i_m"), (o, "o_m"), (t, "t_m"), (v, "v_m")])
-    key = F.coalesce("b_m", "a_m", "i_m", "o_m", "t_m", "v_m")
-    merged = merged.select(key.alias("material"), *[c for c in merged.columns]).where(F.col("material").isNotNull())
+    own = [list(MAX_BULK_COLUMNS), ["current_inv", *inbound_columns(weeks)], ["t4w_sellin_units"], list(OPEN_COLUMNS),
+           ["t4w_sellthru_units", "retailer_onhand"], list(FORECAST_COLUMNS)]
+    bulk, ats, sales, forecast = (df.where("material IS NOT NULL") for df in (bulk, ats, sales, forecast))
+    # sell-through rows have a material by themselves; a filter on it would part the two reads of their weeks
+    united = reduce(DataFrame.unionAll, [
+        _merge_rows(bulk, 0, own[0]), _merge_rows(ats, 1, own[1], category="category"), _sales_rows(sales),
+        _merge_rows(sell_thru, 4, own[4], copies="copies"), _merge_rows(forecast, 5, own[5])])
+    row = F.struct("part", "category", "copies", "measures")
+    lists = (united.groupBy("material")
+                   .agg(*[F.collect_list(F.when(F.col("part") == i, row)).alias(f"p{i}") for i in range(len(own))]))
+    product = lists.where(F.size("p0") > 0)
+    for i in range(len(own)):
+        product = product.withColumn(f"p{i}", F.explode_outer(f"p{i}"))
+    product = product.select("material", F.array(*[f"p{i}" for i in range(len(own))]).alias("rows"))
+    single = lists.where(F.size("p0") == 0).select("material", F.explode(F.concat(*[f"p{i}" for i in range(1, len(own))])).alias("r"))
+    single = single.select("material", F.array("r").alias("rows"))
+    both = product.unionAll(single)
+
+    def measure(part: int, at: int):
+        mine = F.filter("rows", lambda r: r["part"] == part)
+        return F.coalesce(F.get(F.get(mine, F.lit(0))["measures"], F.lit(at)), F.lit(0).cast("bigint"))
+    named = {m: measure(i, k) for i, ms in enumerate(own) for k, m in enumerate(ms)}
+    named["t4w_retailer_onhand"] = named.pop("retailer_onhand")
+    flat = both.select("material", F.get(F.filter("rows", lambda r: r["part"] == 1), F.lit(0))["category"].alias("a_category"),
+                       F.aggregate("rows", F.lit(1).cast("bigint"), lambda acc, r: acc * F.coalesce(r["copies"], F.lit(1).cast("bigint"))).alias("_copies"),
+                       *[named[m].alias(m) for m in merge_columns(weeks)])
     c = (style.select(F.col("material").alias("c_m"), F.col("material_description").alias("c_description"),
                       F.col("category").alias("c_category"), "model", "gender").distinct())
-    out = merged.join(c, merged["material"] == c["c_m"], "left")
-    measures = merge_columns(weeks)
+    out = flat.join(c, flat["material"] == c["c_m"], "left")
     rows = out.select("material", F.col("c_description").alias("material_description"),
-                      F.coalesce("a_category", "c_category").alias("category"), "model", "gender",
-                      *[F.coalesce(F.col(m), F.lit(0).cast("bigint")).alias(m) for m in measures],
-                      F.coalesce("t_copies", F.lit(1).cast("bigint")).alias("_copies"))
+                      F.coalesce("a_category", "c_category").alias("category"), "model", "gender", *merge_columns(weeks), "_copies")
     keys = [c for c in rows.columns if c != "_copies"]
     if not with_copies:
         return rows.select(*keys)
@@ -103,11 +152,13 @@ def marketing_dashboard(merged: DataFrame, weeks: Sequence[int] = (1, 2, 4, 8, 1
     Grouping is on the material text; the output shows it as an integer (non-numeric -> NULL).
     A material whose category differs between inventory and style master yields two rows.
     """
-    measures = merge_columns(weeks)
-    kept = merged.where((F.col("material") != excluded_material) & (row_sum(measures) > 0))
+    total = row_sum(merge_columns(weeks))
     pairs = [*DASHBOARD_RENAMES, *[(c, c) for c in inbound_columns(weeks)],
              *[(c, c) for c in MAX_BULK_COLUMNS]]
-    agg = (kept.groupBy("material", "material_description", "category", "model", "gender")
-               .agg(*[F.max(src).cast("bigint").alias(dst) for src, dst in pairs]))
-    return agg.select(safe_int("material").alias("material"), "material_description", "category",
-                      "model", "gender", *[dst for _, dst in pairs])
+    # all-zero rows are left out inside the aggregate: as a filter, the sum over so many columns would be
+    # rewritten for every set of their aliases when the plan is optimised
+    agg = (merged.where(F.col("material") != excluded_material)
+                 .groupBy("material", "material_description", "category", "model", "gender")
+                 .agg(F.max(total).alias("_total"), *[F.max(F.when(total > 0, F.col(src))).cast("bigint").alias(dst) for src, dst in pairs]))
+    return agg.where("_total > 0").select(safe_int("material").alias("material"), "material_description", "category",
+                                          "model", "gender", *[dst for _, dst in pairs])

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (historic_season, is_blank, like_any, season_half_spring_first, season_year,
-                         starts_with_one)
+                         starts_with)
 
 # Intents that do not make a product exclusive (besides NULL and empty text).
 DOMESTIC_INTENTS = ("US", "US, Canada", "Canada")
 
 
-def season_span(line_list: DataFrame) -> DataFrame:
-    """First year, last year and number of distinct seasons per material (materials '1%')."""
-    ll = line_list.where(starts_with_one("material"))
+def season_span(line_list: DataFrame, material_prefix: str = "1") -> DataFrame:
+    """First year, last year and number of distinct seasons per material of the prefix."""
+    ll = line_list.where(starts_with("material", material_prefix))
     yr = season_year("season")
     return ll.groupBy("material").agg(F.min(yr).alias("earliest_year"), F.max(yr).alias("latest_year"),
                                       F.count_distinct("season").cast("bigint").alias("total_seasons"))
@@ -30,25 +30,29 @@ def number_rows(df: DataFrame, part: str, order_key: str, tiebreak: Sequence[str
     Rows are counted per (part, order_key) with map-side partial aggregation; a running sum over those
     small counts gives each order key its offset; rows are then numbered only inside their
     (part, order_key) group.  A part with many seasons is spread over as many tasks as it has seasons.
+    NULL is a part or key like any other (NULL keys first), as in a window.
     """
-    counts = df.groupBy(part, order_key).agg(F.count(F.lit(1)).alias("_c"))
+    # every column is read here too, so that a shuffle below (a DISTINCT, say) is the same for both reads
+    counts = df.groupBy(part, order_key).agg(F.count(F.lit(1)).alias("_c"), F.max(F.hash(*df.columns)).alias("_h"))
     w = Window.partitionBy(part).orderBy(order_key)
-    offsets = counts.select(part, order_key, (F.sum("_c").over(w) - F.col("_c")).alias("_offset"))
+    offsets = counts.select(F.col(part).alias("_part"), F.col(order_key).alias("_key"),
+                            (F.sum("_c").over(w) - F.col("_c") + F.col("_h") * 0).alias("_offset"))
     w2 = Window.partitionBy(part, order_key).orderBy(*[F.col(c).asc_nulls_first() for c in tiebreak])
-    numbered = df.join(offsets, [part, order_key])
-    return numbered.withColumn(out, (F.col("_offset") + F.row_number().over(w2)).cast("int")).drop("_offset")
+    numbered = df.join(offsets, df[part].eqNullSafe(F.col("_part")) & df[order_key].eqNullSafe(F.col("_key")))
+    return (numbered.withColumn(out, (F.col("_offset") + F.row_number().over(w2)).cast("int"))
+                    .drop("_offset", "_part", "_key"))
 
 
 PRODUCT_DETAIL = ("model", "msrp", "whsl")
 
 
-def season_number(line_list: DataFrame, detail: Sequence[str] = PRODUCT_DETAIL) -> DataFrame:
-    """Line-list rows (materials '1%') numbered by season per material: 1 = the first season.
+def season_number(line_list: DataFrame, detail: Sequence[str] = PRODUCT_DETAIL, material_prefix: str = "1") -> DataFrame:
+    """Line-list rows (materials of the prefix) numbered by season per material: 1 = the first season.
 
     Ties within a season (several rows per material-season) are ordered by the remaining columns,
     NULLs first.  ``detail`` are the extra line-list columns carried through.
     """
-    ll = line_list.where(starts_with_one("material"))
+    ll = line_list.where(starts_with("material", material_prefix))
     pre = ll.select("material", "season", season_year("season").alias("year"),
                     season_half_spring_first("season").alias("calendar_season"),
                     historic_season("season").alias("historic_season"),
@@ -71,21 +75,22 @@ def lifecycle_expr(text: Column, accessory_patterns: Sequence[str], season_no: C
              .otherwise(F.lit("Leap-Style")))
 
 
-def _domestic(intent: Column) -> Column:
-    return intent.isNull() | is_blank(intent) | intent.isin(list(DOMESTIC_INTENTS))
+def _domestic(intent: Column, domestic: Sequence[str]) -> Column:
+    return intent.isNull() | is_blank(intent) | intent.isin(list(domestic))
 
 
-def exclusive_product_expr(inl_or_smu: Column, intent: Column) -> Column:
+def exclusive_product_expr(inl_or_smu: Column, intent: Column, domestic: Sequence[str] = DOMESTIC_INTENTS) -> Column:
     """UTY: exclusive unless the intent is domestic; INL: never; anything else (incl. NULL): yes."""
-    return (F.when(inl_or_smu == "UTY", F.when(_domestic(intent), F.lit("No")).otherwise(F.lit("Yes")))
-             .when(inl_or_smu == "INL", F.lit("No"))
+    kind = F.upper(inl_or_smu)
+    return (F.when(kind == "UTY", F.when(_domestic(intent, domestic), F.lit("No")).otherwise(F.lit("Yes")))
+             .when(kind == "INL", F.lit("No"))
              .otherwise(F.lit("Yes")))
 
 
-def exclusive_account_expr(inl_or_smu: Column, intent: Column) -> Column:
+def exclusive_account_expr(inl_or_smu: Column, intent: Column, domestic: Sequence[str] = DOMESTIC_INTENTS) -> Column:
     """SMU: exclusive; otherwise exclusive unless the intent is domestic."""
-    return (F.when(inl_or_smu == "SMU", F.lit("Yes"))
-             .when(_domestic(intent), F.lit("No"))
+    return (F.when(F.upper(inl_or_smu) == "SMU", F.lit("Yes"))
+             .when(_domestic(intent, domestic), F.lit("No"))
              .otherwise(F.lit("Yes")))
 
 
@@ -99,21 +104,21 @@ def lifecycle_class(numbered: DataFrame, span: DataFrame, *, accessory_patterns:
                     "inl_or_smu", "season_number", "msrp", "whsl")
 
 
-def exclusivity_product(numbered: DataFrame) -> DataFrame:
+def exclusivity_product(numbered: DataFrame, domestic: Sequence[str] = DOMESTIC_INTENTS) -> DataFrame:
     return numbered.select("material", "season", "inl_or_smu", "smu_intent",
-                           exclusive_product_expr(F.col("inl_or_smu"), F.col("smu_intent")).alias("exclusive"))
+                           exclusive_product_expr(F.col("inl_or_smu"), F.col("smu_intent"), domestic).alias("exclusive"))
 
 
-def exclusivity_account(numbered: DataFrame) -> DataFrame:
+def exclusivity_account(numbered: DataFrame, domestic: Sequence[str] = DOMESTIC_INTENTS) -> DataFrame:
     return numbered.select("material", "season", "inl_or_smu", "smu_intent",
-                           exclusive_account_expr(F.col("inl_or_smu"), F.col("smu_intent")).alias("exclusive"))
+                           exclusive_account_expr(F.col("inl_or_smu"), F.col("smu_intent"), domestic).alias("exclusive"))
 
 
-def product_classification(classes: DataFrame, style: DataFrame) -> DataFrame:
+def product_classification(classes: DataFrame, style: DataFrame, domestic: Sequence[str] = DOMESTIC_INTENTS) -> DataFrame:
     """Classification rows with description and category from the style master."""
     st = style.select("material", "material_description", "category")
     j = classes.join(st, "material")
     return j.select("material", "material_description", "year", "calendar_season", "category",
                     "classification", "inl_or_smu", "smu_intent",
-                    exclusive_product_expr(F.col("inl_or_smu"), F.col("smu_intent")).alias("exclusive"),
+                    exclusive_product_expr(F.col("inl_or_smu"), F.col("smu_intent"), domestic).alias("exclusive"),
                     "msrp", "whsl")

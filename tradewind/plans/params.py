@@ -7,6 +7,7 @@ seasons, text patterns) is a parameter.  ``FIXTURE`` holds the values used with
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as _dt
 from dataclasses import dataclass, field
 
@@ -41,8 +42,10 @@ class Params:
     sell_through_days: int = 35
     inbound_weeks: tuple[int, ...] = (1, 2, 4, 8, 16)
     forecast_module: str = "SalesForecast"
-    # account branch
-    rules: tuple = (("equals", ("BUILDING", "FURNITURE"), "HOME"), ("contains", ("AUTO",), "AUTO"))
+    # account branch: sales and forecasts name their accounts differently, so each has its own rules
+    sales_rules: tuple = (("equals", ("BUILDING", "FURNITURE"), "HOME"), ("contains", ("AUTO",), "AUTO"))
+    forecast_rules: tuple = (("equals", ("FURNITURE", "MACHINERY"), "HOME"), ("equals", ("BUILDING",), "BUILDER'S"),
+                             ("contains", ("auto",), "AUTO"))
     region_override: tuple[str, str] | None = ("NATION_1", "DIRECT")
     history_days: int = 720
     account_excluded_order_types: tuple[str, ...] = ("5-LOW", "4-NOT SPECIFIED")
@@ -52,6 +55,8 @@ class Params:
     footbed_patterns: tuple[str, ...] = ("% ring%",)
     socks_patterns: tuple[str, ...] = ("%gear%",)
     # product branch
+    material_prefix: str = "1"
+    domestic_intents: tuple[str, ...] = ("US", "US, Canada", "Canada")
     model_accessory_patterns: tuple[str, ...] = ("%#25%", "%#24%")
     # sheet
     inline_season: str = "Fall 2000"
@@ -62,6 +67,18 @@ class Params:
     def type_names(self) -> tuple[str, ...]:
         return tuple(name for name, _ in self.order_types)
 
+    def folded(self) -> "Params":
+        """The same parameters with every text in lower case, for a Warehouse with ``fold_case``.
+
+        Output names (order-type prefixes, sheet columns) stay as they are.
+        """
+        def fold(value):
+            if isinstance(value, str):
+                return value.lower()
+            return tuple(map(fold, value)) if isinstance(value, tuple) else value
+        names = ("sheet_months",)
+        return dataclasses.replace(self, **{f.name: fold(getattr(self, f.name)) for f in dataclasses.fields(self) if f.name not in names})
+
     @property
     def description_accessory_patterns(self) -> tuple[str, ...]:
         return self.footbed_patterns + self.socks_patterns

@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import accounts, buckets, forecast, merge, product, sellthrough, sheet
-from ..session import materialize, materialize_all
-from ..sources import Warehouse, select_positions, sheet_to_json_rows, shred_json_rows, typed_sheet
+from ..functions import AsOf
+from ..session import TableStore, shared_dir
+from ..sources import (Warehouse, read_sheet, select_positions, sheet_to_json_arrays, sheet_to_json_rows, shred_json_arrays,
+                       shred_json_rows, typed_sheet, write_report)
 from .params import Params
 
 
 # -- lead-time forecast vs actual ------------------------------------------------------------------
 
 def lead_forecast(wh: Warehouse, p: Params) -> DataFrame:
-    return forecast.lead_forecast(wh.forecast_history, wh.selected_snapshots, wh.material, p.as_of,
+    return forecast.lead_forecast(wh.forecast_history_since(p.lead_date_from), wh.selected_snapshots, wh.material, p.as_of,
                                   date_from=p.lead_date_from, categories=p.categories, sales_org=p.sales_org,
                                   sales_group=p.lead_sales_group, module=p.lead_module, lead=p.lead_months)
 
@@ -69,19 +71,16 @@ def open_order_buckets(wh: Warehouse, p: Params) -> DataFrame:
                                       sales_org=p.sales_org)
 
 
-def sell_through(wh: Warehouse, p: Params, stored: bool = True) -> DataFrame:
-    # The filtered window feeds the totals, the latest-week maximum and both collapsed sides, each
-    # pruning other columns; storing it once keeps the weekly role from being recomputed per consumer.
-    window = sellthrough.sell_through_window(wh.sell_through, p.as_of, retailer_patterns=p.account_patterns,
-                                             days=p.sell_through_days)
-    if stored:
-        window = materialize(window)
-    return sellthrough.sell_through(window, p.as_of, retailer_patterns=p.account_patterns,
-                                    days=p.sell_through_days)
+def _weeks(wh: Warehouse, p: Params) -> DataFrame:
+    return wh.sell_through_since(AsOf.of(p.as_of).first_date_after_days_ago(p.sell_through_days))
+
+
+def sell_through(wh: Warehouse, p: Params) -> DataFrame:
+    return sellthrough.sell_through(_weeks(wh, p), p.as_of, retailer_patterns=p.account_patterns, days=p.sell_through_days)
 
 
 def latest_week_onhand(wh: Warehouse, p: Params) -> DataFrame:
-    window = sellthrough.sell_through_window(wh.sell_through, p.as_of, retailer_patterns=p.account_patterns,
+    window = sellthrough.sell_through_window(_weeks(wh, p), p.as_of, retailer_patterns=p.account_patterns,
                                              days=p.sell_through_days)
     return sellthrough.latest_week_onhand(window)
 
@@ -95,14 +94,13 @@ def forecast_month_pivot(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def anchored_outer_merge(wh: Warehouse, p: Params, with_copies: bool = True) -> DataFrame:
-    # Each branch is a per-material aggregate read twice by the merge (join chain and anti join) with
-    # different columns, which defeats exchange reuse.  Stored once (as concurrent jobs), every fact
-    # scan of the dashboard runs exactly once.
-    bulk, ats, sell_in, opened, thru, fc = materialize_all([
-        bulk_max_by_material(wh, p), inbound_buckets(wh, p), sell_in_trailing(wh, p),
-        open_order_buckets(wh, p), sell_through(wh, p), forecast_month_pivot(wh, p)])
-    return merge.marketing_merge(bulk, ats, sell_in, opened, thru, fc, wh.style_master, weeks=p.inbound_weeks,
-                                 with_copies=with_copies)
+    # every branch is computed once: they are united, tagged, and meet in one shuffle by material
+    sales = buckets.sales_branches(wh.sales_fact, p.as_of, account_patterns=p.account_patterns,
+                                   excluded_order_types=p.excluded_order_types, bulk_order_types=p.open_bulk_order_types,
+                                   open_status=p.open_status, sales_org=p.sales_org, days=p.sell_in_days)
+    bulk, ats, sales, thru, fc = wh.keep(bulk_max_by_material(wh, p), inbound_buckets(wh, p), sales,
+                                         sell_through(wh, p), forecast_month_pivot(wh, p))
+    return merge.marketing_merge(bulk, ats, sales, thru, fc, wh.style_master, weeks=p.inbound_weeks, with_copies=with_copies)
 
 
 def marketing_dashboard(wh: Warehouse, p: Params) -> DataFrame:
@@ -113,24 +111,24 @@ def marketing_dashboard(wh: Warehouse, p: Params) -> DataFrame:
 # -- net revenue by account ------------------------------------------------------------------------
 
 def account_group_sales(wh: Warehouse, p: Params) -> DataFrame:
-    return accounts.account_groups(wh.sales_fact, p.rules)
+    return accounts.account_groups(wh.sales_fact, p.sales_rules)
 
 
 def account_group_forecast(wh: Warehouse, p: Params) -> DataFrame:
-    return accounts.account_groups(wh.forecast, p.rules)
+    return accounts.account_groups(wh.forecast, p.forecast_rules)
 
 
 def current_forecast(wh: Warehouse, p: Params) -> DataFrame:
-    return forecast.current_forecast(wh.forecast, p.as_of, rules=p.rules, sales_org=p.sales_org,
+    return forecast.current_forecast(wh.forecast, p.as_of, rules=p.forecast_rules, sales_org=p.sales_org,
                                      module=p.forecast_module, region_override=p.region_override,
-                                     history_days=p.history_days)
+                                     history_days=p.history_days, material_prefix=p.material_prefix)
 
 
 def sales_with_season(wh: Warehouse, p: Params) -> DataFrame:
-    return accounts.sales_with_season(wh.sales_fact, wh.calendar, p.as_of, rules=p.rules,
+    return accounts.sales_with_season(wh.sales_fact, wh.calendar, p.as_of, rules=p.sales_rules,
                                       excluded_order_types=p.account_excluded_order_types,
                                       excluded_groups=p.excluded_groups, sales_org=p.sales_org,
-                                      history_days=p.history_days)
+                                      history_days=p.history_days, material_prefix=p.material_prefix)
 
 
 def order_type_pivot(wh: Warehouse, p: Params) -> DataFrame:
@@ -138,17 +136,18 @@ def order_type_pivot(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def season_span(wh: Warehouse, p: Params) -> DataFrame:
-    return product.season_span(wh.line_list)
+    return product.season_span(wh.line_list, p.material_prefix)
 
 
 def account_month_fact(wh: Warehouse, p: Params) -> DataFrame:
     return accounts.account_month_fact(current_forecast(wh, p), order_type_pivot(wh, p), season_span(wh, p),
                                        wh.style_master, footbed_patterns=p.footbed_patterns,
-                                       socks_patterns=p.socks_patterns, type_names=p.type_names)
+                                       socks_patterns=p.socks_patterns, type_names=p.type_names,
+                                       material_prefix=p.material_prefix)
 
 
 def season_number_account(wh: Warehouse, p: Params) -> DataFrame:
-    return product.season_number(wh.line_list, detail=())
+    return product.season_number(wh.line_list, detail=(), material_prefix=p.material_prefix)
 
 
 def lifecycle_class_account(wh: Warehouse, p: Params, fact: DataFrame | None = None,
@@ -156,7 +155,7 @@ def lifecycle_class_account(wh: Warehouse, p: Params, fact: DataFrame | None = N
     fact = account_month_fact(wh, p) if fact is None else fact
     return accounts.account_classification(fact, season_number_account(wh, p),
                                            accessory_patterns=p.description_accessory_patterns,
-                                           distinct_rows=distinct_rows)
+                                           distinct_rows=distinct_rows, domestic_intents=p.domestic_intents)
 
 
 def season_prices(wh: Warehouse, p: Params) -> DataFrame:
@@ -165,12 +164,12 @@ def season_prices(wh: Warehouse, p: Params) -> DataFrame:
 
 def price_attach(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
     fact = account_month_fact(wh, p) if fact is None else fact
-    return accounts.price_attach(fact, season_prices(wh, p))
+    return accounts.price_attach(fact, season_prices(wh, p), p.material_prefix)
 
 
 def _shared_fact(wh: Warehouse, p: Params, fact: DataFrame | None) -> DataFrame:
-    """The account-month fact is read three times downstream; store it once."""
-    return materialize(account_month_fact(wh, p)) if fact is None else fact
+    """The account-month fact is read three times downstream; stored once where a folder is named."""
+    return wh.keep(account_month_fact(wh, p))[0] if fact is None else fact
 
 
 def account_final(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
@@ -185,13 +184,13 @@ def projected_sales(wh: Warehouse, p: Params, fact: DataFrame | None = None) ->
 
 def net_revenue_by_account(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
     return accounts.net_revenue_by_account(projected_sales(wh, p, fact=_shared_fact(wh, p, fact)), wh.style_master,
-                                           type_names=p.type_names)
+                                           type_names=p.type_names, material_prefix=p.material_prefix)
 
 
 # -- product classification ------------------------------------------------------------------------
 
 def season_number(wh: Warehouse, p: Params) -> DataFrame:
-    return product.season_number(wh.line_list)
+    return product.season_number(wh.line_list, material_prefix=p.material_prefix)
 
 
 def lifecycle_class(wh: Warehouse, p: Params) -> DataFrame:
@@ -200,27 +199,46 @@ def lifecycle_class(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def exclusivity_product(wh: Warehouse, p: Params) -> DataFrame:
-    return product.exclusivity_product(season_number(wh, p))
+    return product.exclusivity_product(season_number(wh, p), p.domestic_intents)
 
 
 def exclusivity_account(wh: Warehouse, p: Params) -> DataFrame:
-    return product.exclusivity_account(season_number(wh, p))
+    return product.exclusivity_account(season_number(wh, p), p.domestic_intents)
 
 
 def product_classification(wh: Warehouse, p: Params) -> DataFrame:
-    return product.product_classification(lifecycle_class(wh, p), wh.style_master)
+    return product.product_classification(lifecycle_class(wh, p), wh.style_master, p.domestic_intents)
 
 
 # -- sheet roll-up ---------------------------------------------------------------------------------
 
 def sheet_project(wh: Warehouse, p: Params) -> DataFrame:
     positioned = select_positions(wh.forecast_sheet, p.sheet_positions)
-    return typed_sheet(positioned, "upc", p.sheet_months)
+    return typed_sheet(positioned, "upc", p.sheet_months, id_type="string")
 
 
 def sheet_json_roundtrip(wh: Warehouse, p: Params) -> DataFrame:
     positioned = select_positions(wh.forecast_sheet, p.sheet_positions)
-    return shred_json_rows(sheet_to_json_rows(positioned, p.sheet_months), "upc", p.sheet_months)
+    return shred_json_rows(sheet_to_json_rows(positioned, p.sheet_months), "upc", p.sheet_months, id_type="string")
+
+
+def sheet_json_array(wh: Warehouse, p: Params) -> DataFrame:
+    positioned = select_positions(wh.forecast_sheet, p.sheet_positions)
+    return shred_json_arrays(sheet_to_json_arrays(positioned, p.sheet_months), "upc", p.sheet_months, id_type="string")
+
+
+def sheet_file(wh: Warehouse, p: Params) -> DataFrame:
+    """The sheet exported as CSV to the shared folder, read back with its schema and typed."""
+    sheet_ = wh.forecast_sheet
+    path = f"{TableStore(wh.spark, shared_dir(wh.spark)).base}/sheet"
+    write_report(sheet_, path, fmt="csv")
+    back = read_sheet(wh.spark, path, sheet_.schema)
+    return typed_sheet(select_positions(back, p.sheet_positions), "upc", p.sheet_months, id_type="string")
+
+
+def order_type_pivot_any_case(wh: Warehouse, p: Params) -> DataFrame:
+    """Order types over codes in mixed case: equal whatever their case."""
+    return order_type_pivot(wh.mixed_case(), p.folded())
 
 
 def inline_status(wh: Warehouse, p: Params) -> DataFrame:
@@ -228,7 +246,7 @@ def inline_status(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def sheet_rollup(wh: Warehouse, p: Params) -> DataFrame:
-    return sheet.sheet_rollup(sheet_json_roundtrip(wh, p), wh.upc_bridge, wh.material, wh.line_list,
+    return sheet.sheet_rollup(sheet_project(wh, p), wh.upc_bridge, wh.material, wh.line_list,
                               months=p.sheet_months, season=p.inline_season)
 
 
@@ -269,5 +287,8 @@ REPORTS = {
     "inline_status": inline_status,
     "sheet_project": sheet_project,
     "sheet_json_roundtrip": sheet_json_roundtrip,
+    "sheet_json_array": sheet_json_array,
+    "sheet_file": sheet_file,
+    "order_type_pivot_any_case": order_type_pivot_any_case,
     "sheet_rollup": sheet_rollup,
 }

@@ -1,11 +1,13 @@
-"""Spark session and checkpoint-directory helpers."""
+"""Spark session and stored-table helpers."""
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,60 +35,62 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint directory.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which every executor can reach; an error if there is none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    return named.rstrip("/")
 
-    A cluster names a shared directory in ``spark.checkpoint.dir``; it is used as is.  Only a local
-    session without one gets a fresh scratch directory; a cluster session without one is an error,
-    because a machine-local folder would not survive the loss of that machine.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running reports")
-    path = tempfile.mkdtemp(prefix="tradewind-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def materialize(df):
-    """Compute ``df`` once into a Parquet table under the session's checkpoint directory and continue
-    from the stored copy.
-
-    Used where a report reads the same intermediate result several times (possibly with different
-    columns, which defeats exchange reuse): the stored table is read instead of recomputing the
-    lineage, and a lost executor only costs work after this point.  A written table is computed
-    once, whereas ``Dataset.checkpoint`` computes an uncached plan twice (count, then write).  A
-    cluster session without ``spark.checkpoint.dir`` keeps the lazy plan (nothing machine-local is
-    written).
+
+class TableStore:
+    """Intermediate tables below a folder that the caller names.
+
+    ``keep(df)`` writes ``df`` once as Parquet and reads it back: readers do not compute it again, and a
+    lost executor costs the work after it only.  ``keep_all`` writes several at once.  ``close`` deletes
+    the tables.  On a cluster the folder needs a scheme: a bare path would be a folder of one machine.
     """
-    spark = df.sparkSession
-    try:
-        base = ensure_checkpoint_dir(spark)
-    except RuntimeError:
-        return df
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def materialize_all(dfs):
-    """:func:`materialize` several independent results as concurrent Spark jobs (one driver thread
-    per write), so their stages share the executors instead of running one job after another."""
-    from concurrent.futures import ThreadPoolExecutor
-    dfs = list(dfs)
-    if len(dfs) <= 1:
-        return [materialize(df) for df in dfs]
-    try:
-        ensure_checkpoint_dir(dfs[0].sparkSession)  # resolve once, before the threads start
-    except RuntimeError:
-        return dfs
-    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
-        return list(pool.map(materialize, dfs))
+
+    def __init__(self, spark: SparkSession, folder: str):
+        if "://" not in folder and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{folder!r} is a machine-local path; name the shared folder with its scheme")
+        self.spark = spark
+        self.base = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+        self._count = itertools.count()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{next(self._count)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_all(self, dfs: Sequence[DataFrame]) -> list[DataFrame]:
+        dfs = list(dfs)
+        out: list[DataFrame | None] = [None] * len(dfs)
+        errors: list[BaseException] = []
+
+        def run(i: int) -> None:
+            try:
+                out[i] = self.keep(dfs[i])
+            except BaseException as e:  # raised again below, in the caller's thread
+                errors.append(e)
+        threads = [InheritableThread(target=run, args=(i,)) for i in range(len(dfs))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        if errors:
+            raise errors[0]
+        return out
+
+    def close(self) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def __enter__(self) -> "TableStore":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,

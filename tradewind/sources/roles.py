@@ -1,12 +1,13 @@
 """Role views: the source relations the reports read, derived from the input tables.
 
 In production these are warehouse views; here each role is a lazy DataFrame over the Parquet tables
-in ``sf_dir`` (see FIXTURES.md §2 for the definitions).  Each role joins only the tables it needs, so
-column pruning and predicate pushdown reach the Parquet scans through the role definitions.
+in ``sf_dir`` (see FIXTURES.md §2 for the definitions).  Column pruning and predicate pushdown reach the
+Parquet scans through the role definitions.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import functools
 from collections.abc import Callable
 
@@ -15,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import MONEY
-
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-
+from ..session import TableStore
 
 def _sd() -> Column:
     return F.col("l_shipdate").cast("date")
@@ -35,6 +34,19 @@ def _material() -> Column:
     return F.col("l_partkey").cast("string")
 
 
+def _upc() -> Column:
+    """Digits of the part and, in a fixed width, of the supplier: one text per pair at any scale."""
+    return F.concat(F.col("l_partkey").cast("string"), F.lpad(F.col("l_suppkey").cast("string"), 19, "0"))
+
+
+def _file_date() -> Column:
+    return F.date_add(F.trunc(_sd(), "MM"), (F.col("l_suppkey") % 2).cast("int") * 14)
+
+
+def _module() -> Column:
+    return F.when(F.col("l_returnflag") == "R", F.lit("SalesForecast")).otherwise(F.lit("Demand"))
+
+
 def _half(d: Column) -> Column:
     return F.when(F.month(d) <= 6, F.lit("Spring-Summer")).otherwise(F.lit("Fall-Winter"))
 
@@ -60,22 +72,35 @@ def parquet_reader(location: str) -> TableReader:
     return lambda spark, name: spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def jdbc_reader(url: str, properties: dict[str, str],
-                partitioning: dict[str, tuple[str, int, int, int]] | None = None) -> TableReader:
-    """Tables read over JDBC.  ``partitioning[name] = (column, lower, upper, partitions)`` splits a large
-    table into parallel range reads on a numeric column (one connection per partition) instead of one
-    single-connection read."""
-    parts = partitioning or {}
-
+def jdbc_reader(url: str, properties: dict[str, str], partitioning: dict[str, tuple[str, int, int, int]],
+                whole: tuple[str, ...] = ("region", "nation")) -> TableReader:
+    """Tables read over JDBC.  ``partitioning[name] = (column, lower, upper, partitions)`` splits a table
+    into parallel range reads on a numeric column (one connection per partition).  Only the small tables
+    named in ``whole`` may be read over a single connection; any other table must be partitioned."""
     def read(spark: SparkSession, name: str) -> DataFrame:
-        if name in parts:
-            column, lower, upper, n = parts[name]
+        if name in partitioning:
+            column, lower, upper, n = partitioning[name]
             return spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper,
                                    numPartitions=n, properties=properties)
+        if name not in whole:
+            raise ValueError(f"table {name!r} would be read by one task; give its partitioning")
         return spark.read.jdbc(url, name, properties=properties)
     return read
 
 
+def mixed_case_reader(inner: TableReader) -> TableReader:
+    """Test input: the same tables with the letter case of their codes changed on every other row."""
+    codes = {"customer": ("c_mktsegment", "c_custkey"), "orders": ("o_orderpriority", "o_orderkey"), "part": ("p_type", "p_partkey")}
+
+    def read(spark: SparkSession, name: str) -> DataFrame:
+        df = inner(spark, name)
+        if name not in codes:
+            return df
+        code, key = codes[name]
+        return df.withColumn(code, F.when(F.col(key) % 2 == 0, F.lower(code)).otherwise(F.initcap(code)))
+    return read
+
+
 def role(build: Callable[["Warehouse"], DataFrame]) -> property:
     """A role view: built once per Warehouse, with the Warehouse's text normalisation applied."""
     name = build.__name__
@@ -92,23 +117,47 @@ class Warehouse:
     """Lazy role views over the input tables of one location (Parquet by default).
 
     ``trim_codes`` removes trailing blanks from every text column of the roles, so padded codes
-    compare, join and group equal to unpadded ones as in the source warehouse.  It is off by default:
-    untouched text columns keep their filters pushable into the Parquet scan.
+    compare, join and group equal to unpadded ones as in the source warehouse.  ``fold_case`` puts every
+    text column of the roles in lower case; with ``Params.folded()``, which does the same to the
+    parameters, codes are equal whatever their case.  Both are off by default: untouched text columns keep
+    their filters pushable into the Parquet scan.
+
+    ``store_dir`` names a shared folder for intermediate tables.  With it, reports that use a result
+    several times write it there once (``keep``), and ``close`` deletes the tables; without it every
+    report is one lazy plan.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, reader: TableReader | None = None,
-                 trim_codes: bool = False):
+                 trim_codes: bool = False, fold_case: bool = False, store_dir: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._reader = reader or parquet_reader(self.sf_dir)
         self._tables: dict[str, DataFrame] = {}
         self._roles: dict[str, DataFrame] = {}
         self.trim_codes = trim_codes
+        self.fold_case = fold_case
+        self.tables = TableStore(spark, store_dir) if store_dir else None
+
+    def keep(self, *dfs: DataFrame) -> list[DataFrame]:
+        """The same rows, stored once where this Warehouse has a folder for it."""
+        return self.tables.keep_all(dfs) if self.tables else list(dfs)
+
+    def close(self) -> None:
+        if self.tables:
+            self.tables.close()
+
+    def mixed_case(self) -> "Warehouse":
+        """Test view of this Warehouse: codes in mixed case, compared whatever their case."""
+        return Warehouse(self.spark, self.sf_dir, mixed_case_reader(self._reader), self.trim_codes, fold_case=True)
 
     def _normalise(self, df: DataFrame) -> DataFrame:
-        if not self.trim_codes:
+        if not (self.trim_codes or self.fold_case):
             return df
-        return df.select(*[(F.rtrim(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType)
+
+        def code(c: Column) -> Column:
+            c = F.rtrim(c) if self.trim_codes else c
+            return F.lower(c) if self.fold_case else c
+        return df.select(*[(code(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType)
                             else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields])
 
     def table(self, name: str) -> DataFrame:
@@ -117,10 +166,23 @@ class Warehouse:
             self._tables[name] = self._reader(self.spark, name)
         return self._tables[name]
 
+    # -- roles from a date on: the bound also reaches the scan, where the role's own date hides it
+    def sell_through_since(self, first: _dt.date) -> DataFrame:
+        """``sell_through`` of the weeks that start on ``first`` or later."""
+        monday = first + _dt.timedelta(days=-first.weekday() % 7)
+        lines = self.table("lineitem").where(_sd() >= F.lit(monday).cast("date"))
+        return self._normalise(self._weekly(lines)).where(F.col("week_start") >= F.lit(first).cast("date"))
+
+    def forecast_history_since(self, first: _dt.date) -> DataFrame:
+        """``forecast_history`` of the files dated ``first`` or later (a file's lines ship in its month)."""
+        lines = self.table("lineitem").where(_sd() >= F.lit(first - _dt.timedelta(days=14)).cast("date"))
+        return (self._normalise(self._forecast(lines)).where(F.col("file_date") >= F.lit(first).cast("date"))
+                    .withColumnRenamed("forecast_group", "sales_group"))
+
     # -- shared joins ---------------------------------------------------------------------------
-    def _line_customer(self) -> DataFrame:
+    def _line_customer(self, lines: DataFrame | None = None) -> DataFrame:
         """lineitem joined to its order, customer and nation (no orphans in the inputs)."""
-        li = self.table("lineitem")
+        li = self.table("lineitem") if lines is None else lines
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
         c = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         n = self.table("nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -159,6 +221,7 @@ class Warehouse:
             F.when(shipped, _amt()).otherwise(F.lit(0).cast(MONEY)).alias("ship_amt"),
             F.when(opened, _qty()).otherwise(F.lit(0).cast("bigint")).alias("open_qty"),
             F.when(opened, _amt()).otherwise(F.lit(0).cast(MONEY)).alias("open_amt"),
+            F.when(opened & (F.col("l_discount") < 0.05), _qty()).otherwise(F.lit(0).cast("bigint")).alias("ship_open_qty"),
         )
 
     @role
@@ -190,7 +253,9 @@ class Warehouse:
 
     @role
     def sell_through(self) -> DataFrame:
-        li = self.table("lineitem")
+        return self._weekly(self.table("lineitem"))
+
+    def _weekly(self, li: DataFrame) -> DataFrame:
         o = self.table("orders").select("o_orderkey", "o_custkey")
         c = self.table("customer").select("c_custkey", "c_mktsegment")
         df = self._with_part(li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey))
@@ -203,13 +268,16 @@ class Warehouse:
 
     @role
     def forecast(self) -> DataFrame:
-        df = self._with_part(self._line_customer())
+        return self._forecast(self.table("lineitem"))
+
+    def _forecast(self, lines: DataFrame) -> DataFrame:
+        df = self._with_part(self._line_customer(lines))
         sd = _sd()
         dem = F.add_months(sd, F.col("l_linenumber"))
         return df.select(
-            F.date_add(F.trunc(sd, "MM"), (F.col("l_suppkey") % 2).cast("int") * 14).alias("file_date"),
+            _file_date().alias("file_date"),
             dem.alias("demand_date"),
-            F.when(F.col("l_returnflag") == "R", F.lit("SalesForecast")).otherwise(F.lit("Demand")).alias("module"),
+            _module().alias("module"),
             F.col("c_mktsegment").alias("forecast_group"),
             _sales_org().alias("sales_org"),
             F.when(F.col("l_discount") < 0.09, F.lit(1)).otherwise(F.lit(0)).alias("current_flag"),
@@ -228,18 +296,21 @@ class Warehouse:
 
     @role
     def selected_snapshots(self) -> DataFrame:
-        f = self.forecast
-        return (f.groupBy(F.trunc("file_date", "MM").alias("snapshot_month"), "module", "forecast_group")
-                 .agg(F.max("file_date").alias("file_date"))
-                 .select("file_date", "module", F.col("forecast_group").alias("sales_group")))
+        """The last file of each month, module and group, from the few columns that name them."""
+        o = self.table("orders").select("o_orderkey", "o_custkey")
+        c = self.table("customer").select("c_custkey", "c_mktsegment")
+        files = self.table("lineitem").select("l_orderkey", _file_date().alias("file_date"), _module().alias("module"))
+        named = (files.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+                      .select("file_date", "module", F.col("c_mktsegment").alias("sales_group")))
+        return (named.groupBy(F.trunc("file_date", "MM").alias("month"), "module", "sales_group")
+                     .agg(F.max("file_date").alias("file_date")).select("file_date", "module", "sales_group"))
 
     @role
     def line_list(self) -> DataFrame:
         df = self._with_part(self.table("lineitem"))
         sd = _sd()
         msrp = F.col("p_retailprice").cast(MONEY)
-        return (df.where((F.col("l_partkey") + F.year(sd)) % 3 != 0)
-                  .select(
+        return (df.select(
                       _material().alias("material"),
                       F.concat(F.when(F.month(sd) <= 6, F.lit("Spring ")).otherwise(F.lit("Fall ")),
                                F.year(sd).cast("string")).alias("season"),
@@ -275,24 +346,27 @@ class Warehouse:
 
     @role
     def calendar(self) -> DataFrame:
-        sd = _sd()
-        return self.table("lineitem").select(sd.alias("the_date"), _half(sd).alias("season_name")).distinct()
+        """One row per date from the first to the last shipment."""
+        ends = self.table("lineitem").agg(F.min(_sd()).alias("first"), F.max(_sd()).alias("last"))
+        days = ends.select(F.explode(F.sequence("first", "last")).alias("the_date"))
+        return days.select("the_date", _half(F.col("the_date")).alias("season_name"))
 
     @role
     def upc_bridge(self) -> DataFrame:
-        upc = F.col("l_partkey") * 100000 + F.col("l_suppkey")
-        return self.table("lineitem").select(upc.cast("bigint").alias("upc"), _material().alias("material")).distinct()
+        return self.table("lineitem").select(_upc().alias("upc"), _material().alias("material")).distinct()
 
     @role
     def forecast_sheet(self) -> DataFrame:
-        """Wide monthly sheet: an unused leading column, two id columns, the UPC, April..October."""
-        upc = (F.col("l_partkey") * 100000 + F.col("l_suppkey")).cast("bigint")
+        """Wide monthly sheet: an unused leading column, two id columns, the UPC, April..October.
+
+        A month is half the units shipped in it, so cells hold fractions; months without any are NULL.
+        """
         sd = _sd()
-        months = [F.sum(F.when(F.month(sd) == m, _qty())).cast("bigint").alias(f"m{m:02d}")
+        months = [(F.lit(0.5) * F.sum(F.when(F.month(sd) == m, _qty()))).alias(f"m{m:02d}")
                   for m in range(4, 11)]
-        wide = self.table("lineitem").groupBy(upc.alias("upc")).agg(*months)
+        wide = self.table("lineitem").groupBy(_upc().alias("upc"), F.col("l_suppkey").alias("supplier")).agg(*months)
         return wide.select(
-            F.col("upc").cast("string").alias("sheet_line"),
-            F.concat(F.lit("A"), F.col("upc").cast("string")).alias("asin"),
-            F.concat(F.lit("V"), (F.col("upc") % 100000).cast("string")).alias("vendor_code"),
+            F.col("upc").alias("sheet_line"),
+            F.concat(F.lit("A"), F.col("upc")).alias("asin"),
+            F.concat(F.lit("V"), F.col("supplier").cast("string")).alias("vendor_code"),
             "upc", *[f"m{m:02d}" for m in range(4, 11)])

@@ -10,19 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str = "csv") -> DataFrame:
-    """Read an exported sheet.  CSV needs a header row; pass ``schema`` to avoid inference."""
-    reader = spark.read.format(fmt)
+def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv") -> DataFrame:
+    """Read an exported sheet with its ``schema`` (nothing is inferred).  CSV needs a header row."""
+    reader = spark.read.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
+        reader = reader.option("header", "true").option("mode", "FAILFAST")
     return reader.load(path)
 
 
@@ -32,22 +29,39 @@ def select_positions(df: DataFrame, positions: Sequence[int]) -> DataFrame:
     return df.select(*[F.col(f"`{names[i]}`") for i in positions])
 
 
+def _whole(df: DataFrame, measure_cols: Sequence[str]) -> Column:
+    """A row as a struct, measures rounded to whole numbers (an integer field would not accept ``4.0``)."""
+    return F.struct(*[F.round(F.col(c)).cast("bigint").alias(c) if c in measure_cols else F.col(c) for c in df.columns])
+
+
 def sheet_to_json_rows(df: DataFrame, measure_cols: Sequence[str]) -> DataFrame:
-    """One JSON object per row; measures rounded to whole numbers first (an integer field would
-    not accept ``4.0``)."""
-    cols = [F.round(F.col(c)).cast("bigint").alias(c) if c in measure_cols else F.col(c)
-            for c in df.columns]
-    return df.select(F.to_json(F.struct(*cols)).alias("json"))
+    """One JSON object per row."""
+    return df.select(F.to_json(_whole(df, measure_cols)).alias("json"))
+
+
+def sheet_to_json_arrays(df: DataFrame, measure_cols: Sequence[str], rows_per_array: int = 1000) -> DataFrame:
+    """JSON arrays of at most ``rows_per_array`` objects."""
+    row = df.select(_whole(df, measure_cols).alias("row"), F.expr(f"monotonically_increasing_id() div {int(rows_per_array)}").alias("part"))
+    return row.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("json")).select("json")
+
+
+def _fields(id_col: str, measure_cols: Sequence[str], id_type: str) -> T.StructType:
+    ids = {"bigint": T.LongType(), "string": T.StringType()}
+    return T.StructType([T.StructField(id_col, ids[id_type])] + [T.StructField(c, T.LongType()) for c in measure_cols])
 
 
 def shred_json_rows(rows: DataFrame, id_col: str, measure_cols: Sequence[str],
                     id_type: str = "bigint", measure_type: str = "int") -> DataFrame:
     """Typed shred of JSON objects: only the named fields survive, each cast to its declared type."""
-    schema = T.StructType([T.StructField(id_col, T.LongType() if id_type == "bigint" else T.StringType())]
-                          + [T.StructField(c, T.LongType()) for c in measure_cols])
-    parsed = rows.select(F.from_json("json", schema).alias("r"))
-    return parsed.select(F.col(f"r.{id_col}").cast(id_type).alias(id_col),
-                         *[F.col(f"r.{c}").cast(measure_type).alias(c) for c in measure_cols])
+    parsed = rows.select(F.from_json("json", _fields(id_col, measure_cols, id_type)).alias("r")).select("r.*")
+    return parsed.select(id_col, *[F.col(c).cast(measure_type).alias(c) for c in measure_cols])
+
+
+def shred_json_arrays(rows: DataFrame, id_col: str, measure_cols: Sequence[str],
+                      id_type: str = "bigint", measure_type: str = "int") -> DataFrame:
+    """Typed shred of JSON arrays: one row per element of every array."""
+    parsed = rows.select(F.inline(F.from_json("json", T.ArrayType(_fields(id_col, measure_cols, id_type)))))
+    return parsed.select(id_col, *[F.col(c).cast(measure_type).alias(c) for c in measure_cols])
 
 
 def typed_sheet(df: DataFrame, id_col: str, measure_cols: Sequence[str],

@@ -20,12 +20,16 @@ Layout per role:
 
 from __future__ import annotations
 
+import datetime as _dt
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import TableStore
 from .roles import Warehouse
 
 # role -> date column used as the directory partition (None: not partitioned)
@@ -46,23 +50,36 @@ LAYOUT: dict[str, str | None] = {
 _SCHEMA_FILE = "_role_schema.json"
 
 
-def save_roles(wh: Warehouse, path: str, roles: Iterable[str] | None = None,
-               partitions: int | None = None, partition_by_date: bool = False) -> None:
-    """Write role views of ``wh`` under ``path/<role>`` (overwriting)."""
+def save_roles(wh: Warehouse, path: str, roles: Iterable[str] | None = None, partition_by_date: bool = False) -> None:
+    """Write role views of ``wh`` under ``path/<role>``.
+
+    The range partitions are sized at run time (``spark.sql.adaptive``).  A role is written beside its
+    old copy and takes its place when it is whole, so a failed run leaves the old copy as it was.
+    """
     spark = wh.spark
     for role in roles or LAYOUT:
         df = getattr(wh, role)
         date_col = LAYOUT[role]
         order = [c for c in (date_col, "material") if c and c in df.columns]
         if order:
-            n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        writer = df.write.mode("overwrite")
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        writer = df.write
         if date_col and partition_by_date:
             writer = writer.partitionBy(date_col)
         target = f"{path.rstrip('/')}/{role}"
-        writer.parquet(target)
-        _write_schema(spark, target, df.schema)
+        fresh = f"{path.rstrip('/')}/_{role}-{uuid.uuid4().hex}"
+        writer.parquet(fresh)
+        _write_schema(spark, fresh, df.schema)
+        _replace(spark, fresh, target)
+
+
+def _replace(spark: SparkSession, fresh: str, target: str) -> None:
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, target))
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{fresh} could not take the place of {target}")
 
 
 def _write_schema(spark: SparkSession, target: str, schema: T.StructType) -> None:
@@ -93,10 +110,20 @@ def _read_schema(spark: SparkSession, target: str) -> T.StructType | None:
 class StoredWarehouse:
     """Role views read from tables written by :func:`save_roles`."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, store_dir: str | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self._roles: dict[str, DataFrame] = {}
+        self.tables = TableStore(spark, store_dir) if store_dir else None
+
+    keep = Warehouse.keep
+    close = Warehouse.close
+
+    def sell_through_since(self, first: _dt.date) -> DataFrame:
+        return self._read("sell_through").where(F.col("week_start") >= F.lit(first).cast("date"))
+
+    def forecast_history_since(self, first: _dt.date) -> DataFrame:
+        return self.forecast_history.where(F.col("file_date") >= F.lit(first).cast("date"))
 
     def _read(self, role: str) -> DataFrame:
         if role not in self._roles:
