@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_batches, type_of
+from .storage import held, map_batches, type_of
 
 # classes of code points
 LETTER, NUMBER, OTHER, QUOTE, SPACE, BLANK = range(6)
@@ -269,14 +269,8 @@ class Encoder:
         return self.flat[np.repeat(self.at[n] - start, sizes) + np.arange(total)].tobytes()
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(rank_file) -> Encoder:
-    key = hash(rank_file.value)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(rank_file.value)
-    return _ENCODERS[key]
+    return held(("bpe", hash(rank_file.value)), lambda: Encoder(rank_file.value))
 
 
 def grouped(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:

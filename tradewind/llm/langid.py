@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import kept_as, map_texts, store
+from .storage import held, kept_as, map_texts, store
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 6_000
@@ -57,16 +58,11 @@ class Model:
     words: dict[str, tuple[float, ...]]
     grams: list[dict[str, tuple[float, ...]]]
     prior: tuple[float, ...]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False)
 
-    def __post_init__(self):
-        self.scores = _Scores(self)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "scores"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.scores = _Scores(self)
+    @property
+    def scores(self) -> _Scores:
+        return held(("langid", self.name), lambda: _Scores(self))
 
     def back_off(self, word: str) -> tuple[float, ...]:
         """Sum over the longest known n-grams that cover an unseen word from its start."""

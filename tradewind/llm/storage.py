@@ -67,6 +67,20 @@ def free_name(columns: list[str], stem: str) -> str:
     return stem
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """A helper with a large cache, kept in this Python worker from task to task.
+
+    A worker holds one at a time: the next operator's helper takes the place of the last one's.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 _SHIPPED: set[str] = set()
 
 
