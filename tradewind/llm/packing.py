@@ -11,8 +11,11 @@ better.
 
 from __future__ import annotations
 
+import json
+import os
 import random
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import grouped
-from .storage import map_batches, ship_package, store, type_of
+from .storage import held, map_batches, ship_package, store, type_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,63 +35,55 @@ EPOCHS = 2
 GENERATIONS = 4
 POPULATION = 4
 WELL_FILLED = 0.97
-CACHE_ENTRIES = 300_000
-CACHED_CHARS = 64
-
-_TOKENIZERS: dict[int, "_Tokens"] = {}
+#: Fixed value: the pattern by which byte-level pre-tokenisers with ``use_regex`` split a text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for signs from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SIGN_BYTES = {chr(b): b for b in _PRINTABLE} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _rank_table(file: str) -> dict[bytes, int] | None:
+    """Token bytes -> id if the tokenizer file is plain byte-level BPE whose merges stand in the order of
+    their ids; then merging by lowest id is what its merges do.  None for any other file."""
+    data = json.loads(file)
+    model, split = data["model"], data.get("pre_tokenizer") or {}
+    if (data.get("normalizer") or model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space")
+            or split.get("use_regex") is False or model.get("ignore_merges") or model.get("dropout")):
+        return None
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary[a + b] for a, b in merges]
+    special = {t["content"] for t in data.get("added_tokens") or ()}
+    base = [t for t in vocabulary if len(t) == 1]
+    if ids != sorted(set(ids)) or len(base) != 256 or len(base) + len(ids) + len(special & vocabulary.keys()) != len(vocabulary):
+        return None
+    return {bytes(_SIGN_BYTES[c] for c in t): i for t, i in vocabulary.items() if t not in special}
 
 
 class _Tokens:
-    """Ids of whole texts by the tokenizer file, through a cache of space-led words.
+    """Ids of whole texts by the tokenizer file, control strings in them taken as ordinary text.
 
-    The pre-tokeniser of a byte-level file always starts a token at a space that stands before a solid
-    character, so a text's ids are those of its parts cut there, one after the other.
+    A plain byte-level file is run by the tiktoken library on the file's own vocabulary, which gives the
+    same ids in a fifth of the time; any other file by the tokenizers library.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-        self.coder = Tokenizer.from_str(file)
-        self.coder.encode_special_tokens = True  # control strings in a document are ordinary text
-        self.cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        words = text.split(" ")
-        if len(words) == 1:
-            return words
-        out = [words[0]]
-        for w in words[1:]:
-            if w and not w[0].isspace():
-                out.append(" " + w)
-            else:  # white space before the next solid character belongs to one run
-                out[-1] += " " + w
-        return out
+        ranks = _rank_table(file)
+        if ranks is not None:
+            import tiktoken
+            self.ids = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+            coder = Tokenizer.from_str(file)
+            coder.encode_special_tokens = True
+            self.ids = lambda text: coder.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
-        cache = self.cache
-        every = set().union(*parts)
-        new = every.difference(cache)
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = every
-        fresh = list(new)
-        for p, e in zip(fresh, self.coder.encode_batch_fast(fresh, add_special_tokens=False)):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
-        ids = [b"".join([cache[p] for p in ps]) for ps in parts]
-        for p in fresh:
-            if len(p) > CACHED_CHARS:
-                del cache[p]
-        return ids
+        return [array("I", self.ids(t)).tobytes() for t in texts]
 
 
 def _tokens(file) -> _Tokens:
-    key = hash(file.value)
-    if key not in _TOKENIZERS:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _TOKENIZERS[key] = _Tokens(file.value)
-    return _TOKENIZERS[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return held(("packing", hash(file.value)), lambda: _Tokens(file.value))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
