@@ -109,22 +109,17 @@ def marketing_merge(bulk: DataFrame, ats: DataFrame, sales: DataFrame, sell_thru
     row = F.struct("part", "category", "copies", "measures")
     lists = (united.groupBy("material")
                    .agg(*[F.collect_list(F.when(F.col("part") == i, row)).alias(f"p{i}") for i in range(len(own))]))
+    parts = [f"p{i}" for i in range(len(own))]
     product = lists.where(F.size("p0") > 0)
-    for i in range(len(own)):
-        product = product.withColumn(f"p{i}", F.explode_outer(f"p{i}"))
-    product = product.select("material", F.array(*[f"p{i}" for i in range(len(own))]).alias("rows"))
-    single = lists.where(F.size("p0") == 0).select("material", F.explode(F.concat(*[f"p{i}" for i in range(1, len(own))])).alias("r"))
-    single = single.select("material", F.array("r").alias("rows"))
-    both = product.unionAll(single)
-
-    def measure(part: int, at: int):
-        mine = F.filter("rows", lambda r: r["part"] == part)
-        return F.coalesce(F.get(F.get(mine, F.lit(0))["measures"], F.lit(at)), F.lit(0).cast("bigint"))
-    named = {m: measure(i, k) for i, ms in enumerate(own) for k, m in enumerate(ms)}
+    for p in parts:
+        product = product.withColumn(p, F.explode_outer(p))
+    single = lists.where(F.size("p0") == 0).select("material", F.explode(F.concat(*parts[1:])).alias("r"))
+    single = single.select("material", *[F.when(F.col("r.part") == i, F.col("r")).alias(p) for i, p in enumerate(parts)])
+    named = {m: F.coalesce(F.get(F.col(f"p{i}.measures"), F.lit(k)), F.lit(0).cast("bigint")) for i, ms in enumerate(own) for k, m in enumerate(ms)}
     named["t4w_retailer_onhand"] = named.pop("retailer_onhand")
-    flat = both.select("material", F.get(F.filter("rows", lambda r: r["part"] == 1), F.lit(0))["category"].alias("a_category"),
-                       F.aggregate("rows", F.lit(1).cast("bigint"), lambda acc, r: acc * F.coalesce(r["copies"], F.lit(1).cast("bigint"))).alias("_copies"),
-                       *[named[m].alias(m) for m in merge_columns(weeks)])
+    flat = product.unionAll(single).select(
+        "material", F.col("p1.category").alias("a_category"), F.coalesce("p4.copies", F.lit(1).cast("bigint")).alias("_copies"),
+        *[named[m].alias(m) for m in merge_columns(weeks)])
     c = (style.select(F.col("material").alias("c_m"), F.col("material_description").alias("c_description"),
                       F.col("category").alias("c_category"), "model", "gender").distinct())
     out = flat.join(c, flat["material"] == c["c_m"], "left")
