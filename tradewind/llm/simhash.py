@@ -226,12 +226,12 @@ def links(reps: DataFrame, max_bits: int = 4, hot_list: int = HOT_LIST) -> DataF
     hot = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
     if hot.isEmpty():
         return found.select("a", "b")
-    again = None
-    for c, combo in enumerate(COMBOS):  # the free bytes of the list, as eight half-bytes
-        free = [8 * p + s for p in range(8) if p not in combo for s in (0, 4)]
-        part = (hot.where(F.shiftright("key", 32) == c)
-                   .select("key", "fp", _lists(hot, free, 4, "fp").alias("sub")))
-        again = part if again is None else again.unionAll(part)
+    free = [[8 * p for p in range(8) if p not in combo] for combo in COMBOS]  # bit positions of a list's free bytes
+    combo = "cast(shiftright(key, 32) AS int) + 1"
+    at = [f"element_at(array({', '.join(str(f[j]) for f in free)}), {combo})" for j in range(4)]
+    rest = " | ".join(f"shiftleft(shiftrightunsigned(fp, {x}) & 255L, {8 * j})" for j, x in enumerate(at))
+    loose = hot.select("key", "fp", F.expr(rest).alias("free"))
+    again = loose.select("key", "fp", _lists(loose, [4 * i for i in range(8)], 4, "free").alias("sub"))
     # one number per (list, half-bytes); a clash of numbers only adds fingerprints to compare
     again = again.select(F.xxhash64("key", "sub").alias("key"), "fp")
     lists = again.repartition("key").sortWithinPartitions("key", "fp")
