@@ -89,3 +89,17 @@ def test_redaction(spark, edge_docs):
     assert same.columns == edge_docs.columns and sorted(map(str, same.collect())) == sorted(map(str, edge_docs.collect()))
     done = S.redact(docs_of(spark, [(1, text, "en"), (2, None, "en")])).collect()
     assert {r.doc_id: r.text for r in done} == {1: '[secret]" x', 2: None} and all(r.result == "r" for r in done)
+
+
+def test_values_and_users_of_any_length(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789-_."
+    bearer, user, value = ("".join(rng.choice(letters) for _ in range(n)) for n in (500, 70, 300))
+    texts = {1: (f"Authorization: Bearer {bearer} end", bearer, "Authorization: Bearer [secret] end"),
+             2: (f"see postgres://{user}:{value}@host/db", value, f"see postgres://{user}:[secret]@host/db"),
+             3: (f"https://{user}?pwd={value}:1234", f"{value}:1234", f"https://{user}?pwd=[secret]")}
+    docs = docs_of(spark, [(i, t, "en") for i, (t, _, _) in texts.items()])
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in S.scan(docs).collect()}
+    for i, (text, secret, _) in texts.items():
+        assert ("guess", text.index(secret), text.index(secret) + len(secret)) in spans[i]
+    assert {r.doc_id: r.text for r in S.redact(docs).collect()} == {i: clean for i, (_, _, clean) in texts.items()}

@@ -29,10 +29,11 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: Wider credential contexts; the group is the value.
+#: Wider credential contexts; the group is the value, which has no greatest length.
 CONTEXT = re.compile(
-    r"(?:(?:pwd|passphrase|passcode|credentials?|private_?key|access_?key|auth_?key|client_?id|bearer)"
-    r"[\"']?(?:\x20*[:=]\x20*|\x20+)[\"']?|://[^\s:/@]{1,64}:)([^\s\"'@,;]{4,128})", re.I | re.A)
+    r"(?:pwd|passphrase|passcode|credentials?|private_?key|access_?key|auth_?key|client_?id|bearer)"
+    r"[\"']?(?:\x20*[:=]\x20*|\x20+)[\"']?([^\s\"'@,;]{4,})", re.I | re.A)
+URL_CONTEXT = re.compile(r"://[^\s:/@]+:([^\s\"'@,;]{4,})", re.A)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_WORDS = (b"pwd", b"passphrase", b"passcode", b"credential", b"privatekey", b"private_key", b"accesskey",
                  b"access_key", b"authkey", b"auth_key", b"clientid", b"client_id", b"bearer", b"://")
@@ -162,7 +163,7 @@ def find_spans(text: str | None, words: dict[str, int], least: float = MIN_LOG10
     if _may_hold_hex(data):
         spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        values += [m.span(1) for m in CONTEXT.finditer(text)]
+        values += [m.span(1) for context in (CONTEXT, URL_CONTEXT) for m in context.finditer(text)]
     for a, b in set(values):
         if log10_guesses(text[a:b], words) >= least:
             spans.append(("guess", a, b))
