@@ -105,3 +105,13 @@ def test_keep_first_keeps_one_whole_row_of_each_class(spark, edge_docs):
     assert all(r.score == 9.5 and r.component_id == "c" for r in rows)
     many = docs_of(spark, [(i % 3, " ".join(WORDS), "en") for i in range(60)])
     assert [r.doc_id for r in S.keep_first(many).collect()] == [0]
+
+
+def test_keep_first_keeps_classes_that_share_an_id(spark):
+    x, y, *others = (" ".join(f"{w}{n}" for w in WORDS) for n in range(8))
+    kept = S.keep_first(docs_of(spark, [(3, x, "en"), (5, x, "en"), (5, y, "en")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, x), (5, y)]
+    rows = [(7, t, lang) for t in others for lang in ("fr", "en")] + [(9, y, "en"), (None, x, "en"), (None, x, "de")]
+    kept = S.keep_first(docs_of(spark, rows))
+    assert sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=str) == \
+        sorted([(7, t, "en") for t in others] + [(9, y, "en"), (None, x, "de")], key=str)

@@ -283,28 +283,36 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand first in their class: one per class, all columns.
 
-    That is the row with the smallest id.  Of rows that repeat that id, and of classes without any id,
-    the smallest row by all columns stays.
+    That is the class's row with the smallest id.  Of a class's rows that repeat that id, and of classes
+    without any id, the smallest row by all columns stays.  Classes may share their smallest id, where it
+    stands on rows with different texts; each keeps its own row.
     """
     columns = docs.columns
     key, row = free_name(columns, "kept_id"), free_name(columns, "kept_row")
     found = store(near_dedup(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"))
     first = found.where("component_id IS NOT NULL").select(F.col("component_id").alias(key)).distinct()
-    kept = docs.join(first, named(id_col) == F.col(key), "left_semi")
     repeated = store(found.where("id IS NOT NULL").groupBy(F.col("id").alias(key)).count().where("count > 1").select(key))
-    if not repeated.isEmpty():
-        many = kept.join(repeated, named(id_col) == F.col(key), "left_semi")
-        kept = kept.join(repeated, named(id_col) == F.col(key), "left_anti")
-        smallest = many.groupBy(named(id_col).alias(key)).agg(F.min(F.struct(*map(named, columns))).alias(row))
-        kept = kept.unionAll(smallest.select(f"{row}.*"))
     orphans = store(found.where("component_id IS NULL").select("fp", "class_fp").distinct())
-    if not orphans.isEmpty():
-        words = options.get("shingle_words", 4)
+    words = options.get("shingle_words", 4)
 
+    def smallest(rows: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
+        """The smallest of ``rows`` in each class of ``heads`` (columns ``on`` and class_fp)."""
         def make():
             return lambda text: int(np.uint64(fingerprint(text, words)).view(np.int64))
-        rows = map_texts(docs.where(named(id_col).isNull()), columns, text_col, make, "bigint", pa.int64())
-        rows = rows.join(orphans, rows["result"] == orphans["fp"])
-        smallest = rows.groupBy("class_fp").agg(F.min(F.struct(*[F.col(f"k{i}") for i in range(len(columns))])).alias("kept_row"))
-        kept = kept.unionAll(smallest.select("kept_row.*").toDF(*columns))
+        rows = map_texts(rows, columns, text_col, make, "bigint", pa.int64())
+        whole = F.struct(*[F.col(f"k{i}") for i in range(len(columns))])
+        # copies become one row before they meet the classes
+        rows = rows.groupBy(F.col(f"k{columns.index(id_col)}").alias("id"), F.col("result").alias("fp")).agg(F.min(whole).alias(row))
+        rows = rows.join(heads, on).groupBy("class_fp").agg(F.min(row).alias(row))
+        return rows.select(f"{row}.*").toDF(*columns)
+
+    if repeated.isEmpty():
+        kept = docs.join(first, named(id_col) == F.col(key), "left_semi")
+    else:
+        kept = docs.join(first.join(repeated, key, "left_anti"), named(id_col) == F.col(key), "left_semi")
+        heads = found.where("id = component_id").select("id", "fp", "class_fp").distinct()
+        many = docs.join(first.join(repeated, key, "left_semi"), named(id_col) == F.col(key), "left_semi")
+        kept = kept.unionAll(smallest(many, heads, ["id", "fp"]))
+    if not orphans.isEmpty():
+        kept = kept.unionAll(smallest(docs.where(named(id_col).isNull()), orphans, ["fp"]))
     return kept
