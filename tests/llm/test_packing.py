@@ -8,6 +8,8 @@ from tokenizers import Tokenizer
 
 from tradewind.llm import packing as K
 
+from .conftest import docs_of
+
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -128,3 +130,11 @@ def test_one_hot_length(spark):
     rows = K.assign(items, 5000, block_pieces=512).join(items, "item").collect()
     assert check_packing(rows, 2048) <= 1667 + 1667 + 20
     assert K.evolve([], 2048, 1) == []
+
+
+def test_long_white_space_gives_the_ids_of_the_library(spark, library):
+    texts = [" " * 2_000_000, "a b" + "\n" * 1_500_000 + "c", "x" + "\u3000" * (2 * K.SPACE_BLOCK - 2) + "y z", "q" * K.SPACE_BLOCK + " "]
+    assert [K._long_space(t) for t in texts[:2] + texts[3:]] == [True, True, False]
+    rows = K.pieces(docs_of(spark, list(zip(range(4), texts, ["en"] * 4))), FILE).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == \
+        sorted((i, *p) for i, t in enumerate(texts) for p in expected_pieces(library, t, 2048))

@@ -37,6 +37,9 @@ POPULATION = 4
 WELL_FILLED = 0.97
 #: Fixed value: the pattern by which byte-level pre-tokenisers with ``use_regex`` split a text.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken's matcher keeps a step per sign of a white-space run and fails at a million; a run that holds no whole
+#: aligned block of so many signs is under twice as long.
+SPACE_BLOCK = 1 << 17
 #: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for signs from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SIGN_BYTES = {chr(b): b for b in _PRINTABLE} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -59,23 +62,35 @@ def _rank_table(file: str) -> dict[bytes, int] | None:
     return {bytes(_SIGN_BYTES[c] for c in t): i for t, i in vocabulary.items() if t not in special}
 
 
+def _long_space(text: str) -> bool:
+    """Whether a white-space run may be too long for tiktoken."""
+    return any(text[at:at + SPACE_BLOCK].isspace() for at in range(0, len(text) - SPACE_BLOCK + 1, SPACE_BLOCK))
+
+
 class _Tokens:
     """Ids of whole texts by the tokenizer file, control strings in them taken as ordinary text.
 
     A plain byte-level file is run by the tiktoken library on the file's own vocabulary, which gives the
-    same ids in a fifth of the time; any other file by the tokenizers library.
+    same ids in a fifth of the time; any other file, and any text with a very long white-space run, by the
+    tokenizers library.
     """
 
     def __init__(self, file: str):
+        self.file, self.coder, self.fast = file, None, None
         ranks = _rank_table(file)
         if ranks is not None:
             import tiktoken
-            self.ids = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
+            self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def library_ids(self, text: str) -> list[int]:
+        if self.coder is None:
             from tokenizers import Tokenizer
-            coder = Tokenizer.from_str(file)
-            coder.encode_special_tokens = True
-            self.ids = lambda text: coder.encode(text, add_special_tokens=False).ids
+            self.coder = Tokenizer.from_str(self.file)
+            self.coder.encode_special_tokens = True
+        return self.coder.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> list[int]:
+        return self.library_ids(text) if self.fast is None or _long_space(text) else self.fast(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", self.ids(t)).tobytes() for t in texts]
