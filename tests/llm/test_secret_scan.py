@@ -103,3 +103,18 @@ def test_values_and_users_of_any_length(spark):
     for i, (text, secret, _) in texts.items():
         assert ("guess", text.index(secret), text.index(secret) + len(secret)) in spans[i]
     assert {r.doc_id: r.text for r in S.redact(docs).collect()} == {i: clean for i, (_, _, clean) in texts.items()}
+
+
+def test_a_keyword_that_stands_as_a_value_is_tried_too():
+    secret = "Xk9mQ2vLp7Zw"
+    texts = [f"credentials passphrase: {secret}", f"bearer client_id private_key = '{secret}'", f"password: token: {secret} x",
+             f"pwd pwd pwd {secret}", f"pwd=bearer: {secret}", f"https://host:pwd {secret}", f"x://a://user:{secret}"]
+    for text in texts:
+        spans = S.find_spans(text, RANKS)
+        assert any(k == "guess" and a <= text.index(secret) and z >= text.index(secret) + len(secret) for k, a, z in spans), text
+        assert secret not in S.redact_text(text, spans)
+    text = texts[0]
+    assert ("guess", text.index(secret), len(text)) in S.find_spans(text, RANKS)
+    for unit in ("pwd=", "token=", "bearer ", "://a:"):  # as many keywords as the text has words
+        S.find_spans(unit * 5000, RANKS)
+        S.find_spans(unit * 50_000 + secret, RANKS)

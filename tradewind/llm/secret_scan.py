@@ -29,11 +29,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: Wider credential contexts; the group is the value, which has no greatest length.
-CONTEXT = re.compile(
+#: The same assignments up to the value, which ends the match but is not taken, so that a keyword in it is found too.
+ASSIGN_HEAD = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?()(?=[A-Za-z0-9+/_.=-])", re.I | re.A)
+ASSIGN_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: Wider credential contexts up to the value, at the empty group; the value has four characters or more, any number.
+CONTEXT_HEAD = re.compile(
     r"(?:pwd|passphrase|passcode|credentials?|private_?key|access_?key|auth_?key|client_?id|bearer)"
-    r"[\"']?(?:\x20*[:=]\x20*|\x20+)[\"']?([^\s\"'@,;]{4,})", re.I | re.A)
-URL_CONTEXT = re.compile(r"://[^\s:/@]+:([^\s\"'@,;]{4,})", re.A)
+    r"[\"']?(?:\x20*[:=]\x20*|\x20+)[\"']?()(?=[^\s\"'@,;]{4})", re.I | re.A)
+URL_HEAD = re.compile(r"://(?=[^\s:/@]+:()[^\s\"'@,;]{4})", re.A)
+CONTEXT_VALUE = re.compile(r"[^\s\"'@,;]+", re.A)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_WORDS = (b"pwd", b"passphrase", b"passcode", b"credential", b"privatekey", b"private_key", b"accesskey",
                  b"access_key", b"authkey", b"auth_key", b"clientid", b"client_id", b"bearer", b"://")
@@ -146,27 +150,47 @@ def _may_hold_hex(data: bytes) -> bool:
 _HEX_MAP = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
 
+def _reaches(value: str, words: dict[str, int], least: float) -> bool:
+    """Whether the value needs ``least`` log10 guesses; one cheap repeat is seen at once."""
+    n = len(value)
+    if any(n >= max(3, 2 * w) and w * 1.5 + math.log10(n / w) < least and value[w:] == value[:-w] for w in (1, 2, 3, 4)):
+        return False
+    return log10_guesses(value, words) >= least
+
+
+def _guess_spans(text: str, starts: list[int], value: re.Pattern, words: dict[str, int], least: float) -> set[tuple[int, int]]:
+    """The values at ``starts`` (ascending) that need ``least`` log10 guesses.
+
+    Values that start within one run end together; what stands in a value that is marked needs no mark of its own.
+    """
+    found, end, marked = set(), 0, 0
+    for a in starts:
+        if a >= end:
+            end = value.match(text, a).end()
+        if end > marked and _reaches(text[a:end], words, least):
+            found.add((a, end))
+            marked = end
+    return found
+
+
 def find_spans(text: str | None, words: dict[str, int], least: float = MIN_LOG10_GUESSES) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind as in ``KINDS``."""
     if not text:
         return []
     data = text.encode("utf-8", "surrogatepass")
     low = data.lower()
-    spans, values = [], []
+    spans, guesses = [], set()
     if any(w in low for w in ASSIGN_WORDS):
-        for m in ASSIGN.finditer(text):
-            if len(m[2]) >= ASSIGN_LEAST:
-                spans.append(("assign", m.start(), m.end()))
-            values.append((m.start(2), m.end(2)))
+        spans += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+        guesses |= _guess_spans(text, [m.start(1) for m in ASSIGN_HEAD.finditer(text)], ASSIGN_VALUE, words, least)
     if b"AKIA" in data:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     if _may_hold_hex(data):
         spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        values += [m.span(1) for context in (CONTEXT, URL_CONTEXT) for m in context.finditer(text)]
-    for a, b in set(values):
-        if log10_guesses(text[a:b], words) >= least:
-            spans.append(("guess", a, b))
+        starts = {m.start(1) for head in (CONTEXT_HEAD, URL_HEAD) for m in head.finditer(text)}
+        guesses |= _guess_spans(text, sorted(starts), CONTEXT_VALUE, words, least)
+    spans += [("guess", a, b) for a, b in guesses]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
