@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, kmeans_tree, langid, license_scan, packing, secret_scan, simhash, warc
+from . import bpe, chat, kdtree, kmeans_tree, langid, lexical, license_scan, packing, secret_scan, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,9 +86,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_top_k, op2_secret_scan, op3_license_scan, op4_language_id, op5_chat_formatting, op6_byte_level_bpe,
-    op7_best_fit_packing, op8_approximate_neighbours, op9_simhash_near_dedup, op10_warc)}
+    op7_best_fit_packing, op8_approximate_neighbours, op9_simhash_near_dedup, op10_warc, op11_ranked_lexical_search)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {
@@ -120,4 +124,22 @@ ORACLE: dict[str, str] = {
                CASE WHEN t.target <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN t.target <> p.page_id THEN t.target END AS refers_to
         FROM p LEFT JOIN t ON p.html = t.html AND p.n >= 1000""",
+    "op11_ranked_lexical_search": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS pos,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+             i AS (SELECT item_id, row_number() OVER () AS pos,
+                          list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+             q AS (SELECT pos, unnest(ts) AS t FROM i),
+             c AS (SELECT count(*) AS n, sum(len(ts)) AS l FROM d WHERE len(ts) > 0),
+             p AS (SELECT pos, len(ts) AS n, unnest(ts) AS t FROM d),
+             f AS (SELECT pos, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+             w AS (SELECT t, CAST(floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t, c.n),
+             s AS (SELECT q.pos AS item, f.pos AS doc,
+                          CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * f.n * c.n) // c.l)))) AS BIGINT) AS score
+                   FROM q JOIN f USING (t) JOIN w USING (t), c GROUP BY ALL),
+             r AS (SELECT i.item_id, d.doc_id, score, row_number() OVER (PARTITION BY s.item ORDER BY score DESC, d.doc_id) AS n
+                   FROM s JOIN d ON d.pos = s.doc JOIN i ON i.pos = s.item WHERE score > 0)
+        SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= 50""",
 }
