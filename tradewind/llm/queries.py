@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, kmeans_tree, langid, lexical, license_scan, packing, secret_scan, simhash, toxicity, warc
+from . import bpe, chat, kdtree, kmeans_tree, langid, lexical, license_scan, packing, secret_scan, simhash, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,10 +95,14 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_top_k, op2_secret_scan, op3_license_scan, op4_language_id, op5_chat_formatting, op6_byte_level_bpe,
     op7_best_fit_packing, op8_approximate_neighbours, op9_simhash_near_dedup, op10_warc, op11_ranked_lexical_search,
-    op12_toxicity)}
+    op12_toxicity, op13_spelling_variants)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {
