@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,11 @@ WIDEST = 1 << 27
 BLOCK_TERMS = 16_384
 #: documents whose scores give the first thresholds
 SEED_DOCS = 4_096
-ROWS_AT_ONCE = 2_048
+ROWS_AT_ONCE = 1_024
 RESCORED_AT_ONCE = 64
 TERMS_AT_ONCE = 1_024
-#: a count from here on is kept as "at least", and its impact bounded by that of an endless count
-MANY = 255
+#: a coordinate is half a byte: the least of these counts that is not below its own (the last stands for any count)
+LEVELS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 18, 28, 60, 200, 1 << 62])
 TOP_IMPACT = 1_000_000
 
 #: fixed values of the term pattern [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+, as bytes: A-Z in lower case, the rest of ASCII parts terms
@@ -66,42 +67,41 @@ def _places(hashes: np.ndarray, width: int) -> Iterator[np.ndarray]:
 
 
 def sketch(terms: list[bytes], counts: np.ndarray) -> bytes:
-    """Coordinatewise maxima of the counts, one byte a coordinate."""
+    """Coordinatewise maxima of the counts; coordinate i of a sketch of w stands in byte i mod w/2."""
     width = min(WIDEST, 1 << max(6, (SKETCH_LOAD * len(terms) - 1).bit_length()))
     out = np.zeros(width, np.uint8)
-    kept = np.minimum(counts, MANY).astype(np.uint8)
+    level = np.searchsorted(LEVELS, counts).astype(np.uint8)
     for at in _places(_hashes(terms), width):
-        np.maximum.at(out, at, kept)
-    return out.tobytes()
+        np.maximum.at(out, at, level)
+    return (out[:width // 2] | out[width // 2:] << 4).tobytes()
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: (doc_id, n, terms, tf, sketch), a row for each document that has a term."""
+    """The stored index, a row for each document that has a term: (doc_id, n, terms, tf, sketch).
+
+    ``terms`` holds the distinct terms, each with a blank after it, ``tf`` their counts as 32-bit integers.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                keep, sizes, lengths, words, tfs, sketches = [], [], [], [], [], []
+                keep, lengths, words, tfs, sketches = [], [], [], [], []
                 for i, text in enumerate(part.column(1)):
                     found = terms_of(text.as_py())
                     if found:
                         tally = Counter(found)
-                        terms, tf = list(tally), np.fromiter(tally.values(), np.int64, len(tally))
+                        terms, tf = list(tally), np.fromiter(tally.values(), np.int32, len(tally))
                         keep.append(i)
-                        sizes.append(len(terms))
                         lengths.append(len(found))
-                        words.extend(terms)
-                        tfs.append(tf)
+                        words.append(b" ".join(terms) + b" ")
+                        tfs.append(tf.tobytes())
                         sketches.append(sketch(terms, tf))
                 if keep:
-                    ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(keep)), pa.array(lengths, pa.int64()),
-                         pa.ListArray.from_arrays(ends, pa.array(words, pa.binary())),
-                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tfs).astype(np.int32))),
-                         pa.array(sketches, pa.binary())], names=["doc_id", "n", "terms", "tf", "sketch"])
+                        [part.column(0).take(pa.array(keep)), pa.array(lengths, pa.int64()), pa.array(words, pa.binary()),
+                         pa.array(tfs, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "terms", "tf", "sketch"])
     rows = docs.select(named(id_col).cast("bigint").alias("id"), named(text_col).cast("string").alias("text"))
-    return store(map_batches(rows, run, "doc_id bigint, n bigint, terms array<binary>, tf array<int>, sketch binary"))
+    return store(map_batches(rows, run, "doc_id bigint, n bigint, terms binary, tf binary, sketch binary"))
 
 
 @dataclass
@@ -116,13 +116,20 @@ class _Block:
     start: list[int] | None = None
 
 
-def _known(batch_terms: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of a batch that are in the vocabulary: their row, vocabulary id and place among all terms."""
-    offsets = batch_terms.offsets.to_numpy()
-    flat = batch_terms.values.slice(offsets[0], offsets[-1] - offsets[0])
-    ids = pc.index_in(flat, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+def _with_blank(vocabulary: list[bytes]) -> pa.Array:
+    return pa.array([t + b" " for t in vocabulary], pa.large_binary())
+
+
+def _known(terms: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the documents of a batch that are in the vocabulary: their row, vocabulary id and place among all terms."""
+    rows = terms.to_pylist()
+    flat = np.frombuffer(b"".join(rows), np.uint8)
+    ends = np.flatnonzero(flat == 32) + 1
+    every = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(flat)])
+    ids = pc.index_in(every, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(ids >= 0)
-    return np.searchsorted(offsets - offsets[0], at, side="right") - 1, ids[at].astype(np.int64), at
+    row_ends = np.cumsum([len(r) for r in rows])
+    return np.searchsorted(row_ends, ends[at], side="left"), ids[at].astype(np.int64), at
 
 
 def _document_frequencies(index: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
@@ -130,10 +137,11 @@ def _document_frequencies(index: DataFrame, vocabulary: list[bytes]) -> np.ndarr
     sent = index.sparkSession.sparkContext.broadcast(vocabulary)  # at most a block's terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(sent.value, pa.binary())
+        known = _with_blank(sent.value)
         total = np.zeros(len(known), np.int64)
         for b in batches:
-            total += np.bincount(_known(b.column(0), known)[1], minlength=len(known))
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                total += np.bincount(_known(b.column(0).slice(lo, ROWS_AT_ONCE), known)[1], minlength=len(known))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["term", "df"])
     out = np.zeros(len(vocabulary), np.int64)
@@ -145,9 +153,9 @@ def _document_frequencies(index: DataFrame, vocabulary: list[bytes]) -> np.ndarr
 class _Batch:
     """Documents of the index: bounds by their sketches, exact scores by their terms."""
 
-    def __init__(self, b: pa.RecordBatch, block: _Block, vocabulary: pa.Array):
+    def __init__(self, b: pa.RecordBatch, block: _Block, vocabulary: pa.Array, places):
         self.ids, self.terms, self.tf, self.vocabulary = b.column(0), b.column(2), b.column(3), vocabulary
-        self.size = len(vocabulary)
+        self.size, self.places = len(vocabulary), places
         # Python integers: the product may pass 64 bits where a corpus is large
         self.m = np.array([50 + 50 * n * block.n_docs // block.n_terms for n in b.column(1).to_pylist()], np.int64)
         self.m20 = 20.0 * self.m
@@ -156,32 +164,31 @@ class _Batch:
         self.groups = []
         for width in np.unique(widths):
             rows = np.flatnonzero(widths == width)
-            grid = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), width)
-            self.groups.append((int(width), rows, np.ascontiguousarray(grid.T)))
+            half = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), width).T
+            self.groups.append((2 * int(width), rows, np.concatenate([half & 15, half >> 4])))
         self._exact = None
 
-    def bounds(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """At least the score of each document."""
+    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """At least the score of each document for a query's terms."""
         out = np.zeros(len(self.m))
         for width, rows, grid in self.groups:
-            m20 = self.m20[rows]
-            for lo in range(0, len(hashes), TERMS_AT_ONCE):
-                first, *more = _places(hashes[lo:lo + TERMS_AT_ONCE], width)
-                tf = grid[first]
+            first, *more = self.places(width)
+            for lo in range(0, len(terms), TERMS_AT_ONCE):
+                some = terms[lo:lo + TERMS_AT_ONCE]
+                level = grid[first[some]]
                 for at in more:
-                    tf = np.minimum(tf, grid[at])
-                tf = tf.astype(np.float64)
-                impact = 1e9 * tf / (1000.0 * tf + m20)
-                impact[tf == MANY] = TOP_IMPACT
-                out[rows] += weights[lo:lo + TERMS_AT_ONCE] @ impact
+                    np.minimum(level, grid[at[some]], out=level)
+                term, doc = np.nonzero(level)
+                tf = LEVELS[level[term, doc]].astype(np.float64)
+                impact = np.minimum(TOP_IMPACT, 1e9 * tf / (1000.0 * tf + self.m20[rows[doc]]))
+                out[rows] += np.bincount(doc, weights[lo:lo + TERMS_AT_ONCE][term] * impact, len(rows))
         return np.where(out > 0, out + 1, 0)  # 1 for rounding in doubles
 
     def scores(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Exact scores of some documents for a query's terms."""
         if self._exact is None:
             row, term, at = _known(self.terms, self.vocabulary)
-            offsets = self.tf.offsets.to_numpy()
-            tf = self.tf.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)[at]
+            tf = np.frombuffer(b"".join(self.tf.to_pylist()), np.int32)[at]
             key = row * self.size + term
             order = np.argsort(key)
             self._exact = np.r_[key[order], np.iinfo(np.int64).max], np.r_[tf[order], 0].astype(np.int64)
@@ -224,14 +231,15 @@ def _search_block(index: DataFrame, block: _Block, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
-        vocabulary, hashes = pa.array(block.vocabulary, pa.binary()), _hashes(block.vocabulary)
+        vocabulary, hashes = _with_blank(block.vocabulary), _hashes(block.vocabulary)
+        places = cache(lambda width: list(_places(hashes, width)))  # of the block's vocabulary, once a width
         best = [_Best(k, s) for s in block.start or [1] * len(block.queries)]
         for b in batches:
             for lo in range(0, b.num_rows, ROWS_AT_ONCE):
-                batch = _Batch(b.slice(lo, ROWS_AT_ONCE), block, vocabulary)
+                batch = _Batch(b.slice(lo, ROWS_AT_ONCE), block, vocabulary, places)
                 for terms, top in zip(block.queries, best):
                     weights = block.weights[terms]
-                    bound = batch.bounds(hashes[terms], weights.astype(np.float64))
+                    bound = batch.bounds(terms, weights.astype(np.float64))
                     rows = np.flatnonzero(bound >= top.threshold)
                     rows = rows[np.argsort(-bound[rows], kind="stable")]
                     for at in range(0, len(rows), RESCORED_AT_ONCE):
