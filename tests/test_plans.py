@@ -62,7 +62,7 @@ def _no_broadcast(spark, on):
 
 
 @pytest.mark.parametrize("name, most", [("sell_through", 1), ("anchored_outer_merge", 7), ("marketing_dashboard", 7),
-                                        ("net_revenue_by_account", 7)])
+                                        ("net_revenue_by_account", 4), ("lifecycle_class", 1)])
 def test_scans_of_the_fact_table(spark, sf_small, name, most):
     """Without a folder for intermediate tables the whole report is one plan; scans behind a reused
     exchange do not run again."""

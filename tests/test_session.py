@@ -32,7 +32,10 @@ def test_cluster_refuses_a_machine_local_folder(spark):
             master = "yarn"
     with pytest.raises(ValueError):
         TableStore(Elsewhere, "/tmp/x")
+    with pytest.raises(ValueError):
+        TableStore(Elsewhere, "file:///tmp/x")
     TableStore(Elsewhere, "hdfs://x/y")
+    TableStore(Elsewhere, "file:///mnt/shared", mounted=True)
 
 
 def test_cluster_conf_sizes_partitions_from_input():

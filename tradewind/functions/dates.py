@@ -89,11 +89,15 @@ def month_floor(c: Column) -> Column:
     return F.trunc(c.cast("date"), "MM")
 
 
+def month_window_dates(as_of: AsOf, first: int, last: int) -> tuple[_dt.date, _dt.date]:
+    """First and last date of the months from ``first`` to ``last`` after the report month."""
+    return _add_months(as_of.month_start, first), _add_months(as_of.month_start, last + 1) - _dt.timedelta(days=1)
+
+
 def month_window(as_of: AsOf, first: int, last: int, c: Column) -> Column:
     """``first <= months_from(as_of, c) <= last`` written as a date range so it can be pushed down."""
-    lo = _add_months(as_of.month_start, first)
-    hi = _add_months(as_of.month_start, last + 1)
-    return (c >= lit_date(lo)) & (c < lit_date(hi))
+    lo, hi = month_window_dates(as_of, first, last)
+    return (c >= lit_date(lo)) & (c <= lit_date(hi))
 
 
 def _add_months(d: _dt.date, n: int) -> _dt.date:

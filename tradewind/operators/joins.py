@@ -3,8 +3,9 @@
 Broadcast decisions are left to adaptive query execution: with ``spark.sql.adaptive.enabled`` the
 planner measures each shuffled side at run time and only converts to a broadcast hash join when the
 measured size is under ``spark.sql.autoBroadcastJoinThreshold``, so nothing whose size grows with the
-data is broadcast blindly.  The one explicit broadcast in the library is a one-row global aggregate
-(``rows_at_max``), whose size is fixed.
+data is broadcast blindly.  Two broadcasts are explicit, both of a fixed bound: a one-row global aggregate
+(``rows_at_max``) and the calendar of ``accounts.sales_with_season`` (a row per date).  ``sources.derived.small_side``
+counts a side first and holds it by value only below a bound.
 """
 
 from __future__ import annotations

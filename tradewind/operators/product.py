@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import (historic_season, is_blank, like_any, season_half_spring_first, season_year,
-                         starts_with)
+from ..functions import (historic_season, is_blank, like_any, season_half_fall_first, season_half_spring_first,
+                         season_year, starts_with)
 
 # Intents that do not make a product exclusive (besides NULL and empty text).
 DOMESTIC_INTENTS = ("US", "US, Canada", "Canada")
@@ -43,6 +43,68 @@ def number_rows(df: DataFrame, part: str, order_key: str, tiebreak: Sequence[str
                     .drop("_offset", "_part", "_key"))
 
 
+#: attributes of a line, in the order that numbers the lines of a season
+LINE = ("inl_or_smu", "smu_intent", "model", "msrp", "whsl", "gender")
+
+
+def line_summary(line_list: DataFrame, material_prefix: str | None = None) -> DataFrame:
+    """(material, season, lines): the distinct lines of each material and season, from one pass.
+
+    Spans, numbers and prices of the seasons all come from it (``span_of``, ``numbers_of``, ``prices_of``).
+    They read the same single aggregate, whose columns cannot be pruned apart, so that one plan that uses
+    several of them reads the line list once and shuffles it once.  Equal lines are merged before the
+    shuffle; a group holds the different lines of one material in one season.
+    """
+    ll = line_list if material_prefix is None else line_list.where(starts_with("material", material_prefix))
+    return ll.groupBy("material", "season").agg(F.collect_set(F.struct(*LINE, "material", "season")).alias("lines"))
+
+
+def _told(summary: DataFrame) -> DataFrame:
+    """``summary`` with material and season as its lines tell them: a condition on those (a join key's, say)
+    stays above the aggregate, where the keys' would go below it and part this read from the others."""
+    return summary.select("material", *[F.get(f"lines.{c}", F.lit(0)).alias(f"line_{c}") for c in ("material", "season")], "lines")
+
+
+def span_of(summary: DataFrame) -> DataFrame:
+    """:func:`season_span` from a summary of the prefix's materials."""
+    yr = season_year("line_season")
+    spans = _told(summary).groupBy(F.col("material").alias("_key")).agg(
+        F.max("line_material").alias("material"), F.min(yr).alias("earliest_year"), F.max(yr).alias("latest_year"),
+        F.count("line_season").cast("bigint").alias("total_seasons"))
+    return spans.drop("_key")
+
+
+def numbers_of(summary: DataFrame, detail: Sequence[str] = ("model", "msrp", "whsl")) -> DataFrame:
+    """:func:`season_number` from a summary of the prefix's materials.
+
+    The seasons of a material get running offsets over their line counts, which are joined back, so the
+    lines of a material are not brought into one task.
+    """
+    told = _told(summary)
+    order = [historic_season("line_season"), F.col("line_season")]
+    before = F.sum(F.size("lines")).over(Window.partitionBy("material").orderBy(*order)) - F.size("lines")
+    offsets = told.select(F.col("line_material").alias("_m"), F.col("line_season").alias("_s"), before.alias("_before"))
+    rows = told.join(offsets, (F.col("line_material") == F.col("_m")) & F.col("line_season").eqNullSafe(F.col("_s")))
+    rows = rows.select("_before", F.posexplode(F.sort_array("lines")).alias("_at", "line")).select("_before", "_at", "line.*")
+    return rows.select("material", season_year("season").alias("year"), season_half_spring_first("season").alias("calendar_season"),
+                       (F.col("_before") + F.col("_at") + 1).cast("int").alias("season_number"), "season",
+                       "inl_or_smu", "smu_intent", *detail)
+
+
+def prices_of(summary: DataFrame) -> DataFrame:
+    """Highest wholesale and retail price per (season, material, gender); the half-year defaults to
+    Spring-Summer unless the season label says Fall."""
+    lines = F.col("lines")
+
+    def highest(price: str, gender):
+        return F.array_max(F.transform(F.filter(lines, lambda l: l["gender"].eqNullSafe(gender)), lambda l: l[price]))
+    genders = F.array_distinct(F.transform(lines, lambda l: l["gender"]))
+    each = F.transform(genders, lambda g: F.struct(g.alias("gender"), highest("whsl", g).alias("whsl"), highest("msrp", g).alias("msrp")))
+    rows = _told(summary).select("line_material", "line_season", F.inline(each))
+    return rows.select(season_half_fall_first("line_season").alias("calendar_season"), season_year("line_season").alias("calendar_year"),
+                       F.col("line_material").alias("material"), "gender", "whsl", "msrp")
+
+
 PRODUCT_DETAIL = ("model", "msrp", "whsl")
 
 

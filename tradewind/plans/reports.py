@@ -7,10 +7,12 @@ across what were separate materialised stages in the original batch scripts.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 
 from ..operators import accounts, buckets, forecast, merge, product, sellthrough, sheet
-from ..functions import AsOf
+from ..functions import AsOf, month_window_dates
 from ..session import TableStore, shared_dir
 from ..sources import (Warehouse, read_sheet, select_positions, sheet_to_json_arrays, sheet_to_json_rows, shred_json_arrays,
                        shred_json_rows, typed_sheet, write_report)
@@ -20,7 +22,9 @@ from .params import Params
 # -- lead-time forecast vs actual ------------------------------------------------------------------
 
 def lead_forecast(wh: Warehouse, p: Params) -> DataFrame:
-    return forecast.lead_forecast(wh.forecast_history_since(p.lead_date_from), wh.selected_snapshots, wh.material, p.as_of,
+    as_of = AsOf.of(p.as_of)
+    snapshots = wh.snapshots_between(p.lead_date_from, as_of.date)
+    return forecast.lead_forecast(wh.between("forecast_history", "file_date", p.lead_date_from, as_of.date), snapshots, wh.material, as_of,
                                   date_from=p.lead_date_from, categories=p.categories, sales_org=p.sales_org,
                                   sales_group=p.lead_sales_group, module=p.lead_module, lead=p.lead_months)
 
@@ -41,13 +45,14 @@ def forecast_vs_actual(wh: Warehouse, p: Params) -> DataFrame:
 # -- marketing dashboard ---------------------------------------------------------------------------
 
 def bulk_order_keys(wh: Warehouse, p: Params) -> DataFrame:
-    return buckets.bulk_order_keys(wh.sales_fact, account_patterns=p.account_patterns,
+    return buckets.bulk_order_keys(wh.sales_orders, account_patterns=p.account_patterns,
                                    bulk_order_types=p.bulk_order_types,
                                    excluded_order_types=p.excluded_order_types, sales_org=p.sales_org)
 
 
 def bulk_buckets(wh: Warehouse, p: Params) -> DataFrame:
-    return buckets.bulk_buckets(wh.open_orders, bulk_order_keys(wh, p), p.as_of, plant=p.plant)
+    first, last = month_window_dates(AsOf.of(p.as_of), 0, 1)
+    return buckets.bulk_buckets(wh.between("open_orders", "cancel_dt", first, last), bulk_order_keys(wh, p), p.as_of, plant=p.plant)
 
 
 def bulk_max_by_material(wh: Warehouse, p: Params) -> DataFrame:
@@ -72,7 +77,7 @@ def open_order_buckets(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def _weeks(wh: Warehouse, p: Params) -> DataFrame:
-    return wh.sell_through_since(AsOf.of(p.as_of).first_date_after_days_ago(p.sell_through_days))
+    return wh.between("sell_through", "week_start", AsOf.of(p.as_of).first_date_after_days_ago(p.sell_through_days))
 
 
 def sell_through(wh: Warehouse, p: Params) -> DataFrame:
@@ -119,13 +124,16 @@ def account_group_forecast(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def current_forecast(wh: Warehouse, p: Params) -> DataFrame:
-    return forecast.current_forecast(wh.forecast, p.as_of, rules=p.forecast_rules, sales_org=p.sales_org,
+    year = AsOf.of(p.as_of).year_days_ago(p.history_days)
+    return forecast.current_forecast(wh.between("forecast", "demand_date", _dt.date(year, 1, 1)), p.as_of, rules=p.forecast_rules, sales_org=p.sales_org,
                                      module=p.forecast_module, region_override=p.region_override,
                                      history_days=p.history_days, material_prefix=p.material_prefix)
 
 
 def sales_with_season(wh: Warehouse, p: Params) -> DataFrame:
-    return accounts.sales_with_season(wh.sales_fact, wh.calendar, p.as_of, rules=p.sales_rules,
+    first = AsOf.of(p.as_of).first_date_after_days_ago(p.history_days)
+    sales = wh.between("sales_fact", "request_ship_dt", first)
+    return accounts.sales_with_season(sales, wh.calendar_of("sales_fact", "request_ship_dt", first), p.as_of, rules=p.sales_rules,
                                       excluded_order_types=p.account_excluded_order_types,
                                       excluded_groups=p.excluded_groups, sales_org=p.sales_org,
                                       history_days=p.history_days, material_prefix=p.material_prefix)
@@ -135,8 +143,13 @@ def order_type_pivot(wh: Warehouse, p: Params) -> DataFrame:
     return accounts.order_type_pivot(sales_with_season(wh, p), order_types=p.order_types)
 
 
+def _lines(wh: Warehouse, p: Params) -> DataFrame:
+    """The line list of the prefix's materials, summarised once for spans, numbers and prices."""
+    return product.line_summary(wh.line_list, p.material_prefix)
+
+
 def season_span(wh: Warehouse, p: Params) -> DataFrame:
-    return product.season_span(wh.line_list, p.material_prefix)
+    return product.span_of(_lines(wh, p))
 
 
 def account_month_fact(wh: Warehouse, p: Params) -> DataFrame:
@@ -147,7 +160,7 @@ def account_month_fact(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def season_number_account(wh: Warehouse, p: Params) -> DataFrame:
-    return product.season_number(wh.line_list, detail=(), material_prefix=p.material_prefix)
+    return product.numbers_of(_lines(wh, p), detail=())
 
 
 def lifecycle_class_account(wh: Warehouse, p: Params, fact: DataFrame | None = None,
@@ -159,12 +172,12 @@ def lifecycle_class_account(wh: Warehouse, p: Params, fact: DataFrame | None = N
 
 
 def season_prices(wh: Warehouse, p: Params) -> DataFrame:
-    return accounts.season_prices(wh.line_list)
+    return product.prices_of(product.line_summary(wh.line_list))
 
 
 def price_attach(wh: Warehouse, p: Params, fact: DataFrame | None = None) -> DataFrame:
     fact = account_month_fact(wh, p) if fact is None else fact
-    return accounts.price_attach(fact, season_prices(wh, p), p.material_prefix)
+    return accounts.price_attach(fact, product.prices_of(_lines(wh, p)), p.material_prefix)
 
 
 def _shared_fact(wh: Warehouse, p: Params, fact: DataFrame | None) -> DataFrame:
@@ -190,7 +203,7 @@ def net_revenue_by_account(wh: Warehouse, p: Params, fact: DataFrame | None = No
 # -- product classification ------------------------------------------------------------------------
 
 def season_number(wh: Warehouse, p: Params) -> DataFrame:
-    return product.season_number(wh.line_list, material_prefix=p.material_prefix)
+    return product.numbers_of(_lines(wh, p))
 
 
 def lifecycle_class(wh: Warehouse, p: Params) -> DataFrame:
@@ -230,7 +243,7 @@ def sheet_json_array(wh: Warehouse, p: Params) -> DataFrame:
 def sheet_file(wh: Warehouse, p: Params) -> DataFrame:
     """The sheet exported as CSV to the shared folder, read back with its schema and typed."""
     sheet_ = wh.forecast_sheet
-    path = f"{TableStore(wh.spark, shared_dir(wh.spark)).base}/sheet"
+    path = f"{TableStore(wh.spark, shared_dir(wh.spark), mounted=True).delete_on_exit().base}/sheet"
     write_report(sheet_, path, fmt="csv")
     back = read_sheet(wh.spark, path, sheet_.schema)
     return typed_sheet(select_positions(back, p.sheet_positions), "upc", p.sheet_months, id_type="string")
@@ -242,11 +255,11 @@ def order_type_pivot_any_case(wh: Warehouse, p: Params) -> DataFrame:
 
 
 def inline_status(wh: Warehouse, p: Params) -> DataFrame:
-    return sheet.inline_status(wh.material, wh.line_list, p.inline_season)
+    return sheet.inline_status(wh.material, wh.of_season(p.inline_season), p.inline_season)
 
 
 def sheet_rollup(wh: Warehouse, p: Params) -> DataFrame:
-    return sheet.sheet_rollup(sheet_project(wh, p), wh.upc_bridge, wh.material, wh.line_list,
+    return sheet.sheet_rollup(sheet_project(wh, p), wh.upc_bridge, wh.material, wh.of_season(p.inline_season),
                               months=p.sheet_months, season=p.inline_season)
 
 

@@ -48,12 +48,14 @@ class TableStore:
 
     ``keep(df)`` writes ``df`` once as Parquet and reads it back: readers do not compute it again, and a
     lost executor costs the work after it only.  ``keep_all`` writes several at once.  ``close`` deletes
-    the tables.  On a cluster the folder needs a scheme: a bare path would be a folder of one machine.
+    the tables.  On a cluster the folder needs the scheme of a shared file system: a bare path or ``file:``
+    would be a folder of each machine, unless the caller says that it is ``mounted`` on all of them.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        if "://" not in folder and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{folder!r} is a machine-local path; name the shared folder with its scheme")
+    def __init__(self, spark: SparkSession, folder: str, mounted: bool = False):
+        local = "://" not in folder or folder.startswith("file:")
+        if local and not mounted and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{folder!r} is a machine-local path; name a shared folder with its scheme, or say that it is mounted")
         self.spark = spark
         self.base = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
         self._count = itertools.count()
@@ -82,6 +84,12 @@ class TableStore:
             raise errors[0]
         return out
 
+    def delete_on_exit(self) -> "TableStore":
+        """For tables that a lazy result still reads: they go when the driver's JVM ends."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+        return self
+
     def close(self) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

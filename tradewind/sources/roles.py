@@ -7,8 +7,10 @@ Parquet scans through the role definitions.
 
 from __future__ import annotations
 
+import copy
 import datetime as _dt
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,11 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import MONEY
 from ..session import TableStore
+from .derived import Derived, bounded, days_after, months_after, small_side, week_of
+
+#: snapshots that a plan may hold by value
+MOST_SNAPSHOTS = 20_000
+
 
 def _sd() -> Column:
     return F.col("l_shipdate").cast("date")
@@ -63,6 +70,36 @@ def _sales_org() -> Column:
     return F.when(F.col("n_regionkey") != 0, F.lit("US")).otherwise(F.lit("INTL"))
 
 
+#: line numbers that the reach of a derived date is declared for; any other line is never left out
+LINES = (1, 7)
+
+
+def _other_lines() -> Column:
+    return (F.col("l_linenumber") < LINES[0]) | (F.col("l_linenumber") > LINES[1])
+
+
+def _file_of(source: str) -> Derived:
+    """File dates: the first of the source's month, or 14 days from it."""
+    month, fortnight = months_after(source, 0, 0), _dt.timedelta(days=14)
+    return Derived(source, lambda d: month.earliest(max(d, _dt.date(1, 1, 15)) - fortnight),
+                   lambda d: month.latest(min(d, _dt.date(9999, 12, 1)) + fortnight))
+
+
+#: role -> its dates that follow from the ship date of its lines
+DERIVED: dict[str, dict[str, Derived]] = {
+    "sales_fact": {"transaction_dt": days_after("l_shipdate", 0, 0),
+                   "request_ship_dt": days_after("l_shipdate", 10 * LINES[0], 10 * LINES[1], _other_lines)},
+    "open_orders": {"afs_req_dt": days_after("l_shipdate", 0, 0), "sched_req_dt": days_after("l_shipdate", 21, 21),
+                    "req_deliv_dt": days_after("l_shipdate", 28, 28),
+                    "cancel_dt": days_after("l_shipdate", 5 * LINES[0], 5 * LINES[1], _other_lines)},
+    "available_to_sell": {"avail_dt": days_after("l_shipdate", 0, 0)},
+    "sell_through": {"week_start": week_of("l_shipdate")},
+    "forecast": {"file_date": _file_of("l_shipdate"), "demand_date": months_after("l_shipdate", *LINES, _other_lines)},
+    "selected_snapshots": {"file_date": _file_of("l_shipdate")},
+    "calendar": {"the_date": days_after("l_shipdate", 0, 0)},
+}
+DERIVED["forecast_history"] = DERIVED["forecast"]
+
 TableReader = Callable[[SparkSession, str], DataFrame]
 
 
@@ -113,6 +150,15 @@ def role(build: Callable[["Warehouse"], DataFrame]) -> property:
     return property(get)
 
 
+def season_dates(season: str) -> tuple[_dt.date, _dt.date] | None:
+    """First and last ship date of the lines of a season ("Spring 2000", "Fall 2000"); None for any other text."""
+    found = re.fullmatch(r"(spring|fall) ([0-9]{4})", season.lower())
+    if not found or found[2] == "0000":
+        return None
+    year = int(found[2])
+    return (_dt.date(year, 1, 1), _dt.date(year, 6, 30)) if found[1] == "spring" else (_dt.date(year, 7, 1), _dt.date(year, 12, 31))
+
+
 class Warehouse:
     """Lazy role views over the input tables of one location (Parquet by default).
 
@@ -166,23 +212,43 @@ class Warehouse:
             self._tables[name] = self._reader(self.spark, name)
         return self._tables[name]
 
-    # -- roles from a date on: the bound also reaches the scan, where the role's own date hides it
-    def sell_through_since(self, first: _dt.date) -> DataFrame:
-        """``sell_through`` of the weeks that start on ``first`` or later."""
-        monday = first + _dt.timedelta(days=-first.weekday() % 7)
-        lines = self.table("lineitem").where(_sd() >= F.lit(monday).cast("date"))
-        return self._normalise(self._weekly(lines)).where(F.col("week_start") >= F.lit(first).cast("date"))
+    # -- bounds on the roles' dates, which also reach the scan (see ``derived``)
+    def between(self, role: str, column: str, first: _dt.date | None = None, last: _dt.date | None = None) -> DataFrame:
+        """The rows of a role whose date is from ``first`` to ``last`` (either may be open)."""
+        return bounded(getattr(self._reaching(DERIVED[role][column], first, last), role), column, None, first, last)
+
+    def of_season(self, season: str) -> DataFrame:
+        """The line list of one season."""
+        half = season_dates(season)
+        wh = self if half is None else self._reaching(days_after("l_shipdate", 0, 0), *half)
+        return wh.line_list.where(F.col("season") == season)
 
-    def forecast_history_since(self, first: _dt.date) -> DataFrame:
-        """``forecast_history`` of the files dated ``first`` or later (a file's lines ship in its month)."""
-        lines = self.table("lineitem").where(_sd() >= F.lit(first - _dt.timedelta(days=14)).cast("date"))
-        return (self._normalise(self._forecast(lines)).where(F.col("file_date") >= F.lit(first).cast("date"))
-                    .withColumnRenamed("forecast_group", "sales_group"))
+    def snapshots_between(self, first: _dt.date, last: _dt.date) -> DataFrame:
+        """The selected snapshots dated from ``first`` to ``last``; each is chosen among all files of its month.
+
+        They are few (months x modules x groups) but stand on the whole fact, so they are counted and held by
+        value up to ``MOST_SNAPSHOTS``; the fact is then not shuffled to meet them.
+        """
+        wh = self._reaching(months_after("l_shipdate", 0, 0), first, last)
+        return small_side(bounded(wh.selected_snapshots, "file_date", None, first, last), MOST_SNAPSHOTS)
+
+    def calendar_of(self, role: str, column: str, first: _dt.date | None = None, last: _dt.date | None = None) -> DataFrame:
+        """The calendar of the dates on which rows of ``between`` were shipped."""
+        return self._reaching(DERIVED[role][column], first, last).calendar
+
+    def _reaching(self, derived: Derived, first: _dt.date | None, last: _dt.date | None) -> "Warehouse":
+        """This Warehouse over the lines that reach the bounds."""
+        reach = derived.reaches(first, last)
+        if reach is None:
+            return self
+        out = copy.copy(self)
+        out._tables, out._roles = {**self._tables, "lineitem": self.table("lineitem").where(reach)}, {}
+        return out
 
     # -- shared joins ---------------------------------------------------------------------------
-    def _line_customer(self, lines: DataFrame | None = None) -> DataFrame:
+    def _line_customer(self) -> DataFrame:
         """lineitem joined to its order, customer and nation (no orphans in the inputs)."""
-        li = self.table("lineitem") if lines is None else lines
+        li = self.table("lineitem")
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
         c = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         n = self.table("nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -224,6 +290,11 @@ class Warehouse:
             F.when(opened & (F.col("l_discount") < 0.05), _qty()).otherwise(F.lit(0).cast("bigint")).alias("ship_open_qty"),
         )
 
+    @role
+    def sales_orders(self) -> DataFrame:
+        """What names the order of a sales line: a narrow copy of the sales for joins by order."""
+        return self.sales_fact.select("order_id", "forecast_group", "sales_org", "order_type")
+
     @role
     def open_orders(self) -> DataFrame:
         sd = _sd()
@@ -253,9 +324,7 @@ class Warehouse:
 
     @role
     def sell_through(self) -> DataFrame:
-        return self._weekly(self.table("lineitem"))
-
-    def _weekly(self, li: DataFrame) -> DataFrame:
+        li = self.table("lineitem")
         o = self.table("orders").select("o_orderkey", "o_custkey")
         c = self.table("customer").select("c_custkey", "c_mktsegment")
         df = self._with_part(li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey))
@@ -268,10 +337,7 @@ class Warehouse:
 
     @role
     def forecast(self) -> DataFrame:
-        return self._forecast(self.table("lineitem"))
-
-    def _forecast(self, lines: DataFrame) -> DataFrame:
-        df = self._with_part(self._line_customer(lines))
+        df = self._with_part(self._line_customer())
         sd = _sd()
         dem = F.add_months(sd, F.col("l_linenumber"))
         return df.select(
