@@ -370,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [scorers[key & 1].run(text)[1] for key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["toxic", "x"])
     # one short row per text of the sample
-    rows = map_batches(sample, run, "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    rows = sorted(map_batches(sample, run, "toxic int, x array<double>").collect())
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     return Model(lexicon, _logistic(x, y))
 
