@@ -35,7 +35,7 @@ PAGE_ROWS = 8192
 BLOCK_QUERIES = 1024
 CALIBRATION_QUERIES = 128
 TARGET_RECALL = 0.97
-HITS = "query_id bigint, vec_id bigint, score double"
+HITS = "query bigint, vec_id bigint, score double"
 
 
 @dataclass
@@ -130,14 +130,14 @@ def _as_matrix(rows: list) -> np.ndarray:
 
 
 def _indexed(points: DataFrame, tree: Tree) -> DataFrame:
-    """(vec_id, v, asks, leaf) of every row."""
+    """(row, vec_id, v, leaf) of every row."""
     sent = points.sparkSession.sparkContext.broadcast(tree)  # bounded by the fitted sample and max_leaves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = sent.value.assign(vectors.matrix(b.column(1), np.float64)) if b.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=["vec_id", "v", "asks", "leaf"])
-    return map_batches(points.select("vec_id", "v", "asks"), run, f"vec_id bigint, v {type_of(points, 'v')}, asks boolean, leaf bigint")
+            leaf = sent.value.assign(vectors.matrix(b.column(2), np.float64)) if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=["row", "vec_id", "v", "leaf"])
+    return map_batches(points.select("row", "vec_id", "v"), run, f"row bigint, vec_id bigint, v {type_of(points, 'v')}, leaf bigint")
 
 
 def _page(table: pa.Table) -> pa.Table:
@@ -145,44 +145,54 @@ def _page(table: pa.Table) -> pa.Table:
     leaf = table["leaf"].to_numpy()
     order = np.lexsort((table["vec_id"].to_numpy(), leaf))
     kind = np.float32 if pa.types.is_float32(table["v"].type.value_type) else np.float64
-    data = vectors.dump(ids=table["vec_id"].to_numpy()[order], leaf=leaf[order], points=vectors.matrix(table["v"], kind)[order])
+    data = vectors.dump(ids=table["vec_id"].to_numpy()[order], rows=table["row"].to_numpy()[order], leaf=leaf[order], points=vectors.matrix(table["v"], kind)[order])
     return pa.table({"page": pa.array([table["page"][0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
+def _best(ids: np.ndarray, points: np.ndarray, query: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and scores of the k highest inner products, ties to the smaller id.
+
+    A matrix product adds in an order of its own, so it only leaves out rows that are surely too low
+    (``longest`` is the greatest length of a row); scores add up in the same order for every row.
+    """
+    at = np.arange(len(ids))
     if len(ids) > k:
-        least = np.partition(scores, len(ids) - k)[len(ids) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(ids))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+        rough = points @ query
+        slack = 1e-14 * points.shape[1] * longest * float(np.sqrt(query @ query)) + 1e-300
+        at = np.flatnonzero(rough >= np.partition(rough, len(ids) - k)[len(ids) - k] - slack)
+    scores = (points[at] * query).sum(1)
+    order = np.lexsort((ids[at], -scores))[:k]
+    return at[order], scores[order]
+
+
+def _longest(points: np.ndarray) -> float:
+    return float(np.sqrt((points ** 2).sum(1).max(initial=0.0)))
 
 
 def _search_page(k: int):
     """Each query's k best rows among the leaves of a page that it visits."""
     def run(key: tuple, pages: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = [[], [], []]
+        out: list[list] = [[], [], []]
         for data in pages["data"]:
             p = vectors.load(data)
-            points, ids = p["points"].astype(np.float64), p["ids"]
+            points, ids, rows = p["points"].astype(np.float64), p["ids"], p["rows"]
+            longest = _longest(points)
             leaves, start = np.unique(p["leaf"], return_index=True)
             end = np.r_[start[1:], len(ids)]
             for block in blocks["data"]:
                 b = vectors.load(block)
                 queries = vectors.fit_width(b["points"], points.shape[1])
-                for i, query_id in enumerate(b["ids"].tolist()):
+                for i, query in enumerate(b["rows"].tolist()):
                     seen = np.flatnonzero(np.isin(leaves, b["leaf"][b["at"][i]:b["at"][i + 1]]))
                     if not len(seen):
                         continue
                     own = np.concatenate([np.arange(start[s], end[s]) for s in seen])
-                    own = own[ids[own] != query_id]
-                    scores = points[own] @ queries[i]
-                    at = _best(ids[own], scores, k)
-                    rows[0] += [query_id] * len(at)
-                    rows[1] += ids[own[at]].tolist()
-                    rows[2] += scores[at].tolist()
-        return pd.DataFrame({"query_id": np.array(rows[0], np.int64), "vec_id": np.array(rows[1], np.int64), "score": np.array(rows[2], np.float64)})
+                    own = own[rows[own] != query]
+                    at, scores = _best(ids[own], points[own], queries[i], k, longest)
+                    out[0] += [query] * len(at)
+                    out[1] += ids[own[at]].tolist()
+                    out[2] += scores.tolist()
+        return pd.DataFrame({"query": np.array(out[0], np.int64), "vec_id": np.array(out[1], np.int64), "score": np.array(out[2], np.float64)})
     return run
 
 
@@ -192,7 +202,7 @@ def _blocks(asking: DataFrame, n_blocks: int, tree: Tree, most: int, pages_of: d
 
     def run(table: pa.Table) -> pa.Table:
         tree, pages_of = sent.value
-        ids, points = table["vec_id"].to_numpy(), vectors.matrix(table["v"], np.float64)
+        rows, points = table["row"].to_numpy(), vectors.matrix(table["v"], np.float64)
         by_page: dict[int, list[tuple[int, int]]] = {}
         for i, visited in enumerate(tree.visits(points, most)):
             for leaf in visited:
@@ -200,39 +210,38 @@ def _blocks(asking: DataFrame, n_blocks: int, tree: Tree, most: int, pages_of: d
                     by_page.setdefault(page, []).append((i, leaf))
         data = []
         for pairs in by_page.values():
-            row, leaf = np.array(pairs).T
-            own, at = np.unique(row, return_index=True)
-            data.append(vectors.dump(ids=ids[own], points=points[own], leaf=leaf, at=np.r_[at, len(leaf)]))
+            place, leaf = np.array(pairs).T
+            own, at = np.unique(place, return_index=True)
+            data.append(vectors.dump(rows=rows[own], points=points[own], leaf=leaf, at=np.r_[at, len(leaf)]))
         return pa.table({"page": pa.array(list(by_page), pa.int64()), "block": pa.array([table["block"][0].as_py()] * len(data), pa.int64()),
                          "data": pa.array(data, pa.binary())})
-    dealt = asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("bigint"))
+    dealt = asking.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("bigint"))
     return dealt.groupBy("block").applyInArrow(run, "page bigint, block bigint, data binary")
 
 
 def _exact_leaves(index: DataFrame, rows: list, k: int) -> dict[int, list[int]]:
-    """Leaves of the exact k nearest rows of each calibration query, over all rows."""
-    sent = index.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), _as_matrix(rows)))
+    """Leaves of the exact k nearest rows of each calibration query (by its row number), over all rows."""
+    sent = index.sparkSession.sparkContext.broadcast((np.array([r["row"] for r in rows]), _as_matrix(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = sent.value
-        best: list[list[tuple[float, int, int]]] = [[] for _ in ids]
+        asking, queries = sent.value
+        best: list[list[tuple[float, int, int]]] = [[] for _ in asking]
         for b in batches:
-            vec, leaf, points = b.column(0).to_numpy(), b.column(2).to_numpy(), vectors.matrix(b.column(1), np.float64)
+            row, vec, points, leaf = b.column(0).to_numpy(), b.column(1).to_numpy(), vectors.matrix(b.column(2), np.float64), b.column(3).to_numpy()
             if not len(vec):
                 continue
-            scores = vectors.fit_width(queries, points.shape[1]) @ points.T
-            for i, query_id in enumerate(ids):
-                keep = np.flatnonzero(vec != query_id)
-                at = keep[_best(vec[keep], scores[i][keep], k)]
-                best[i] = sorted(best[i] + list(zip((-scores[i][at]).tolist(), vec[at].tolist(), leaf[at].tolist())))[:k]
-        out = [(int(q), v, -s, l) for q, hits in zip(ids, best) for s, v, l in hits]
+            longest, wide = _longest(points), vectors.fit_width(queries, points.shape[1])
+            for i, query in enumerate(asking):
+                keep = np.flatnonzero(row != query)
+                at, scores = _best(vec[keep], points[keep], wide[i], k, longest)
+                best[i] = sorted(best[i] + list(zip((-scores).tolist(), vec[keep[at]].tolist(), leaf[keep[at]].tolist())))[:k]
+        out = [(int(q), v, -s, l) for q, hits in zip(asking, best) for s, v, l in hits]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
-                                         names=["query_id", "vec_id", "score", "leaf"])
-    hits = map_batches(index.select("vec_id", "v", "leaf"), run, f"{HITS}, leaf bigint")
-    exact = vectors.best_rows(hits, k).join(hits.select("query_id", "vec_id", "leaf"), ["query_id", "vec_id"])
+                                         names=["query", "vec_id", "score", "leaf"])
+    exact = vectors.best_rows(map_batches(index.select("row", "vec_id", "v", "leaf"), run, f"{HITS}, leaf bigint"), k)
     out: dict[int, list[int]] = {}
     for r in exact.collect():  # at most CALIBRATION_QUERIES * k rows
-        out.setdefault(r["query_id"], []).append(r["leaf"])
+        out.setdefault(r["query"], []).append(r["leaf"])
     return out
 
 
@@ -244,7 +253,7 @@ def calibrate(index: DataFrame, tree: Tree, rows: list, k: int, target_recall: f
     total = 0
     for r, visited in zip(rows, order):
         place = {leaf: n for n, leaf in enumerate(visited, 1)}
-        for leaf in truth.get(r["vec_id"], ()):
+        for leaf in truth.get(r["row"], ()):
             reached[place[leaf]] += 1
             total += 1
     recall = np.cumsum(reached) / max(1, total)
@@ -257,19 +266,19 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
            max_leaves: int = MAX_LEAVES, page_rows: int = PAGE_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` (over ``vec_id``) holds, its k nearest found.
 
-    Rows with a null id, a null or zero vector, or a null or non-finite component take no part.  An id
-    is one vector: repeated rows count once.  Shorter vectors end in zeros.  Visits go on past the
+    Every row is a candidate for every other row: rows that repeat an id, with the same vector or another,
+    count each and ask each for themselves.  Rows with a null id, a null or zero vector, or a null or
+    non-finite component take no part.  Shorter vectors end in zeros.  Visits go on past the
     calibrated number until the visited leaves hold k other rows.  An empty table gives no rows.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    points = vectors.valid(rows, id_col, vector_col, nonzero=True)
-    points = store(points.withColumn("asks", F.coalesce(queries, F.lit(False))))
+    points = vectors.numbered(rows, id_col, vector_col, queries, k, nonzero=True)
     n, asking = points.agg(F.count("*"), F.sum(F.col("asks").cast("bigint"))).first()
     if not asking:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    by_hash = points.withColumn("h", F.xxhash64(F.lit(7), "vec_id"))
-    sample = _as_matrix(by_hash.orderBy("h").limit(sample_rows).collect())
+    by_hash = points.withColumn("h", F.xxhash64(F.lit(7), "vec_id", "v"))
+    sample = _as_matrix(by_hash.orderBy("h", "row").limit(sample_rows).collect())
     tree = fit(sample, min(max_leaves, max(1, n // leaf_rows)))
     index = store(_indexed(points, tree))
 
@@ -288,14 +297,14 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
     def of_leaf(values: dict[int, int]) -> Column:
         return F.element_at(F.array([F.lit(values.get(i, 0)).cast("bigint") for i in range(tree.leaves)]), (F.col("leaf") + 1).cast("int"))
 
-    placed = index.withColumn("page", of_leaf(first_page) + F.pmod(F.xxhash64("vec_id"), of_leaf(parts)))
-    pages = store(placed.select("page", "vec_id", "v", "leaf").groupBy("page").applyInArrow(_page, "page bigint, data binary"))
+    placed = index.withColumn("page", of_leaf(first_page) + F.pmod(F.xxhash64("row"), of_leaf(parts)))
+    pages = store(placed.select("page", "row", "vec_id", "v", "leaf").groupBy("page").applyInArrow(_page, "page bigint, data binary"))
 
-    some = by_hash.where("asks").orderBy("h").limit(CALIBRATION_QUERIES).collect()
+    some = by_hash.where("asks").orderBy("h", "row").limit(CALIBRATION_QUERIES).collect()
     most, _ = calibrate(index, tree, some, k, target_recall)
     fewest = sorted(held.values())
     while most < len(fewest) and sum(fewest[:most]) <= k:  # any choice of so many leaves holds k other rows
         most += 1
     n_blocks = max(1, -(-asking // block_queries))
-    blocks = store(_blocks(points.where("asks"), n_blocks, tree, most + tree.leaves - len(held), pages_of))
-    return vectors.best_rows(vectors.meet(pages, blocks, n_blocks, _search_page(k), HITS), k)
+    blocks = store(_blocks(points.where("asks").select("row", "v"), n_blocks, tree, most + tree.leaves - len(held), pages_of))
+    return vectors.results(vectors.meet(pages, blocks, n_blocks, _search_page(k), HITS), points, k)

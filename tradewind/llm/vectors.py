@@ -6,20 +6,22 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import ship_package
+from .storage import ship_package, store
 
 #: blocks of queries that meet a page of rows in one group
 BLOCKS_TOGETHER = 16
 
 
-def valid(rows: DataFrame, id_col: str, vector_col: str, element=None, nonzero: bool = False) -> DataFrame:
-    """(vec_id, v): rows with an id whose vector is not null and has finite components only.
+def numbered(rows: DataFrame, id_col: str, vector_col: str, queries: Column, k: int, element=None, nonzero: bool = False) -> DataFrame:
+    """The stored (row, vec_id, v, asks, copies): rows with an id whose vector is not null and has finite components only.
 
-    ``element`` maps each component.  An id is one vector: of rows that repeat it the smallest vector
-    stays (aggregated before the shuffle, so a hot id is one row per task).
+    ``element`` maps each component.  Rows that repeat an id with another vector are rows of their own.
+    Equal rows are counted before the shuffle, so that they are one row per task; no more than ``k + 1`` of
+    them can matter as candidates, and each of these has its own ``row`` number.  The first of them asks, if
+    ``queries`` (over ``vec_id``) holds, for all ``copies``.
     """
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -27,7 +29,11 @@ def valid(rows: DataFrame, id_col: str, vector_col: str, element=None, nonzero:
     if nonzero:
         keep = keep & F.exists(v, lambda x: x != 0)
     out = rows.where(keep).select(F.col(id_col).cast("bigint").alias("vec_id"), (F.transform(v, element) if element else v).alias("v"))
-    return out.groupBy("vec_id").agg(F.min("v").alias("v"))
+    out = out.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("copies"), F.lit(k + 1).cast("bigint"))))
+    out = out.withColumn("asks", F.coalesce(queries, F.lit(False))).select("vec_id", "v", "asks", "copies", each.alias("copy"))
+    out = out.select("vec_id", "v", (F.col("asks") & (F.col("copy") == 1)).alias("asks"), "copies")
+    return store(out.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v", "asks", "copies"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
@@ -75,7 +81,15 @@ def meet(pages: DataFrame, blocks: DataFrame, n_blocks: int, run, schema: str) -
 
 
 def best_rows(hits: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest scores of each query, ties to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-                .select("query_id", "rank", "vec_id", "score"))
+    """``hits`` (query, vec_id, score and others) with their rank: the k highest scores of each query, ties to
+    the smaller vec_id."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def results(hits: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of ``numbered`` points: the k best hits of every row that asks."""
+    asking = points.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "copies")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    found = best_rows(hits, k).join(asking, "query")
+    return found.select("query_id", "rank", "vec_id", "score", each.alias("copy")).drop("copy")
