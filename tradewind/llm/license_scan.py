@@ -7,7 +7,8 @@ where its keyword occurs, so most texts run none.  Every match is an interval of
 that lies within one of a rule of higher priority is dropped, so "gnu general public license version 3"
 gives one label and not also the one of "general public license".
 
-The rules come from families (names, versions, ways of writing) rather than one long list.
+Sentences of license bodies and headers are written out by hand; names with their versions come from
+families (names, versions, ways of writing).  Cost grows in proportion to a text and its places.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,27 +36,152 @@ GRANT, TAG, VERSIONED, NAMED, NOTICE = range(5)
 STRENGTH = {GRANT: 1.0, TAG: 0.95, VERSIONED: 0.9, NAMED: 0.7, NOTICE: 0.4}
 BASE_STRENGTH = 0.3
 
-#: Sentences that stand in one license: label, keyword, pattern.
+#: Sentences of license bodies and headers, as words: label, keyword, pattern.
 GRANTS = (
+    # MIT and its relatives
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "without restriction", r"to deal in the software without restriction including without limitation the rights to use copy modify"),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "persons to whom", r"sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used"),
+    ("json", "good not evil", r"the software shall be used for good not evil"),
     ("isc", "permission to use", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee"),
+    ("0bsd", "with or without fee", r"with or without fee is hereby granted the software is provided as is and the author disclaims all warranties"),
+    ("hpnd", "permission to use", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose"),
+    ("ntp", "representations about the suitability", r"makes no representations about the suitability (?:of )?this software for any purpose"),
+    ("ncsa", "with the software", r"to deal with the software without restriction including without limitation the rights"),
+    ("ncsa", "contributors may be used", r"neither the names of .{1,160}? nor the names of its contributors may be used to endorse"),
+    ("curl", "with or without fee", r"for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("icu", "unicode", r"unicode inc license agreement data files and software"),
+    ("postgresql", "without a written agreement", r"without fee and without a written agreement is hereby granted"),
+    ("boost-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("boost-1.0", "boost software license", r"distributed under the boost software license version 1 0"),
+    # BSD
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
-    ("bsd-3-clause", "endorse or promote", r"neither the name of .{1,120}? may be used to endorse or promote products"),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "governed by a bsd", r"use of this source code is governed by a bsd style license"),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of .{1,160}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse or promote", r"the names? of .{1,80}? may not be used to endorse or promote products"),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd-3-clause-clear", "express or implied licenses", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-2-clause-patent", "those receiving rights", r"each copyright holder and contributor hereby grants to those receiving rights"),
+    ("bsd-3-clause-no-nuclear", "nuclear", r"not designed licensed or intended for use in the design construction operation or maintenance of any nuclear facility"),
+    # Apache
     ("apache-2.0", "compliance with the license", r"you may not use this (?:file|work) except in compliance with the license"),
-    ("zlib", "express or implied", r"this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
-    ("boost-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("wtfpl", "do what the", r"you just do what the fuck you want to"),
+    ("apache-2.0", "apache license", r"licensed under the apache license version 2 0"),
+    ("apache-2.0", "express or implied", r"distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", "apache org", r"apache org licenses license 2 0"),
+    ("apache-2.0", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", "perpetual worldwide", r"hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    # GNU
     ("gpl", "free software foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "general public license", r"you should have received a copy of the gnu general public license"),
+    ("gpl-2", "general public license", r"gnu general public license version 2 june 1991"),
+    ("gpl-3", "general public license", r"gnu general public license version 3 29 june 2007"),
+    ("gpl", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "free software", r"this program is free software you can redistribute it and or modify it"),
+    ("gpl", "implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("lgpl", "free software foundation", r"under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation"),
+    ("lgpl", "general public license", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "this library is free", r"this library is free software you can redistribute it and or modify it"),
+    ("lgpl-2.1", "general public license", r"gnu lesser general public license version 2 1 february 1999"),
     ("agpl", "free software foundation", r"under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "affero", r"you should have received a copy of the gnu affero general public license"),
+    ("agpl-3", "affero", r"gnu affero general public license version 3 19 november 2007"),
+    ("gfdl", "free documentation license", r"copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("gpl-classpath", "statically or dynamically", r"linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-linking-exception", "special exception", r"as a special exception the copyright holders? (?:of this library )?gives? you permission to link"),
+    ("gpl-bison", "special exception", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gcc-exception", "runtime library exception", r"gcc runtime library exception version 3 1"),
+    ("fsf-unlimited", "unlimited permission", r"the free software foundation gives unlimited permission to copy and or distribute it"),
+    ("fsf-notices", "medium without royalty", r"copying and distribution of this file with or without modification are permitted in any medium without royalty"),
+    # weak copyleft of foundations and companies
     ("mpl", "mozilla public", r"subject to the terms of the mozilla public license"),
-    ("ofl-1.1", "sil open font", r"this font software is licensed under the sil open font license"),
+    ("mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "mozilla org", r"mozilla org mpl 2 0"),
+    ("mpl-2.0-incompatible", "secondary licenses", r"this source code form is incompatible with secondary licenses"),
+    ("npl", "netscape public", r"the contents of this file are subject to the netscape public license"),
     ("epl", "eclipse public", r"made available under the terms of the eclipse public license"),
+    ("epl", "eclipse org", r"eclipse org legal epl (?:v10|2 0)"),
+    ("cpl-1.0", "common public license", r"made available under the terms of the common public license v1 0"),
+    ("ipl-1.0", "ibm public license", r"provided under the terms of this ibm public license"),
     ("cddl", "common development", r"subject to the terms of the common development and distribution license"),
+    ("eupl", "eupl", r"licensed under the eupl"),
+    ("eupl", "european union", r"european union public licen[cs]e"),
+    ("osl", "open software license", r"licensed under the open software license version \d"),
+    ("afl", "academic free license", r"licensed under the academic free license version \d"),
+    ("artistic", "artistic license", r"under the terms of (?:either )?the artistic license"),
+    ("artistic-1.0", "terms as perl", r"under the same terms as perl(?: \d)?(?: itself)?"),
+    ("ms-pl", "accompanying software", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-lpl", "windows operating system", r"runs on (?:the )?microsoft windows operating system product"),
+    ("apsl", "apple public source", r"subject to the apple public source license"),
+    ("qpl-1.0", "q public license", r"distributed under the terms of the q public license"),
+    ("sissl", "sun industry standards", r"subject to the sun industry standards source license"),
+    ("spl-1.0", "sun public license", r"subject to the sun public license version 1 0"),
+    ("lppl", "latex project", r"under the conditions of the latex project public license"),
+    ("cecill", "cecill", r"this software is governed by the cecill(?: [bc])? license under french law"),
+    ("ecl-2.0", "educational community", r"licensed under the educational community license version 2 0"),
+    ("upl-1.0", "universal permissive", r"the universal permissive license upl version 1 0"),
+    ("sleepycat", "complete source code", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric young", r"this product includes cryptographic software written by eric young"),
+    ("php", "php software", r"this product includes php software freely available from"),
+    ("python", "psf hereby grants", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("python", "python software foundation", r"python software foundation license version \d"),
+    ("ruby", "clause bsdl", r"you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("ruby", "terms as ruby", r"under the same terms as ruby"),
+    ("vim", "vim", r"i place no restrictions on distributing unmodified copies of vim"),
+    ("zpl", "zope public license", r"subject to the provisions of the zope public license"),
+    ("w3c", "copying this work", r"this work is being provided by the copyright holders under the following license by obtaining using and or copying this work"),
+    ("zlib", "express or implied", r"this software is provided as is without any express or implied warranty in no event will the authors"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("libpng", "png reference library", r"the png reference library is supplied as is"),
+    ("ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", r"portions of this software are copyright .{1,40}? the freetype project"),
+    ("bzip2", "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("ofl-1.1", "sil open font", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "the fonts and derivatives", r"the fonts and derivatives however cannot be released under any other type of license"),
+    ("bitstream-vera", "bitstream vera", r"bitstream vera is a trademark of bitstream inc"),
+    ("ubuntu-font", "ubuntu font licence", r"ubuntu font licence version 1 0"),
+    # public domain and dedications
+    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "neighboring rights", r"has waived all copyright and related or neighboring rights to"),
+    ("cc0", "public domain dedication", r"cc0 (?:1 0 )?(?:universal )?public domain dedication"),
+    ("pddl", "public domain dedication", r"made available under the public domain dedication and license"),
+    ("public-domain", "public domain", r"(?:has been |is |was )?(?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", "disclaims copyright", r"the author disclaims copyright to this source code in place of a legal notice here is a blessing"),
+    ("wtfpl", "do what the", r"you just do what the fuck you want to"),
+    ("beerware", "buy me a beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    # content and data
+    ("cc-by", "creative commons", r"this work is licensed under a creative commons attribution (?:\d \d )?international license"),
+    ("cc-by-sa", "creative commons", r"this work is licensed under a creative commons attribution share ?alike"),
+    ("cc", "creativecommons org", r"to view a copy of this license visit (?:https? )?(?:www )?creativecommons org"),
+    ("cc", "send a letter", r"send a letter to creative commons"),
+    ("odbl", "open database license", r"made available under the open database license"),
+    ("odc-by", "open data commons", r"made available under the open data commons attribution license"),
+    ("ogl-uk", "open government licence", r"contains public sector information licensed under the open government licence"),
+    ("wikipedia", "text is available under", r"text is available under the creative commons attribution share ?alike license"),
+    # source available and proprietary
+    ("sspl-1.0", "server side public", r"under the terms of the server side public license"),
+    ("elastic-2.0", "elastic license", r"you may not use this file except in compliance with (?:either )?the elastic license"),
+    ("busl", "business source license", r"licensed under the business source license|use of this software is governed by the business source license"),
+    ("commons-clause", "right to sell", r"the license does not grant to you the right to sell the software"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter) license"),
+    ("prosperity", "prosperity public", r"the prosperity public license"),
+    ("eula", "legal agreement", r"this end user licen[cs]e agreement (?:eula )?is a legal agreement between you"),
+    ("eula", "by installing", r"by installing copying or otherwise using (?:the|this) software (?:product )?you agree to be bound by the terms"),
+    ("nvidia", "nvidia", r"nvidia corporation and its licensors retain all intellectual property and proprietary rights"),
+    ("oracle", "oracle", r"oracle proprietary confidential use is subject to license terms"),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?) (?:valuable )?trade secrets? (?:of|and confidential)"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution) (?:of this \w+ )?(?:\w+ ){0,6}(?:is )?(?:strictly )?prohibited"),
+    ("proprietary", "may not be", r"may not be (?:reproduced|copied|used|distributed)(?: \w+){0,8} without (?:the )?(?:prior |express )*written (?:consent|permission)"),
+    ("non-commercial", "non commercial", r"free for (?:personal and )?non commercial use"),
+    ("non-commercial", "research purposes", r"for (?:academic|non commercial) research purposes only"),
 )
 
 #: Families: label, names as words, versions, and whether the name alone (without "license") counts.
@@ -194,28 +321,38 @@ def base_places(form: bytes) -> list[tuple[str, int]]:
     out = []
     for phrase, label in BASE.items():
         needle = b" " + phrase + b" "
-        at = form.find(needle)
+        at, seen, word = form.find(needle), 0, 0
         while at >= 0:
-            out.append((label, form.count(b" ", 0, at)))
-            at = form.find(needle, at + 1)
+            word += form.count(b" ", seen, at)  # from the last place on
+            out.append((label, word))
+            seen, at = at, form.find(needle, at + 1)
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def detections(form: bytes) -> list[tuple[Rule, int, int]]:
-    """(rule, first word, end word) that no interval of a higher priority contains, by first word."""
-    found = []
-    for gate, gated in _by_gate().items():
-        if gate in form:
-            for r in gated:
-                for m in r.pattern.finditer(form):
-                    first = form.count(b" ", 0, m.start()) - 1
-                    found.append((r, first, first + m[0].count(b" ") + 1))
-    found.sort(key=lambda d: (d[0].priority, d[1] - d[2], d[1]))
-    kept: list[tuple[Rule, int, int]] = []
-    for r, a, z in found:
-        if not any(x <= a and z <= y for _, x, y in kept):
-            kept.append((r, a, z))
-    return sorted(kept, key=lambda d: (d[1], d[0].priority))
+    """(rule, first word, end word) that no interval of a higher priority contains, by first word.
+
+    Rules go in order of priority.  ``reach[w]`` is the furthest end of the intervals so far that begin at
+    word w or before it; an interval lies in one of them if its end is within the reach of its first word.
+    The matches of one rule never contain each other.
+    """
+    found = sorted(((r, [m.span() for m in r.pattern.finditer(form)]) for gate, gated in _by_gate().items() if gate in form for r in gated),
+                   key=lambda f: f[0].priority)
+    found = [(r, spans) for r, spans in found if spans]
+    if not found:
+        return []
+    blanks = np.flatnonzero(np.frombuffer(form, np.uint8) == 32)
+    reach, out = np.zeros(len(blanks), np.int64), []
+    for n, (r, spans) in enumerate(found):
+        at = np.array(spans, np.int64)
+        first, end = np.searchsorted(blanks, at[:, 0]) - 1, np.searchsorted(blanks, at[:, 1])
+        kept = end > reach[first]
+        first, end = first[kept], end[kept]
+        out += [(r, a, z) for a, z in zip(first.tolist(), end.tolist())]
+        if len(first) and n + 1 < len(found):
+            np.maximum.at(reach, first, end)
+            np.maximum.accumulate(reach, out=reach)
+    return sorted(out, key=lambda d: (d[1], d[0].priority))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
