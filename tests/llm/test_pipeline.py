@@ -34,8 +34,8 @@ def test_stages_by_brute_force(spark, documents, tmp_path):
         todo -= group
     assert {r.doc_id for r in docs.collect()} == first and docs.columns == before.columns
 
+    ranks = secret_scan.word_ranks(secret_scan.corpus_words(docs))
     docs = P.secret_scans(spark, docs, str(tmp_path))
-    ranks = secret_scan.word_ranks()
     for r in docs.collect():
         source = rows[r.doc_id].text
         spans = secret_scan.find_spans(source, ranks)

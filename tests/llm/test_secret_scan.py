@@ -108,7 +108,7 @@ def test_values_and_users_of_any_length(spark):
 def test_a_keyword_that_stands_as_a_value_is_tried_too():
     secret = "Xk9mQ2vLp7Zw"
     texts = [f"credentials passphrase: {secret}", f"bearer client_id private_key = '{secret}'", f"password: token: {secret} x",
-             f"pwd pwd pwd {secret}", f"pwd=bearer: {secret}", f"https://host:pwd {secret}", f"x://a://user:{secret}"]
+             f"pwd pwd pwd {secret}", f"pwd=bearer: {secret}", f"https://host:pwd {secret}", f"x://a://user:{secret}@h"]
     for text in texts:
         spans = S.find_spans(text, RANKS)
         assert any(k == "guess" and a <= text.index(secret) and z >= text.index(secret) + len(secret) for k, a, z in spans), text
@@ -118,3 +118,51 @@ def test_a_keyword_that_stands_as_a_value_is_tried_too():
     for unit in ("pwd=", "token=", "bearer ", "://a:"):  # as many keywords as the text has words
         S.find_spans(unit * 5000, RANKS)
         S.find_spans(unit * 50_000 + secret, RANKS)
+
+
+PLAIN = ["credentials provided", "bearer certificates", "credentials somewhere", "Credentials: see http://example.com:8080/docs/getting-started/install",
+         "credential management, bearer Somebody's well-known bonds.", "http://example.com:8080/a/b/c/Xk9mQ2vLp7/readme", "client_id something-somewhere",
+         "bearer tokens! credentials naïveté/überall"]
+
+
+def test_running_text_and_url_paths_are_no_secrets():
+    for text in PLAIN:
+        assert not [s for s in S.find_spans(text, RANKS) if s[0] == "guess"], text
+    for text in ("bearer Xk9mQ2vLp7Zw", "credentials qzx8kvjw2pmr", "http://me:Xk9mQ2vLp7Zw@example.com:8080/docs", "passphrase: Tr0ub4dor&3xyzQ"):
+        assert [s for s in S.find_spans(text, RANKS) if s[0] == "guess"], text
+
+
+def test_random_values_are_marked():
+    rng = random.Random(8)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    ranks = S.word_ranks([*S.WORDS, "the", "and", "provided", "install"])
+    marked = 0
+    for _ in range(500):
+        value = "".join(rng.choice(signs) for _ in range(12))
+        marked += any(k == "guess" for k, _, _ in S.find_spans(rng.choice(["bearer ", "credentials: ", "pwd=", "token = ", "x://u:"]) + value + "@h", ranks))
+    assert marked >= 498
+
+
+def test_corpus_words(spark, edge_docs, no_docs):
+    rows = [(i, "The river runs. the RIVER runs, passphrase: riverbed bearer oxbowlake pwd=oxbowlake x://u:oxbowlake@h token='oxbowlake'", "en") for i in range(40)]
+    rows += [(99, "once upon a time é naïve naïve " * 20, "en"), (100, "zzzz", "en")]
+    tally = {}
+    for _, text, _ in rows:
+        clean = text.lower()
+        for value in ("riverbed", "oxbowlake"):
+            clean = clean.replace(value, "")
+        for w in re.findall(r"[^\W\d_]+", clean):
+            if 3 <= len(w) <= 24:
+                tally[w] = tally.get(w, 0) + 1
+    want = sorted((w for w, n in tally.items() if n >= max(2, math.ceil(0.05 * sum(tally.values())))), key=lambda w: (-tally[w], w))
+    got = S.corpus_words(docs_of(spark, rows).repartition(4), share=0.05, passwords=["first"])
+    assert got == ["first", *want] and "the" in want and "oxbowlake" not in got and "riverbed" not in got
+    assert S.corpus_words(no_docs) == list(S.WORDS) and len(S.corpus_words(edge_docs)) > len(S.WORDS)
+
+
+def test_clean_documents_are_left_alone(spark):
+    """Share of the given documents without any base span and without digits that get a mark."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ranks = S.word_ranks(S.corpus_words(docs))
+    clean = [r.text for r in docs.collect() if r.text and not re.search(r"\d", r.text)]
+    assert len(clean) > 300 and not [t for t in clean if S.find_spans(t, ranks)]

@@ -6,19 +6,25 @@ by the least number of guesses an attacker needs: a dynamic programme over end p
 value into dictionary words, dates, repeats, keyboard walks and brute-force spans, each with its guess
 count, and takes the cheapest product.  Values of at least ``min_log10_guesses`` are added as ``guess``
 spans.
+
+The dictionary is that of an attacker who knows common passwords and the language of the texts: the most
+common passwords first, then the words of the corpus by frequency (``corpus_words``), counted outside
+credential contexts so that a secret on many rows does not become a word.  After a keyword and a mere blank
+("bearer", "credentials") a value of plain words is running text and not a credential.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import kept_as, map_texts
+from .storage import kept_as, map_batches, map_texts, named, store
 
 MIN_LOG10_GUESSES = 10.0
 MARK = "[secret]"
@@ -35,8 +41,10 @@ ASSIGN_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Wider credential contexts up to the value, at the empty group; the value has four characters or more, any number.
 CONTEXT_HEAD = re.compile(
     r"(?:pwd|passphrase|passcode|credentials?|private_?key|access_?key|auth_?key|client_?id|bearer)"
-    r"[\"']?(?:\x20*[:=]\x20*|\x20+)[\"']?()(?=[^\s\"'@,;]{4})", re.I | re.A)
-URL_HEAD = re.compile(r"://(?=[^\s:/@]+:()[^\s\"'@,;]{4})", re.A)
+    r"[\"']?(\x20*[:=]\x20*|\x20+)[\"']?()(?=[^\s\"'@,;]{4})", re.I | re.A)
+URL_HEAD = re.compile(r"://(?=[^\s:/@]+:()[^\s\"'@,;/]{4,}@)", re.A)
+#: Words of running text, joined or not, with or without a mark at the end.
+PLAIN_WORDS = re.compile(r"(?:[A-Z]?[^\W\d_A-Z]+|[A-Z]+)(?:[-_./'’](?:[A-Z]?[^\W\d_A-Z]+|[A-Z]+))*[-_./!?:)\]]*")
 CONTEXT_VALUE = re.compile(r"[^\s\"'@,;]+", re.A)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_WORDS = (b"pwd", b"passphrase", b"passcode", b"credential", b"privatekey", b"private_key", b"accesskey",
@@ -55,6 +63,11 @@ LEET = str.maketrans("4@831!05$7", "aabeiiosst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?"
                   r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 
+#: share of all words from which a word of the corpus is in the dictionary
+CORPUS_SHARE = 2e-5
+WORD = re.compile(r"(?<![^\W_])[^\W\d_]{3,24}(?![^\W_])")
+_KEYWORDS = tuple(w.decode() for w in (*ASSIGN_WORDS, *CONTEXT_WORDS))
+
 _NEXT_TO = {}
 for _y, _row in enumerate(KEYBOARD):
     for _x, _c in enumerate(_row):
@@ -68,12 +81,14 @@ def _alphabet(value: str) -> float:
     return math.log10(max(size, 2))
 
 
-def segments(value: str, words: dict[str, int]) -> Iterator[tuple[int, int, str, float]]:
+def segments(value: str, words: Ranks) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, kind, log10 guesses) of every segment that a pattern explains."""
     n, low = len(value), value.lower()
+    if len(low) != n:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
-    longest = max(map(len, words), default=0)
     for i in range(n):
+        longest = max(words.longest.get(low[i:i + 3], 0), words.longest.get(plain[i:i + 3], 0))
         for j in range(i + 3, min(n, i + longest) + 1):
             rank = words.get(low[i:j]) or words.get(plain[i:j])
             if rank:
@@ -114,7 +129,7 @@ def segments(value: str, words: dict[str, int]) -> Iterator[tuple[int, int, str,
             i += 1
 
 
-def log10_guesses(value: str, words: dict[str, int]) -> float:
+def log10_guesses(value: str, words: Ranks) -> float:
     """Least log10 guesses over all segmentations (0 for the empty value).
 
     ``best[j]`` covers the first j characters; a brute-force span costs its length times the value's
@@ -136,11 +151,20 @@ def log10_guesses(value: str, words: dict[str, int]) -> float:
     return best[n]
 
 
-def word_ranks(words=WORDS) -> dict[str, int]:
-    ranks: dict[str, int] = {}
-    for r, w in enumerate(words, 1):
-        ranks.setdefault(w.lower(), r)
-    return ranks
+class Ranks(dict):
+    """Word -> rank; ``longest`` tells how long the words that begin with three letters are at most."""
+
+    def __init__(self, words):
+        super().__init__()
+        self.longest: dict[str, int] = {}
+        for r, w in enumerate(words, 1):
+            w = w.lower()
+            self.setdefault(w, r)
+            self.longest[w[:3]] = max(len(w), self.longest.get(w[:3], 0))
+
+
+def word_ranks(words=WORDS) -> Ranks:
+    return Ranks(words)
 
 
 def _may_hold_hex(data: bytes) -> bool:
@@ -150,7 +174,7 @@ def _may_hold_hex(data: bytes) -> bool:
 _HEX_MAP = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 
 
-def _reaches(value: str, words: dict[str, int], least: float) -> bool:
+def _reaches(value: str, words: Ranks, least: float) -> bool:
     """Whether the value needs ``least`` log10 guesses; one cheap repeat is seen at once."""
     n = len(value)
     if any(n >= max(3, 2 * w) and w * 1.5 + math.log10(n / w) < least and value[w:] == value[:-w] for w in (1, 2, 3, 4)):
@@ -158,7 +182,7 @@ def _reaches(value: str, words: dict[str, int], least: float) -> bool:
     return log10_guesses(value, words) >= least
 
 
-def _guess_spans(text: str, starts: list[int], value: re.Pattern, words: dict[str, int], least: float) -> set[tuple[int, int]]:
+def _guess_spans(text: str, starts: list[int], value: re.Pattern, words: Ranks, least: float) -> set[tuple[int, int]]:
     """The values at ``starts`` (ascending) that need ``least`` log10 guesses.
 
     Values that start within one run end together; what stands in a value that is marked needs no mark of its own.
@@ -173,7 +197,13 @@ def _guess_spans(text: str, starts: list[int], value: re.Pattern, words: dict[st
     return found
 
 
-def find_spans(text: str | None, words: dict[str, int], least: float = MIN_LOG10_GUESSES) -> list[tuple[str, int, int]]:
+def _running_text(text: str, at: int) -> bool:
+    """Whether the value at ``at`` is made of plain words."""
+    words = PLAIN_WORDS.match(text, at)
+    return bool(words) and not CONTEXT_VALUE.match(text, words.end())
+
+
+def find_spans(text: str | None, words: Ranks, least: float = MIN_LOG10_GUESSES) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind as in ``KINDS``."""
     if not text:
         return []
@@ -188,12 +218,49 @@ def find_spans(text: str | None, words: dict[str, int], least: float = MIN_LOG10
     if _may_hold_hex(data):
         spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        starts = {m.start(1) for head in (CONTEXT_HEAD, URL_HEAD) for m in head.finditer(text)}
-        guesses |= _guess_spans(text, sorted(starts), CONTEXT_VALUE, words, least)
+        heads = [(m.start(2), m[1].isspace()) for m in CONTEXT_HEAD.finditer(text)] + [(m.start(1), False) for m in URL_HEAD.finditer(text)]
+        guesses |= _guess_spans(text, sorted(a for a, loose in heads if not (loose and _running_text(text, a))), CONTEXT_VALUE, words, least)
     spans += [("guess", a, b) for a, b in guesses]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def corpus_words(docs: DataFrame, text_col: str = "text", share: float = CORPUS_SHARE, passwords=WORDS) -> list[str]:
+    """``passwords``, then the words of all texts by frequency: those that are at least ``share`` of all
+    words (so at most 1 / share of them), of 3 to 24 letters, in lower case.
+
+    Values after a credential keyword, and those in an URL before ``@``, are not counted.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tally: Counter = Counter()
+            for text in b.column(0):
+                tally.update(_plain_words(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
+    counts = map_batches(docs.select(named(text_col).cast("string").alias("text")), run, "word string, n bigint")
+    counts = store(counts.groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(2, math.ceil(share * total))).collect()  # at most 1 / share rows
+    return [*passwords, *(r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"])))]
+
+
+def _plain_words(text: str | None) -> list[str]:
+    """Lower-case words of a text outside the values of credential contexts."""
+    if not text:
+        return []
+    low = text.lower()
+    if any(w in low for w in _KEYWORDS):
+        for head, value in ((ASSIGN_HEAD, ASSIGN_VALUE), (CONTEXT_HEAD, CONTEXT_VALUE), (URL_HEAD, CONTEXT_VALUE)):
+            out, end = [], 0
+            for m in head.finditer(text):
+                a = m.start(m.lastindex)
+                if a >= end:
+                    out.append(text[end:a])
+                    end = value.match(text, a).end()
+            text = "".join([*out, text[end:]])
+        low = text.lower()
+    return WORD.findall(low)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words=WORDS,
          min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
     """(id_col, spans): ``spans`` is array<struct<kind, start, end>> over the whole text.
