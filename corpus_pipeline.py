@@ -37,7 +37,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, every secret in a text replaced by a mark; n_chars follows the text."""
-    clean = secret_scan.redact(docs)
+    clean = secret_scan.redact(docs, words=secret_scan.corpus_words(docs))
     if "n_chars" not in docs.columns:
         return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(named, docs.columns))
