@@ -22,10 +22,16 @@ def _all_not_null(df: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [df[k].isNotNull() for k in keys])
 
 
-NULL_SPREAD = 1024
+#: groups of NULL-key rows for each shuffle partition
+NULL_GROUPS = 4
 
 
-def _null_salt(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def null_groups(df: DataFrame) -> int:
+    """Groups that NULL-key rows are dealt over: several for every shuffle partition of the session."""
+    return NULL_GROUPS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _null_salt(df: DataFrame, keys: Sequence[str], name: str, groups: int) -> DataFrame:
     """Extra join key: for rows with complete keys a hash of the key values (equal on both sides for
     matching rows), for rows with a NULL key a hash of the whole row, in a separate range.
 
@@ -34,21 +40,25 @@ def _null_salt(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     share one partition again).  Equal values hash alike only with equal types, which
     :func:`outer_join` checks.
     """
-    key_hash = F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(NULL_SPREAD))
-    spread = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(NULL_SPREAD)) + NULL_SPREAD
+    key_hash = F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(groups))
+    spread = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(groups)) + groups
     return df.withColumn(name, F.when(_all_not_null(df, keys), key_hash).otherwise(spread).cast("int"))
 
 
 def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
-               right_keys: Sequence[str], how: str = "full") -> DataFrame:
+               right_keys: Sequence[str], how: str = "full", divide: bool = False) -> DataFrame:
     """Equi outer join (``full`` or ``left``) that does not pile NULL-key rows into one task.
 
     A row with a NULL join key never matches, yet a sort-merge join hashes all such rows to the same
     partition.  In a full join each side gets one more join key (see ``_null_salt``): matching rows carry
     equal values, so complete-key rows join exactly as before, while NULL-key rows still match nothing
-    (NULL = x is never true) but are spread over NULL_SPREAD partitions.  A left join needs no such key:
+    (NULL = x is never true) but are spread over ``null_groups``.  A left join needs no such key:
     adaptive execution splits a large left partition by itself, and the plain keys let joins on the same
     keys share one partitioning.  The two sides must have disjoint column names and keys of equal types.
+
+    A full join is computed by one task for each key, which suits sides that were grouped by the key before.
+    With ``divide`` it is the left join and, beside it, the right rows without a partner; adaptive execution
+    divides a hot key in both (and the sides are computed twice).
     """
     if how not in ("full", "left"):
         raise ValueError("how must be 'full' or 'left'")
@@ -58,8 +68,14 @@ def outer_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
         raise TypeError(f"join keys must have equal types, got {ltypes} and {rtypes}")
     if how == "left":
         return left.join(right, reduce(and_, [left[a] == right[b] for a, b in zip(left_keys, right_keys)]), how)
-    lhs = _null_salt(left, left_keys, "_lnull")
-    rhs = _null_salt(right, right_keys, "_rnull")
+    if divide:
+        known = left.select(*[left[k].alias(f"_known_{i}") for i, k in enumerate(left_keys)]).distinct()
+        lone = right.join(known, reduce(and_, [right[b] == known[f"_known_{i}"] for i, b in enumerate(right_keys)]), "left_anti")
+        lone = lone.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema], *right.columns)
+        return outer_join(left, right, left_keys, right_keys, "left").unionAll(lone)
+    groups = null_groups(left)
+    lhs = _null_salt(left, left_keys, "_lnull", groups)
+    rhs = _null_salt(right, right_keys, "_rnull", groups)
     cond = reduce(and_, [lhs[a] == rhs[b] for a, b in zip(left_keys, right_keys)]
                   + [lhs["_lnull"] == rhs["_rnull"]])
     return lhs.join(rhs, cond, how).drop("_lnull", "_rnull")

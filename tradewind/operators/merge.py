@@ -12,30 +12,30 @@ from ..functions import row_sum, safe_int
 from .buckets import MAX_BULK_COLUMNS, OPEN_COLUMNS, inbound_columns
 
 
-NULL_KEY_GROUPS = 1024
-
-
-def _merged_by_key(tagged: DataFrame, parts: Sequence[str]) -> DataFrame:
+def _merged_by_key(tagged: DataFrame, keys: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Rows of the anchored merge from ``tagged``: a ``_key`` and one nullable struct column per part, the
-    anchor's first.
+    anchor's first.  ``keys`` are the anchor's keys, one row each.
 
-    One shuffle by key brings the parts of a key together.  A key that has anchor rows gives the product
-    of its parts (a part without rows gives NULLs); any other key gives each of its rows on its own.  The
-    lists of a key are never larger than the merged rows that it gives.  Rows without a key match
-    nothing, so they are dealt over many groups.
+    A row whose key the anchor lacks (NULL among them) stands alone.  It meets nothing and is in no list: a
+    left join with the anchor's keys, which adaptive execution divides where a key is hot, tells it from
+    the others, and its group is made of its own values and its task.  The other rows are brought together
+    by key: a key that has anchor rows gives the product of its parts (a part without rows gives NULLs), so
+    its lists are never larger than the merged rows that it gives.
     """
-    spread = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*parts), F.lit(NULL_KEY_GROUPS)))
-    lists = (tagged.withColumn("_spread", spread).groupBy("_key", "_spread")
-                   .agg(*[F.collect_list(p).alias(p) for p in parts]))
-    anchored = F.col("_key").isNotNull() & (F.size(parts[0]) > 0)
-    product = lists.where(anchored)
+    known = keys.select(F.col("_key").alias("_anchor"))
+    flagged = tagged.join(known, F.col("_key") == F.col("_anchor"), "left")
+    # the task's number parts equal lonely rows; it is that of a shuffled or read partition, the same when it runs again
+    alone = F.when(F.col("_anchor").isNull(), F.xxhash64(F.struct(*parts), F.spark_partition_id()))
+    lists = (flagged.withColumn("_alone", alone).groupBy("_anchor", "_alone")
+                    .agg(*[F.collect_list(p).alias(p) for p in parts]))
+    product = lists.where(F.col("_anchor").isNotNull())
     for p in parts:
         product = product.withColumn(p, F.explode_outer(p))
     types = {p: tagged.schema[p].dataType for p in parts}
 
-    def alone(part: str):
+    def single_rows(part: str):
         return F.transform(part, lambda row: F.struct(*[(row if p == part else F.lit(None).cast(types[p])).alias(p) for p in parts]))
-    single = lists.where(~anchored).select(F.explode(F.concat(*[alone(p) for p in parts])).alias("_row")).select("_row.*")
+    single = lists.where(F.col("_anchor").isNull()).select(F.explode(F.concat(*[single_rows(p) for p in parts])).alias("_row")).select("_row.*")
     return product.select(*parts).unionAll(single.select(*parts))
 
 
@@ -49,13 +49,14 @@ def anchored_outer_merge(anchor: DataFrame, anchor_key: str,
     """Rows of ``anchor FULL JOIN o1 ON o1.k1 = anchor.k FULL JOIN o2 ON o2.k2 = anchor.k ...``.
 
     Every join compares with the *anchor's* key, so a key missing from the anchor yields one separate
-    row per source rather than one merged row.  The sources are tagged, united and shuffled once by
-    key, so each is computed once.  All column names across inputs must be distinct.
+    row per source rather than one merged row.  The sources are tagged, united and shuffled by key, so each is
+    computed once (the anchor's keys once more).  All column names across inputs must be distinct.
     """
     sources = [(f"_{i}", df, key) for i, (df, key) in enumerate([(anchor, anchor_key), *others])]
     types = {tag: df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType for tag, df, _ in sources}
     rows = [_tagged(df, key, {tag: F.struct(*df.columns)}, types) for tag, df, key in sources]
-    merged = _merged_by_key(reduce(DataFrame.unionAll, rows), list(types))
+    keys = anchor.select(anchor[anchor_key].alias("_key")).where("_key IS NOT NULL").distinct()
+    merged = _merged_by_key(reduce(DataFrame.unionAll, rows), keys, list(types))
     return merged.select(*[F.col(f"{tag}.{c}").alias(c) for tag, df, _ in sources for c in df.columns])
 
 
