@@ -2,7 +2,8 @@
 
 Every literal code the reports filter on (plant, organisation, order types, accounts, categories,
 seasons, text patterns) is a parameter.  ``FIXTURE`` holds the values used with the test tables
-(FIXTURES.md §3); a production deployment passes its own.
+(FIXTURES.md §3); a production deployment passes its own, all of them: :meth:`Params.from_json` takes no
+value from the test tables.
 """
 
 from __future__ import annotations
@@ -79,6 +80,29 @@ class Params:
         names = ("sheet_months",)
         return dataclasses.replace(self, **{f.name: fold(getattr(self, f.name)) for f in dataclasses.fields(self) if f.name not in names})
 
+    def to_json(self) -> dict:
+        """The parameters as a JSON object (without the clock); a file to begin with."""
+        def plain(value):
+            if isinstance(value, _dt.date):
+                return value.isoformat()
+            return [plain(v) for v in value] if isinstance(value, (tuple, list)) else value
+        return {f.name: plain(getattr(self, f.name)) for f in dataclasses.fields(self) if f.name != "as_of"}
+
+    @classmethod
+    def from_json(cls, raw: dict, as_of) -> "Params":
+        """The parameters of a JSON object that names every field but the clock (null where there is none)."""
+        names = {f.name for f in dataclasses.fields(cls)} - {"as_of"}
+        unknown, missing = sorted(set(raw) - names), sorted(names - set(raw))
+        if unknown or missing:
+            raise ValueError("; ".join(([f"unknown parameters: {', '.join(unknown)}"] if unknown else [])
+                                       + ([f"missing parameters: {', '.join(missing)}"] if missing else [])))
+
+        def typed(name, value):
+            if name in ("lead_date_from", "lead_actuals_from", "actuals_from"):
+                return _dt.date.fromisoformat(value)
+            return tuple(typed(None, v) for v in value) if isinstance(value, list) else value
+        return cls(as_of=AsOf.of(as_of), **{k: typed(k, v) for k, v in raw.items()})
+
     @property
     def description_accessory_patterns(self) -> tuple[str, ...]:
         return self.footbed_patterns + self.socks_patterns

@@ -8,12 +8,15 @@ that loading sheets that arrive as JSON keeps the same typing rules.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import current, new_version, switch
+
 
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv") -> DataFrame:
     """Read an exported sheet with its ``schema`` (nothing is inferred).  CSV needs a header row."""
@@ -71,8 +74,29 @@ def typed_sheet(df: DataFrame, id_col: str, measure_cols: Sequence[str],
                      *[F.round(F.col(c)).cast(measure_type).alias(c) for c in measure_cols])
 
 
+def publish_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
+    """Write a finished report as a new version below ``path`` and make it the current one.
+
+    A run that is lost before the switch leaves the old report readable (see ``versions``).
+    """
+    version = new_version(path)
+    write_report(df, version, fmt, partition_by)
+    switch(df.sparkSession, path, version, format=fmt, schema=df.schema.json())
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published report."""
+    told = current(spark, path)
+    if told is None:
+        raise FileNotFoundError(f"no report has been published below {path}")
+    return read_sheet(spark, told["version"], T.StructType.fromJson(json.loads(told["schema"])), told["format"])
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """File sink for a finished report (Parquet by default; CSV gets a header row)."""
+    """File sink for a finished report (Parquet by default; CSV gets a header row).
+
+    It replaces what the folder holds; :func:`publish_report` keeps the old report until the new one is whole.
+    """
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")
