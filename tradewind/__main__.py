@@ -4,6 +4,7 @@
                         [--format parquet|csv] [--stored] [--store-dir FOLDER]
     python -m tradewind REPORT INPUT OUTPUT --fixture
     python -m tradewind save-roles INPUT OUTPUT [--date-directories [ROLE ...]] [--buckets N]
+    python -m tradewind audit INPUT OUTPUT [--stored]
     python -m tradewind show-params
 
 INPUT is a directory of input tables (``<name>.parquet``), or with ``--stored`` a directory written by
@@ -11,7 +12,8 @@ INPUT is a directory of input tables (``<name>.parquet``), or with ``--stored``
 the clock; nothing is taken from the test tables.  ``show-params`` prints such an object, with the values of
 the test tables, to begin with.  ``--fixture`` takes the parameters and the clock of the test tables
 instead.  A report is written as a version beside the last one and becomes current when it is whole; read
-it with :func:`tradewind.sources.read_report`.  Under ``spark-submit`` the session comes from the submit
+it with :func:`tradewind.sources.read_report`.  ``audit`` publishes the values of every role that their typed
+reading loses, and prints their counts.  Under ``spark-submit`` the session comes from the submit
 configuration.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import SparkSession
 
 from .functions import AsOf
 from .plans import FIXTURE, REPORTS, Params, present
-from .sources import StoredWarehouse, Warehouse, publish_report, save_roles
+from .sources import StoredWarehouse, Warehouse, audit_roles, publish_report, save_roles
 
 
 def _params(args: argparse.Namespace) -> Params:
@@ -41,7 +43,7 @@ def _params(args: argparse.Namespace) -> Params:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m tradewind")
-    ap.add_argument("report", choices=sorted([*REPORTS, "save-roles", "show-params"]))
+    ap.add_argument("report", choices=sorted([*REPORTS, "save-roles", "audit", "show-params"]))
     ap.add_argument("input", nargs="?")
     ap.add_argument("output", nargs="?")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
@@ -60,9 +62,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         ap.error("name the input and the output")
     if args.fixture and args.params:
         ap.error("--fixture and --params exclude each other")
-    if args.report != "save-roles" and not args.fixture and not (args.as_of and args.params):
+    if args.report not in ("save-roles", "audit") and not args.fixture and not (args.as_of and args.params):
         ap.error("a report needs --as-of and --params (or --fixture for the test tables)")
-    params = None if args.report == "save-roles" else _params(args)
+    params = None if args.report in ("save-roles", "audit") else _params(args)
     spark = spark or SparkSession.builder.appName(f"tradewind-{args.report}").getOrCreate()
     if args.report == "save-roles":
         dated = args.date_directories
@@ -72,6 +74,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         wh = StoredWarehouse(spark, args.input, store_dir=args.store_dir)
     else:
         wh = Warehouse(spark, args.input, store_dir=args.store_dir)
+    if args.report == "audit":
+        print(json.dumps(audit_roles(wh, args.output), indent=2))
+        return
     publish_report(present(REPORTS[args.report](wh, params)), args.output, fmt=args.format)
     wh.close()
 
