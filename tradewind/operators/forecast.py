@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +99,8 @@ def snapshot_dedup(forecast: DataFrame, *, account_patterns: Sequence[str],
 
     First the quantity is summed per snapshot and demand date; then equal values inside one
     (submit month, forecast month, season, material) collapse into a single row carrying the
-    latest file date - equal quantities are *not* added (value-level dedup).
+    latest file date - equal quantities are *not* added (value-level dedup).  The result is a state that
+    :func:`merge_states` merges with those of other files (by ``snapshot_date``).
     """
     f = forecast.where(like_any("forecast_group", account_patterns) & (F.col("module") == module))
     per_snapshot = (f.groupBy("module", "demand_date", "calendar_season", "material", "file_date")
@@ -133,6 +135,37 @@ def _month_names(stem: str, months: int) -> list[str]:
     return [f"current_month_{stem}"] + [f"{stem}_{k}m" for k in range(1, months)]
 
 
+CURRENT_KEYS = ("group_adjusted", "material", "calendar_year", "calendar_season", "calendar_month", "quantity", "demand_date", "region")
+
+
+def current_state(forecast: DataFrame, *, rules, sales_org: str = "US", module: str = "SalesForecast",
+                  material_prefix: str = "1") -> DataFrame:
+    """Forecast rows equal in every key *and* quantity as one row with the latest file date (value-level dedup).
+
+    States of different files are merged by :func:`merge_states`: a new file reads only itself.
+    """
+    f = forecast.where((F.col("module") == module) & (F.col("sales_org") == sales_org) & (F.col("current_flag") == 1)
+                       & starts_with("material", material_prefix) & F.col("forecast_group").isNotNull())
+    f = f.withColumn("group_adjusted", apply_rules("forecast_group", rules))
+    return f.groupBy(*CURRENT_KEYS).agg(F.max("file_date").alias("recent_date"))
+
+
+def current_forecast_of(state: DataFrame, as_of, *, region_override: tuple[str, str] | None = None, history_days: int = 720,
+                        material_prefix: str = "1") -> DataFrame:
+    """:func:`current_forecast` from its state."""
+    year = AsOf.of(as_of).year_days_ago(history_days)
+    group_out = F.col("group_adjusted")
+    if region_override is not None:
+        group_out = F.when(F.col("region") == region_override[0], F.lit(region_override[1])).otherwise(group_out)
+    rows = state.where(F.col("calendar_year") >= year).select(
+        "recent_date", group_out.alias("forecast_group"), safe_int("material").alias("material"), "calendar_year", "calendar_season",
+        "calendar_month", F.month("demand_date").alias("calendar_month_number"), "quantity")
+    out = (rows.groupBy("recent_date", "forecast_group", "material", "calendar_year", "calendar_season",
+                        "calendar_month", "calendar_month_number")
+               .agg(F.sum("quantity").cast("bigint").alias("quantity")))
+    return out.where(F.col("material").isNotNull() & starts_with("material", material_prefix))
+
+
 def current_forecast(forecast: DataFrame, as_of, *, rules, sales_org: str = "US",
                      module: str = "SalesForecast", region_override: tuple[str, str] | None = None,
                      history_days: int = 720, material_prefix: str = "1") -> DataFrame:
@@ -142,23 +175,16 @@ def current_forecast(forecast: DataFrame, as_of, *, rules, sales_org: str = "US"
     group for one region.  Rows equal in every key *and* quantity are first collapsed to one row with
     the latest file date (value-level dedup), then quantities are summed.
     """
-    as_of = AsOf.of(as_of)
-    f = forecast.where((F.col("module") == module) & (F.col("sales_org") == sales_org)
-                       & (F.col("current_flag") == 1) & starts_with("material", material_prefix)
-                       & (F.col("calendar_year") >= as_of.year_days_ago(history_days))
-                       & F.col("forecast_group").isNotNull())
-    adjusted = apply_rules("forecast_group", rules)
-    f = f.withColumn("group_adjusted", adjusted)
-    group_out = F.col("group_adjusted")
-    if region_override is not None:
-        group_out = F.when(F.col("region") == region_override[0], F.lit(region_override[1])).otherwise(group_out)
-    dedup = (f.groupBy("group_adjusted", "material", "calendar_year", "calendar_season", "calendar_month",
-                       "quantity", "demand_date", "region")
-              .agg(F.max("file_date").alias("recent_date"))
-              .select("recent_date", group_out.alias("forecast_group"),
-                      safe_int("material").alias("material"), "calendar_year", "calendar_season",
-                      "calendar_month", F.month("demand_date").alias("calendar_month_number"), "quantity"))
-    out = (dedup.groupBy("recent_date", "forecast_group", "material", "calendar_year", "calendar_season",
-                         "calendar_month", "calendar_month_number")
-                .agg(F.sum("quantity").cast("bigint").alias("quantity")))
-    return out.where(F.col("material").isNotNull() & starts_with("material", material_prefix))
+    state = current_state(forecast, rules=rules, sales_org=sales_org, module=module, material_prefix=material_prefix)
+    return current_forecast_of(state, as_of, region_override=region_override, history_days=history_days, material_prefix=material_prefix)
+
+
+def merge_states(states: Sequence[DataFrame], latest: str) -> DataFrame:
+    """One state of several files' states: the latest date of each key (all columns but ``latest``).
+
+    The latest date of a key over all files is the latest of its dates in parts of them, so a state may
+    hold any files, in any order, and a file twice.
+    """
+    keys = [c for c in states[0].columns if c != latest]
+    united = reduce(DataFrame.unionByName, states)
+    return united.groupBy(*keys).agg(F.max(latest).alias(latest)).select(*states[0].columns)

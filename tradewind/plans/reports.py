@@ -94,6 +94,17 @@ def snapshot_dedup(wh: Warehouse, p: Params) -> DataFrame:
     return forecast.snapshot_dedup(wh.forecast, account_patterns=p.account_patterns, module=p.forecast_module)
 
 
+def snapshot_dedup_merged(wh: Warehouse, p: Params) -> DataFrame:
+    """The state of the files before the report month, merged with that of the later files."""
+    return forecast.merge_states([
+        forecast.snapshot_dedup(files, account_patterns=p.account_patterns, module=p.forecast_module) for files in _two_parts(wh, p)], "snapshot_date")
+
+
+def _two_parts(wh: Warehouse, p: Params) -> list[DataFrame]:
+    first = AsOf.of(p.as_of).month_start
+    return [wh.between("forecast", "file_date", None, first - _dt.timedelta(days=1)), wh.between("forecast", "file_date", first)]
+
+
 def forecast_month_pivot(wh: Warehouse, p: Params) -> DataFrame:
     return forecast.forecast_month_pivot(snapshot_dedup(wh, p), p.as_of)
 
@@ -130,6 +141,14 @@ def current_forecast(wh: Warehouse, p: Params) -> DataFrame:
                                      history_days=p.history_days, material_prefix=p.material_prefix)
 
 
+def current_forecast_merged(wh: Warehouse, p: Params) -> DataFrame:
+    """The current forecast from two states: the files before the report month, and the later ones."""
+    states = [forecast.current_state(files, rules=p.forecast_rules, sales_org=p.sales_org, module=p.forecast_module,
+                                     material_prefix=p.material_prefix) for files in _two_parts(wh, p)]
+    return forecast.current_forecast_of(forecast.merge_states(states, "recent_date"), p.as_of, region_override=p.region_override,
+                                        history_days=p.history_days, material_prefix=p.material_prefix)
+
+
 def sales_with_season(wh: Warehouse, p: Params) -> DataFrame:
     first = AsOf.of(p.as_of).first_date_after_days_ago(p.history_days)
     sales = wh.between("sales_fact", "request_ship_dt", first)
@@ -276,12 +295,14 @@ REPORTS = {
     "sell_through": sell_through,
     "latest_week_onhand": latest_week_onhand,
     "snapshot_dedup": snapshot_dedup,
+    "snapshot_dedup_merged": snapshot_dedup_merged,
     "forecast_month_pivot": forecast_month_pivot,
     "anchored_outer_merge": anchored_outer_merge,
     "marketing_dashboard": marketing_dashboard,
     "account_group_sales": account_group_sales,
     "account_group_forecast": account_group_forecast,
     "current_forecast": current_forecast,
+    "current_forecast_merged": current_forecast_merged,
     "sales_with_season": sales_with_season,
     "order_type_pivot": order_type_pivot,
     "season_span": season_span,
