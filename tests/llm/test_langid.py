@@ -44,6 +44,15 @@ def test_words_first_then_longest_grams():
     assert model.predict("zzz") == ("a", 0.5)  # a tie goes to the first language
 
 
-def test_bounded_model(documents):
-    model = L.fit(documents, max_words=50, max_grams=60, sample_rows=100)
-    assert len(model.words) <= 50 and sum(map(len, model.grams)) <= 60
+def test_every_word_of_the_sample_that_recurs_is_kept(spark):
+    rows = [(1, "once twice twice thrice thrice thrice", "a"), (2, "solo twice", "b"), (3, "unlabelled unlabelled", None)]
+    docs = docs_of(spark, rows)
+    model = L.fit(docs)
+    assert set(model.words) == {"twice", "thrice"} and model.words["twice"][0] != model.words["twice"][1]
+    assert set(L.fit(docs, min_count=1).words) == {"once", "twice", "thrice", "solo"}
+    assert "ice " in model.grams[4] and not any("olo" in g for g in model.grams[3])
+
+
+def test_bounded_sample(documents):
+    few = L.fit(documents, sample_rows=20)
+    assert 0 < len(few.words) < len(L.fit(documents).words)

@@ -5,8 +5,9 @@ that the model knows adds its log frequencies.  An unseen word falls back to the
 n-grams: from its start, the longest known n-gram (``MAX_GRAM`` down to one character) is scored and
 passed over; every step down in length costs the same for all languages and so needs no discount.
 
-Counting runs on Spark over a bounded sample of the labelled rows (``sample_rows``); the model keeps the ``max_words`` and ``max_grams`` most frequent entries, which bounds what
-is broadcast.  Prediction reads whole texts.
+Counting runs on Spark over a bounded sample of the labelled rows (``sample_rows``).  The model keeps every
+word and n-gram of the sample that occurs at least ``min_count`` times there: one that occurred once says
+little, and falls back to its n-grams.  The sample bounds what is broadcast.  Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from .storage import held, kept_as, map_texts, store
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 6_000
-MAX_WORDS = 40_000
-MAX_GRAMS = 40_000
+MIN_COUNT = 2
 MAX_GRAM = 4
 SMOOTHING = 0.5
 CACHE_ENTRIES = 200_000
@@ -97,12 +97,12 @@ def _words(text_col: str):
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
-        max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+        min_count: int = MIN_COUNT) -> Model:
     """Learn from about ``sample_rows`` of the ``rows`` whose language is not null (all, if fewer).
 
     The share is drawn by a seeded Bernoulli sample, so it does not favour any key, source or copy.
-    The driver receives at most ``max_words`` + ``max_grams`` entries.  No labelled rows: a model that
-    answers ``und``.
+    The driver receives the sample's words and n-grams that occur ``min_count`` times.  No labelled rows: a
+    model that answers ``und``.
     """
     labelled = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     n = labelled.count()
@@ -113,23 +113,23 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     if not langs:
         return Model([], {}, [{} for _ in range(MAX_GRAM + 1)], ())
 
-    def table(entries: DataFrame, most: int) -> dict[str, list[int]]:
+    def table(entries: DataFrame) -> dict[str, list[int]]:
         wide = (entries.groupBy("entry").agg(F.sum("n").alias("total"),
                                              *[F.sum(F.when(F.col("lang") == l, F.col("n")).otherwise(0)).alias(f"n{i}")
                                                for i, l in enumerate(langs)])
-                       .orderBy(F.desc("total"), "entry").limit(most))
+                       .where(F.col("total") >= min_count))
         return {r["entry"]: [r[f"n{i}"] for i in range(len(langs))] for r in wide.collect()}
 
     def logs(found: dict[str, list[int]], totals: list[float]) -> dict[str, tuple[float, ...]]:
         v = len(found) + 1
         return {e: tuple(math.log((n + SMOOTHING) / (t + SMOOTHING * v)) for n, t in zip(ns, totals)) for e, ns in found.items()}
 
-    words = logs(table(counts.select("lang", F.col("word").alias("entry"), "n"), max_words), [sizes[l] for l in langs])
+    words = logs(table(counts.select("lang", F.col("word").alias("entry"), "n")), [sizes[l] for l in langs])
     marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     each = [F.when(F.length(marked) >= s,
                    F.transform(F.sequence(F.lit(1), F.length(marked) - s + 1), lambda i, s=s: F.substring(marked, i, F.lit(s))))
             .otherwise(F.array().cast("array<string>")) for s in range(1, MAX_GRAM + 1)]
-    grams = table(counts.select("lang", "n", F.explode(F.concat(*each)).alias("entry")), max_grams)
+    grams = table(counts.select("lang", "n", F.explode(F.concat(*each)).alias("entry")))
     by_size: list[dict[str, tuple[float, ...]]] = [{}]
     for s in range(1, MAX_GRAM + 1):
         own = {g: n for g, n in grams.items() if len(g) == s}
@@ -140,7 +140,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
 
 def predictions(docs: DataFrame, model: Model, kept: list[str], text_col: str = "text") -> DataFrame:
     """``map_texts`` of ``kept`` with result struct<lang_pred, score>, from the text alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words + max_grams entries
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitted sample
 
     def make():
         predict_one = sent.value.predict
