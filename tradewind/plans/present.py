@@ -22,3 +22,14 @@ def present(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def respelled(df: DataFrame, spellings: dict[str, DataFrame]) -> DataFrame:
+    """A folded report with the codes of its columns as the source spells them (code, spelling); a code that
+    the source lacks stays as it is.  Rows and their number do not change."""
+    out = df
+    for column, told in spellings.items():
+        known = told.select(F.col("code").alias("_code"), F.col("spelling").alias("_spelling"))
+        out = out.join(known, F.col(f"`{column}`") == F.col("_code"), "left").withColumn(column, F.coalesce("_spelling", F.col(f"`{column}`")))
+        out = out.drop("_code", "_spelling")
+    return out.select(*df.columns)

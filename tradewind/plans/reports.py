@@ -17,6 +17,7 @@ from ..session import TableStore, shared_dir
 from ..sources import (Warehouse, read_sheet, select_positions, sheet_to_json_arrays, sheet_to_json_rows, shred_json_arrays,
                        shred_json_rows, typed_sheet, write_report)
 from .params import Params
+from .present import respelled
 
 
 # -- lead-time forecast vs actual ------------------------------------------------------------------
@@ -273,6 +274,15 @@ def order_type_pivot_any_case(wh: Warehouse, p: Params) -> DataFrame:
     return order_type_pivot(wh.mixed_case(), p.folded())
 
 
+def order_type_pivot_spelled(wh: Warehouse, p: Params) -> DataFrame:
+    """The same groups under the spelling of the source."""
+    folded = wh.mixed_case()
+    targets = [target for _, _, target in p.sales_rules]
+    return respelled(order_type_pivot(folded, p.folded()), {
+        "season_name": folded.spellings("calendar", "season_name"), "forecast_group": folded.spellings("accounts", "forecast_group", targets),
+        "material_description": folded.spellings("style_master", "material_description"), "category": folded.spellings("style_master", "category")})
+
+
 def inline_status(wh: Warehouse, p: Params) -> DataFrame:
     return sheet.inline_status(wh.material, wh.of_season(p.inline_season), p.inline_season)
 
@@ -324,5 +334,6 @@ REPORTS = {
     "sheet_json_array": sheet_json_array,
     "sheet_file": sheet_file,
     "order_type_pivot_any_case": order_type_pivot_any_case,
+    "order_type_pivot_spelled": order_type_pivot_spelled,
     "sheet_rollup": sheet_rollup,
 }

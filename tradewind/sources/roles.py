@@ -11,7 +11,7 @@ import copy
 import datetime as _dt
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,7 +165,7 @@ class Warehouse:
     ``trim_codes`` removes trailing blanks from every text column of the roles, so padded codes
     compare, join and group equal to unpadded ones as in the source warehouse.  ``fold_case`` puts every
     text column of the roles in lower case; with ``Params.folded()``, which does the same to the
-    parameters, codes are equal whatever their case.  Both are off by default: untouched text columns keep
+    parameters, codes are equal whatever their case; ``spellings`` gives them back as they are written.  Both are off by default: untouched text columns keep
     their filters pushable into the Parquet scan.
 
     ``store_dir`` names a shared folder for intermediate tables.  With it, reports that use a result
@@ -196,6 +196,21 @@ class Warehouse:
         """Test view of this Warehouse: codes in mixed case, compared whatever their case."""
         return Warehouse(self.spark, self.sf_dir, mixed_case_reader(self._reader), self.trim_codes, fold_case=True)
 
+    def spellings(self, role: str, column: str, also: Sequence[str] = ()) -> DataFrame:
+        """(code, spelling): how each code of a folded role's column is spelled in the source.
+
+        Of several spellings it is the first in code-point order, so it does not depend on the order of the
+        rows.  ``also`` are codes that do not stand in the source, such as the targets of rules.
+        """
+        plain = Warehouse(self.spark, self.sf_dir, self._reader)
+        own = getattr(plain, role).select(F.col(column).alias("spelling"))
+        if also:
+            own = own.unionAll(self.spark.createDataFrame([(a,) for a in also], "spelling string"))
+        text = F.rtrim("spelling") if self.trim_codes else F.col("spelling")
+        text = text.alias("spelling")
+        own = own.select(text).where("spelling IS NOT NULL").distinct()
+        return own.groupBy((F.lower("spelling") if self.fold_case else F.col("spelling")).alias("code")).agg(F.min("spelling").alias("spelling"))
+
     def _normalise(self, df: DataFrame) -> DataFrame:
         if not (self.trim_codes or self.fold_case):
             return df
@@ -406,6 +421,11 @@ class Warehouse:
             F.col("p_retailprice").cast(MONEY).alias("price"),
         )
 
+    @role
+    def accounts(self) -> DataFrame:
+        """The accounts that sales and forecasts are grouped by."""
+        return self.table("customer").select(F.col("c_mktsegment").alias("forecast_group")).distinct()
+
     @role
     def material(self) -> DataFrame:
         return self.style_master.select("material", "material_description")
