@@ -32,6 +32,9 @@ END_ID = 0
 BLOCK_PIECES = 4096
 ISLANDS = 2
 EPOCHS = 2
+#: times that the pieces of bins below ``FULL`` are dealt to new blocks
+ROUNDS = 3
+FULL = 0.995
 GENERATIONS = 4
 POPULATION = 4
 WELL_FILLED = 0.97
@@ -262,16 +265,9 @@ def _epoch(capacity: int, epoch: int):
 _SOLUTION = "block bigint, island bigint, item bigint, length bigint, bin bigint, offset bigint, n_bins bigint, source bigint"
 
 
-def assign(items: DataFrame, n_items: int, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES,
-           islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(item, sequence_id, offset) for ``items`` (item: distinct longs, length: 1 to capacity).
-
-    Blocks hold about ``block_pieces`` items whatever their documents are, so a hot document id or a
-    hot length does not gather in one task.
-    """
-    ship_package(items.sparkSession)
-    blocks = max(1, -(-n_items // block_pieces))
-    islands_of = items.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"),
+def _solve(items: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
+    """(block, bin, item, length, offset): ``items`` in ``blocks``, each as its best island packs it."""
+    islands_of = items.select(F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(blocks)).alias("block"),
                               F.explode(F.array([F.lit(i).cast("bigint") for i in range(islands)])).alias("island"),
                               "item", "length", F.lit(-1).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("source"))
     now = islands_of.groupBy("block", "island").applyInPandas(_epoch(capacity, 0), _SOLUTION)
@@ -285,12 +281,42 @@ def assign(items: DataFrame, n_items: int, capacity: int = CAPACITY, block_piece
     now = store(now)
     best = now.groupBy("block").agg(F.min(F.struct("n_bins", "island")).alias("best"))
     best = best.select("block", F.col("best.island").alias("island"))
-    return now.join(best, ["block", "island"]).select("item", (F.shiftleft("block", 32) + F.col("bin")).alias("sequence_id"), "offset")
+    return now.join(best, ["block", "island"]).select("block", "bin", "item", "length", "offset")
+
+
+def assign(items: DataFrame, n_items: int, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES,
+           islands: int = ISLANDS, epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
+    """(item, sequence_id, offset) for ``items`` (item: distinct longs, length: 1 to capacity).
+
+    Blocks hold about ``block_pieces`` items whatever their documents are, so a hot document id or a
+    hot length does not gather in one task.  Blocks end in bins that are not full; their pieces are dealt to
+    new, fewer blocks and packed again, until one block holds them all or ``rounds`` are over.
+    """
+    ship_package(items.sparkSession)
+    done = None
+    for turn in range(rounds):
+        blocks = max(1, -(-n_items // block_pieces))
+        solved = _solve(items, blocks, capacity, islands, epochs, turn)
+        placed = solved.select("item", "length", "offset",
+                               (F.lit(turn << 58) + F.shiftleft("block", 32) + F.col("bin")).alias("sequence_id"))
+        if blocks == 1 or turn == rounds - 1:
+            last = placed
+        else:
+            placed = store(placed)
+            full = placed.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") >= FULL * capacity)
+            last = placed.join(full, "sequence_id", "left_semi")
+            items = store(placed.join(full, "sequence_id", "left_anti").select("item", "length"))
+            n_items = items.count()
+        last = last.select("item", "sequence_id", "offset")
+        done = last if done is None else done.unionAll(last)
+        if blocks == 1 or not n_items:
+            break
+    return done
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, block_pieces: int = BLOCK_PIECES,
-         islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+         islands: int = ISLANDS, epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
     """``pieces`` with their place: (id_col, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
     Every input row is packed whole, null texts and repeated rows too; an empty table gives no rows.
@@ -300,5 +326,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     # the stored table's row numbers are stable: a file split that is read again numbers its rows alike
     numbered = store(cut.withColumn("__item", F.monotonically_increasing_id()))
     items = numbered.select(F.col("__item").alias("item"), "length")
-    places = assign(items, numbered.count(), capacity, block_pieces, islands, epochs).withColumnRenamed("item", "__item")
+    places = assign(items, numbered.count(), capacity, block_pieces, islands, epochs, rounds).withColumnRenamed("item", "__item")
     return numbered.join(places, "__item").drop("__item")
