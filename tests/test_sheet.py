@@ -6,8 +6,9 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tradewind.operators import sheet
-from tradewind.sources import (read_sheet, select_positions, sheet_to_json_arrays, sheet_to_json_rows, shred_json_arrays,
+from tradewind.sources import (Warehouse, read_sheet, select_positions, sheet_to_json_arrays, sheet_to_json_rows, shred_json_arrays,
                                shred_json_rows, typed_sheet, write_report)
+from tradewind.sources import roles
 
 MONTHS = ("apr", "may", "jun")
 
@@ -58,3 +59,61 @@ def test_read_sheet_and_write_report_round_trip(spark):
     write_report(src.withColumn("part", F.col("upc") % 2), os.path.join(out_dir, "pq"), partition_by=["part"])
     pq = read_sheet(spark, os.path.join(out_dir, "pq"), schema, fmt="parquet")
     assert pq.count() == src.count()
+
+
+def test_rollup_joins_a_material_with_several_names_and_copies(spark):
+    sh = typed_sheet(select_positions(_edge_sheet(spark), range(1, 7)), "upc", MONTHS)
+    bridge = spark.createDataFrame([(100, "11"), (100, "11"), (200, "11"), (200, "12"), (300, None)], "upc bigint, material string")
+    material = spark.createDataFrame([("11", "boot"), ("11", "boot"), ("11", None), ("12", "sock"), (None, "none")],
+                                     "material string, material_description string")
+    line_list = spark.createDataFrame([("11", "Fall 2022"), ("11", "Fall 2022"), (None, "Fall 2022")], "material string, season string")
+    out = sheet.sheet_rollup(sh, bridge, material, line_list, months=MONTHS, season="Fall 2022")
+    assert sorted(map(tuple, out.collect()), key=repr) == [
+        (11, "boot", "INLINE", 5, 5, 2), (11, None, "INLINE", 5, 5, 2), (12, "sock", "DISCO", 1, 5, None)]
+
+
+def _lines(spark, rows):
+    """Lines of 40 parts and as many suppliers, null keys and one UPC that every third line has."""
+    hot = F.col("id") % 3 == 0
+    return spark.range(rows).select(
+        F.col("id").alias("l_orderkey"),
+        F.when(hot, 7).when(F.col("id") % 11 == 1, None).otherwise(F.col("id") % 40).cast("bigint").alias("l_partkey"),
+        F.when(hot, 7).when(F.col("id") % 13 == 1, None).otherwise(F.col("id") % 41).cast("bigint").alias("l_suppkey"),
+        F.when(F.col("id") % 17 != 2, F.col("id") % 9).cast("double").alias("l_quantity"),
+        F.expr("timestamp_ntz '1999-01-15' + make_interval(0, id % 12)").alias("l_shipdate"))
+
+
+def _lines_warehouse(spark, rows):
+    return Warehouse(spark, "/none", reader=lambda _, name: {"lineitem": _lines(spark, rows)}[name])
+
+
+def test_sheet_and_bridge_tasks_follow_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(roles, "LINES_PER_TASK", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("2", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            for rows in (1_000, 3_000):
+                wh = _lines_warehouse(spark, rows)
+                assert wh.line_tasks() == rows // 100
+                assert wh.forecast_sheet.rdd.getNumPartitions() == wh.upc_bridge.rdd.getNumPartitions() == rows // 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sheet_and_bridge_hold_the_groups_of_all_lines(spark, monkeypatch):
+    monkeypatch.setattr(roles, "LINES_PER_TASK", 300)
+    wh, lines = _lines_warehouse(spark, 3_000), [tuple(r) for r in _lines(spark, 3_000).collect()]
+    want = {}
+    for _, part, supp, quantity, day in lines:
+        upc = None if part is None or supp is None else f"{part}{supp:019d}"
+        cells = want.setdefault((upc, None if supp is None else f"V{supp}"), {})
+        if quantity is not None and 4 <= day.month <= 10:
+            cells[day.month] = cells.get(day.month, 0) + quantity / 2
+    got = wh.forecast_sheet.collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert [r[f"m{m:02d}"] for m in range(4, 11)] == [want[r["upc"], r["vendor_code"]].get(m) for m in range(4, 11)]
+        assert r["sheet_line"] == r["upc"] and r["asin"] == (None if r["upc"] is None else f"A{r['upc']}")
+    bridge = {(None if p is None or s is None else f"{p}{s:019d}", None if p is None else str(p)) for _, p, s, _, _ in lines}
+    assert sorted(map(tuple, wh.upc_bridge.collect()), key=repr) == sorted(bridge, key=repr)

@@ -25,14 +25,14 @@ def sheet_rollup(sheet: DataFrame, bridge: DataFrame, material: DataFrame, line_
                  months: Sequence[str], season: str, upc_col: str = "upc") -> DataFrame:
     """Sum the sheet's month columns per (material, description, status), largest first month first.
 
-    Rows are first made distinct at UPC grain (a UPC listed twice with the same numbers counts once).
+    Rows are first made distinct at UPC grain (a UPC listed twice with the same numbers counts once).  A
+    material's UPC rows are the same for each of its descriptions and statuses, so they are made distinct and
+    summed per material before these are joined: the rows of a material do not meet in one task.
     """
-    status = inline_status(material.select("material", "material_description"), line_list, season)
+    status = inline_status(material.select("material", "material_description"), line_list, season).distinct()
     u = bridge.select(F.col("upc").alias("_upc"), F.col("material").alias("_material"))
-    j = (u.join(sheet, u["_upc"] == sheet[upc_col])
-          .join(status, F.col("_material") == status["material"]))
-    grain = j.select("material", "material_description", "inline_stat", F.col(upc_col), *months).distinct()
-    out = (grain.groupBy("material", "material_description", "inline_stat")
-                .agg(*[F.sum(m).cast("bigint").alias(m) for m in months]))
+    grain = u.join(sheet, u["_upc"] == sheet[upc_col]).select("_material", F.col(upc_col), *months).distinct()
+    total = grain.groupBy("_material").agg(*[F.sum(m).cast("bigint").alias(m) for m in months])
+    out = total.join(status, F.col("_material") == status["material"])
     return (out.select(safe_int("material").alias("material"), "material_description", "inline_stat", *months)
                .orderBy(F.col(months[0]).desc_nulls_last()))

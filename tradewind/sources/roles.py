@@ -24,6 +24,12 @@ from .derived import Derived, bounded, days_after, months_after, small_side, wee
 #: snapshots that a plan may hold by value
 MOST_SNAPSHOTS = 20_000
 
+#: lines that one task groups by UPC (a UPC has about one line, so a task holds about as many groups)
+LINES_PER_TASK = 250_000
+
+#: tasks that the lines of one UPC are dealt over before their sums meet in one
+UPC_SHARES = 8
+
 
 def _sd() -> Column:
     return F.col("l_shipdate").cast("date")
@@ -180,6 +186,7 @@ class Warehouse:
         self._reader = reader or parquet_reader(self.sf_dir)
         self._tables: dict[str, DataFrame] = {}
         self._roles: dict[str, DataFrame] = {}
+        self._line_tasks: int | None = None
         self.trim_codes = trim_codes
         self.fold_case = fold_case
         self.tables = TableStore(spark, store_dir) if store_dir else None
@@ -258,6 +265,7 @@ class Warehouse:
             return self
         out = copy.copy(self)
         out._tables, out._roles = {**self._tables, "lineitem": self.table("lineitem").where(reach)}, {}
+        out._line_tasks = None
         return out
 
     # -- shared joins ---------------------------------------------------------------------------
@@ -271,6 +279,29 @@ class Warehouse:
                   .join(c, o.o_custkey == c.c_custkey)
                   .join(n, c.c_nationkey == n.n_nationkey))
 
+    def line_tasks(self) -> int:
+        """Tasks of about ``LINES_PER_TASK`` lines each; the lines are counted once (Parquet: from the footers)."""
+        if self._line_tasks is None:
+            self._line_tasks = max(1, -(-self.table("lineitem").count() // LINES_PER_TASK))
+        return self._line_tasks
+
+    def _by_upc(self, keys: dict[str, Column], carried: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+        """The lines grouped by UPC and ``keys`` (made of part and supplier), with ``sums`` of what is ``carried`` from
+        the line; partitioned by UPC.
+
+        Hardly two lines share a UPC, so the groups that a task holds are about as many as its lines.  The tasks
+        follow from the number of lines, not from the size of a file split or the shuffle partitions of the
+        session.  The lines of a UPC are summed in up to ``UPC_SHARES`` tasks before the sums meet in one.
+        """
+        n, sums = self.line_tasks(), sums or {}
+        pair = ["l_partkey", "l_suppkey", "share"]
+        share = F.pmod(F.xxhash64("l_orderkey"), F.lit(UPC_SHARES)).cast("int").alias("share")
+        lines = self.table("lineitem").select(*pair[:2], share, *[c.alias(name) for name, c in (carried or {}).items()])
+        dealt = lines.repartition(n, *pair)
+        shares = dealt.groupBy(*pair).agg(*[F.sum(c).alias(name) for name, c in sums.items()]) if sums else dealt.distinct()
+        named = shares.select(_upc().alias("upc"), *[c.alias(name) for name, c in keys.items()], *sums).repartition(n, "upc")
+        return named.groupBy("upc", *keys).agg(*[F.sum(name).alias(name) for name in sums]) if sums else named.distinct()
+
     def _with_part(self, df: DataFrame) -> DataFrame:
         p = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
                                       "p_retailprice")
@@ -439,7 +470,7 @@ class Warehouse:
 
     @role
     def upc_bridge(self) -> DataFrame:
-        return self.table("lineitem").select(_upc().alias("upc"), _material().alias("material")).distinct()
+        return self._by_upc({"material": _material()})
 
     @role
     def forecast_sheet(self) -> DataFrame:
@@ -447,12 +478,10 @@ class Warehouse:
 
         A month is half the units shipped in it, so cells hold fractions; months without any are NULL.
         """
-        sd = _sd()
-        months = [(F.lit(0.5) * F.sum(F.when(F.month(sd) == m, _qty()))).alias(f"m{m:02d}")
-                  for m in range(4, 11)]
-        wide = self.table("lineitem").groupBy(_upc().alias("upc"), F.col("l_suppkey").alias("supplier")).agg(*months)
+        months = {f"m{m:02d}": F.when(F.col("month") == m, F.col("quantity")) for m in range(4, 11)}
+        wide = self._by_upc({"supplier": F.col("l_suppkey")}, {"month": F.month(_sd()), "quantity": _qty()}, months)
         return wide.select(
             F.col("upc").alias("sheet_line"),
             F.concat(F.lit("A"), F.col("upc")).alias("asin"),
             F.concat(F.lit("V"), F.col("supplier").cast("string")).alias("vendor_code"),
-            "upc", *[f"m{m:02d}" for m in range(4, 11)])
+            "upc", *[(F.lit(0.5) * F.col(m)).alias(m) for m in months])
