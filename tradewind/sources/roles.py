@@ -291,11 +291,11 @@ class Warehouse:
 
         Hardly two lines share a UPC, so the groups that a task holds are about as many as its lines.  The tasks
         follow from the number of lines, not from the size of a file split or the shuffle partitions of the
-        session.  The lines of a UPC are summed in up to ``UPC_SHARES`` tasks before the sums meet in one.
+        session.  The lines of a UPC are summed by their dates in up to ``UPC_SHARES`` tasks before the sums meet in one.
         """
         n, sums = self.line_tasks(), sums or {}
         pair = ["l_partkey", "l_suppkey", "share"]
-        share = F.pmod(F.xxhash64("l_orderkey"), F.lit(UPC_SHARES)).cast("int").alias("share")
+        share = F.pmod(F.xxhash64("l_shipdate"), F.lit(UPC_SHARES)).cast("int").alias("share")
         lines = self.table("lineitem").select(*pair[:2], share, *[c.alias(name) for name, c in (carried or {}).items()])
         dealt = lines.repartition(n, *pair)
         shares = dealt.groupBy(*pair).agg(*[F.sum(c).alias(name) for name, c in sums.items()]) if sums else dealt.distinct()
